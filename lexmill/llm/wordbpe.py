@@ -26,7 +26,7 @@ CACHE_WORDS = 300_000
 _NONE = np.int64(1) << 40
 
 # White space of the tokenizer's \s, and its pre-token pattern.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
 
