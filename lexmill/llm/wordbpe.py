@@ -1,33 +1,38 @@
 """BPE encoding and decoding for a word-end vocabulary, many words at once.
 
-Symbols of all distinct words stand in one flat array. A round finds every
-adjacent pair's rank by binary search over the sorted pair keys, merges the
-lowest-ranked pair of each word wherever it stands, and retires the words that
-have no pair left. A round is exact because no merge of this vocabulary has a
-lower rank than the merges that make its parts; loading checks that.
+Texts are cut into pre-tokens by the classes of their code points, and equal pre-tokens
+are found by rolling hashes, so that each is encoded once. The symbols of all new
+pre-tokens stand in one flat array. A round finds adjacent pairs' ranks by binary
+search over the sorted pair keys, merges the lowest-ranked pair of each word wherever
+it stands, and retires the words that have no pair left. A round is exact because no
+merge of this vocabulary has a lower rank than the merges that make its parts; loading
+checks that.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, mix, prefix_hash, span_hash
 
-#: Entries of the per-process word cache; at the limit it starts anew.
-CACHE_WORDS = 300_000
+#: Pre-tokens and ids that a process keeps from earlier batches; at the limit it starts anew.
+CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
 
 _NONE = np.int64(1) << 40
+_BLANK, _LETTER, _NUMBER, _OTHER, _SPECIAL = range(5)
+_SPECIALS_FROM = 0x110000
 
-# White space of the tokenizer's \s, and its pre-token pattern.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+# Code points of the tokenizer's \s, and what its pattern splits off after an apostrophe.
+_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SUFFIXES = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 
 def _byte_chars() -> list[str]:
@@ -37,15 +42,34 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _classes(specials: int) -> np.ndarray:
+    kind = {"L": _LETTER, "N": _NUMBER}
+    table = np.full(_SPECIALS_FROM + specials, _SPECIAL, np.uint8)
+    table[:_SPECIALS_FROM] = [kind.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)]
+    table[_SPACES] = _BLANK
+    return table
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of [starts, starts + lengths), one range after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.names = {i: t.encode() for t, i in (vocab | self.special).items()}
-        self.size = max(self.names) + 1
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special, self.special_ids = list(special), np.array(list(special.values()), np.int64)
+        self.split_special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+        names = {i: t.encode() + b" " for t, i in (vocab | special).items()}
+        self.size = max(names) + 1
+        names = [names.get(i, b"") for i in range(self.size)]
+        self.name_length = np.array([len(x) for x in names])
+        self.name_start = np.cumsum(self.name_length) - self.name_length
+        self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
         chars = _byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.last = np.array([vocab[c + end] for c in chars], np.int64)
@@ -60,7 +84,15 @@ class WordBpe:
         self.keys = np.append(keys[order], np.int64(1) << 62)
         self.ranks = np.append(np.arange(len(keys))[order], _NONE)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        self.kind = _classes(len(special))
+        self.point_word = mix(np.arange(1, len(self.kind) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.known_start = np.zeros(0, np.int64)
+        self.known_length = np.zeros(0, np.int64)
+        self.known_ids = np.zeros(0, np.uint32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -105,8 +137,7 @@ class WordBpe:
             now = at - gone[at]
             start = start - np.where(start > 0, gone[start - 1], 0)
             sym, rk, inside = sym[keep], rk[keep], inside[keep]
-            before = now[now > 0] - 1
-            touched = np.concatenate([now, before])
+            touched = np.concatenate([now, now[now > 0] - 1])
             rk[touched] = _NONE
             touched = touched[inside[touched]]
             rk[touched] = self.rank(sym[touched], sym[touched + 1])
@@ -116,66 +147,123 @@ class WordBpe:
         ends = np.append(0, np.cumsum(sizes))
         out = np.zeros(ends[-1], np.int64)
         for w, length, s in pieces:
-            out[np.repeat(ends[w] - (np.cumsum(length) - length), length) + np.arange(len(s))] = s
+            out[ragged(ends[w], length)] = s
         return out, ends
 
-    def pretokens(self, word: str) -> list[bytes]:
-        """Of one special-free run without ASCII white space."""
-        if word.isascii():
-            word = word.lower()
-            if word.isalpha():
-                return [word.encode()]
-        else:
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return [x.encode() for x in _PRETOKEN.findall(word)]
-
-    def learn(self, words: list[bytes]) -> None:
-        """Put the ids and the decoded form of new words into the cache."""
-        parts: list[bytes] = []
-        plans: list[list[int]] = []  # per word: number of pre-tokens, or -1 - id of a special token
-        for word in words:
-            if b"<|" in word and self.split_special.search(text := word.decode()):
-                plan = []
-                for run in self.split_special.split(text):
-                    if run in self.special:
-                        plan.append(-1 - self.special[run])
-                    elif run:
-                        parts += (got := self.pretokens(run))
-                        plan.append(len(got))
-                plans.append(plan)
-            else:
-                parts += (got := self.pretokens(word.decode()))
-                plans.append([len(got)])
-        offsets = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
-        ids, ends = self.merge(np.frombuffer(b"".join(parts), np.uint8), offsets)
-        raw, listed, stops = ids.astype("<u4").tobytes(), ids.tolist(), ends.tolist()
-        names, at, cache = self.names, 0, self.cache
-        for word, plan in zip(words, plans, strict=True):
-            if len(plan) == 1 and plan[0] >= 0:
-                a, b = stops[at], stops[at + plan[0]]
-                at += plan[0]
-                cache[word] = raw[4 * a : 4 * b], b" ".join([names[i] for i in listed[a:b]])
+    def points(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised code points of all texts, a line feed after each, and where each text ends."""
+        clean, rare = [], {}
+        for i, text in enumerate(texts):
+            text = text or ""
+            if "<|" in text and self.split_special.search(text):
+                rare[i] = [x if k % 2 else self.normal(x) for k, x in enumerate(self.split_special.split(text))]
+                clean.append("".join("\0" if k % 2 else x for k, x in enumerate(rare[i])))
             else:
-                own: list[int] = []
-                for step in plan:
-                    if step < 0:
-                        own.append(-1 - step)
-                    else:
-                        own += listed[stops[at] : stops[at + step]]
-                        at += step
-                cache[word] = np.array(own, "<u4").tobytes(), b" ".join([names[i] for i in own])
-
-    def split(self, data: bytes, offsets: np.ndarray) -> list[list[bytes]]:
-        """The words of each text, all of them in the cache afterwards."""
-        texts = [data[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        wanted = {w for words in texts for w in words}
-        new = [w for w in wanted if w not in self.cache]
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = list(wanted)
-            self.learn(new)
-        return texts
+                clean.append(self.normal(text))
+        ends = np.cumsum([len(x) + 1 for x in clean])
+        points = np.frombuffer("\n".join([*clean, ""]).encode("utf-32-le"), np.uint32)
+        if rare:
+            points = points.copy()
+            for i, runs in rare.items():
+                at = ends[i] - len(clean[i]) - 1
+                for k, x in enumerate(runs):
+                    if k % 2:
+                        points[at] = _SPECIALS_FROM + self.special.index(x)
+                    at += 1 if k % 2 else len(x)
+        return points, ends
+
+    @staticmethod
+    def normal(text: str) -> str:
+        """NFC and lower case, without the word-final form of sigma, which the tokenizer does not use."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def spans(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each pre-token."""
+        kind = self.kind[points]
+        change = np.ones(len(kind), bool)
+        change[1:] = kind[1:] != kind[:-1]
+        change |= (kind == _NUMBER) | (kind == _SPECIAL)
+        quote = np.flatnonzero((points == 39) & change)
+        if len(quote):
+            after = np.append(points, np.zeros(3, points.dtype))
+            taken = np.zeros(len(quote), np.int64)
+            for suffix in _SUFFIXES:
+                hit = taken == 0
+                for k, c in enumerate(suffix):
+                    hit &= after[quote + 1 + k] == ord(c)
+                taken[hit] = len(suffix)
+            quote, taken = quote[taken > 0], taken[taken > 0]
+            change[quote + 1] = False
+            rest = quote + 1 + taken
+            change[rest[rest < len(change)]] = True
+        at = np.flatnonzero(change)
+        ends = np.append(at[1:], len(points))
+        own = kind[at] != _BLANK
+        return at[own], ends[own]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the n+1 offsets of the texts."""
+        points, text_ends = self.points(texts)
+        begin, end = self.spans(points)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        keys = span_hash(prefix_hash(self.point_word[points]), begin, end)
+        distinct, first, which = unique(keys)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            if len(self.known) + new.sum() > CACHE_WORDS or len(self.known_ids) > CACHE_IDS:
+                self.forget()
+                new[:] = True
+            self.learn(distinct[new], points, begin[first[new]], end[first[new]])
+            at = np.searchsorted(self.known, distinct)
+        at = at[which]
+        length = self.known_length[at]
+        ids = self.known_ids[ragged(self.known_start[at], length)]
+        total = np.append(0, np.cumsum(length))
+        return ids, np.append(0, total[np.searchsorted(begin, text_ends)])
+
+    def learn(self, keys: np.ndarray, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode these pre-tokens and keep them."""
+        special = points[begin] >= _SPECIALS_FROM
+        length = np.ones(len(keys), np.int64)
+        ids = np.zeros(0, np.int64)
+        plain = np.flatnonzero(~special)
+        if len(plain):
+            size = (end - begin)[plain]
+            own = points[ragged(begin[plain], size)]
+            wide = 1 + (own >= 0x80).astype(np.int64) + (own >= 0x800) + (own >= 0x10000)
+            data = np.frombuffer(own.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            ids, ends = self.merge(data, np.append(0, np.cumsum(np.add.reduceat(wide, np.cumsum(size) - size))))
+            length[plain] = np.diff(ends)
+        start = np.cumsum(length) - length
+        out = np.zeros(length.sum(), np.uint32)
+        out[ragged(start[plain], length[plain])] = ids
+        out[start[special]] = self.special_ids[points[begin[special]] - _SPECIALS_FROM]
+        known = np.concatenate([self.known, keys])
+        order = np.argsort(known)
+        self.known = known[order]
+        self.known_start = np.concatenate([self.known_start, start + len(self.known_ids)])[order]
+        self.known_length = np.concatenate([self.known_length, length])[order]
+        self.known_ids = np.concatenate([self.known_ids, out])
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Each text's token names, a blank between two."""
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = ids[a:b]
+            out.append(self.name_bytes[ragged(self.name_start[own], self.name_length[own])].tobytes()[:-1])
+        return out
+
+
+def unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, one place of each, and which of them each key is."""
+    from .quality import groups
+
+    order, fresh = groups(keys)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(keys))))
+    return keys[order[fresh]], order[fresh], which
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -196,18 +284,15 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
 
     def kernel(ids: pa.Array, texts: pa.Array) -> dict:
-        from .common import flat
-
         bpe = load(path)
-        data, offsets = flat(texts)
-        n, left, right, cache = [], [], [], bpe.cache
-        for words in bpe.split(data.tobytes(), offsets):
-            got = [cache[w] for w in words]
-            raw = b"".join([x[0] for x in got])
-            n.append(len(raw) // 4)
-            left.append(hashlib.sha256(raw).hexdigest())
-            right.append(hashlib.sha256(b" ".join([x[1] for x in got if x[1]])).hexdigest())
-        return {"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": left, "decoded_sha256": right}
+        got, offsets = bpe.encode(texts.to_pylist())
+        raw, edges = got.astype("<u4").tobytes(), (4 * offsets).tolist()
+        return {
+            "doc_id": ids,
+            "n_tokens": np.diff(offsets),
+            "ids_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:], strict=True)],
+            "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in bpe.decode(got, offsets)],
+        }
 
     kind = dict(df.dtypes)[id_col]
     return map_texts(df, kernel, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
