@@ -115,3 +115,14 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: int
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with files in the folder that the cluster names; a temporary one only where none is named."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint()

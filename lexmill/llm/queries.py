@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, quality, token_counts, wordbpe
+from . import licenses, media, packing, quality, token_counts, wordbpe
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,12 +30,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), WORD_BPE)
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repetition_rules, op4_bpe_round_trip, op5_token_counts, op8_license_scan, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op2_repetition_rules, op4_bpe_round_trip, op5_token_counts, op8_license_scan, op9_best_fit_packing, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
