@@ -126,3 +126,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint()
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every run without white space, and the first word of each text (n+1 of them)."""
+    white = WHITE[data]
+    begin, stop = ~white, ~white
+    begin[1:] &= white[:-1]
+    stop[:-1] &= white[1:]
+    filled = np.diff(offsets) > 0
+    edge, last = offsets[:-1][filled], offsets[1:][filled] - 1
+    begin[edge] = ~white[edge]
+    stop[last] = ~white[last]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, earlier ones first, and where each group starts in it."""
+    n = len(keys)
+    bits = np.uint64(max(n - 1, 1).bit_length())
+    packed = (keys >> bits << bits) | np.arange(n, dtype=np.uint64)  # sorting values is far quicker than argsort
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    fresh = np.ones(n, bool)
+    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    if (fresh[1:] & (packed[1:] >> bits == packed[:-1] >> bits)).any():  # two keys share their upper bits
+        order = np.argsort(keys, kind="stable")
+        fresh[1:] = keys[order[1:]] != keys[order[:-1]]
+    return order, np.flatnonzero(fresh)
+
+
+def text_salt(n: int) -> np.ndarray:
+    """A random word for each text of a batch."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64))

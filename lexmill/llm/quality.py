@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_WORD, WHITE, flat, map_texts, mix, per_row, prefix_hash, span_hash
+from .common import BYTE_WORD, WHITE, flat, groups, map_texts, per_row, prefix_hash, span_hash, text_salt, word_spans
 
 #: Largest share of characters inside later copies of n-grams, by n, and of one n-gram's copies.
 DUPLICATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -22,21 +22,6 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _WORD_ODD = 0xC2B2AE3D27D4EB4F
 
 
-def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts equal keys together, earlier ones first, and where each group starts in it."""
-    n = len(keys)
-    bits = np.uint64(max(n - 1, 1).bit_length())
-    packed = (keys >> bits << bits) | np.arange(n, dtype=np.uint64)  # sorting values is far quicker than argsort
-    packed.sort()
-    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    fresh = np.ones(n, bool)
-    fresh[1:] = keys[order[1:]] != keys[order[:-1]]
-    if (fresh[1:] & (packed[1:] >> bits == packed[:-1] >> bits)).any():  # two keys share their upper bits
-        order = np.argsort(keys, kind="stable")
-        fresh[1:] = keys[order[1:]] != keys[order[:-1]]
-    return order, np.flatnonzero(fresh)
-
-
 def _covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
     """Words inside any window of n words that starts at one of these places."""
     total = np.cumsum(np.bincount(at, minlength=size))[:size]
@@ -47,26 +32,16 @@ def _covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Counts of every text, and the shares of repeated characters."""
     n_texts = len(offsets) - 1
-    white = WHITE[data]
-    begin = ~white
-    begin[1:] &= white[:-1]
-    stop = ~white
-    stop[:-1] &= white[1:]
-    edge = offsets[:-1][np.diff(offsets) > 0]
-    begin[edge] = ~white[edge]
-    last = offsets[1:][np.diff(offsets) > 0] - 1
-    stop[last] = ~white[last]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    word_at = np.searchsorted(starts, offsets)  # first word of each text
+    starts, ends, word_at = word_spans(data, offsets)
     n_words = np.diff(word_at)
     of = np.repeat(np.arange(n_texts), n_words)
-    points = np.append(0, np.cumsum(~white & (data & 0xC0 != 0x80)))
+    points = np.append(0, np.cumsum(~WHITE[data] & (data & 0xC0 != 0x80)))
     size = points[ends] - points[starts]
     word_chars = per_row(size, word_at)
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": per_row(_SYMBOL[data], offsets)}
 
     prefix = prefix_hash(BYTE_WORD[data])
-    salt = mix(np.arange(1, n_texts + 1, dtype=np.uint64))
+    salt = text_salt(n_texts)
     total = np.maximum(word_chars, 1)
 
     # lines that hold a word
@@ -74,8 +49,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     first = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     first = first[first < len(data)]
     over = np.minimum(np.append(first[1:], len(data)), np.append(breaks, len(data))[np.searchsorted(breaks, first)]) if len(first) else first
-    held = np.append(0, np.cumsum(begin))
-    with_word = held[over] > held[first]
+    with_word = np.searchsorted(starts, over) > np.searchsorted(starts, first)
     first, over = first[with_word], over[with_word]
     line_of = np.searchsorted(offsets, first, "right") - 1
     again = _later(span_hash(prefix, first, over) ^ salt[line_of]) if len(first) else np.zeros(0, bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, media, packing, quality, token_counts, wordbpe
+from . import jaccard, langid, licenses, media, packing, quality, token_counts, wordbpe
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), PIECE_BPE)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repetition_rules, op4_bpe_round_trip, op5_token_counts, op7_language_id, op8_license_scan, op9_best_fit_packing, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op2_repetition_rules, op4_bpe_round_trip, op5_token_counts, op6_jaccard_join, op7_language_id, op8_license_scan, op9_best_fit_packing, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:

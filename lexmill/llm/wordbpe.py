@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, mix, prefix_hash, span_hash
+from .common import groups, map_texts, mix, prefix_hash, span_hash
 
 #: Pre-tokens and ids that a process keeps from earlier batches; at the limit it starts anew.
 CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
@@ -258,8 +258,6 @@ class WordBpe:
 
 def unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, one place of each, and which of them each key is."""
-    from .quality import groups
-
     order, fresh = groups(keys)
     which = np.empty(len(keys), np.int64)
     which[order] = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(keys))))

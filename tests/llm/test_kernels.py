@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexmill.llm import licenses, media, quality, token_counts, wordbpe
+from lexmill.llm import common, licenses, media, quality, token_counts, wordbpe
 from lexmill.llm.common import flat
 from lexmill.llm.queries import PIECE_BPE, WORD_BPE
 
@@ -67,7 +67,7 @@ def test_quality_shares():
 
 def test_groups_with_equal_upper_bits():
     keys = np.array([8, 9, 8, 9, 8, 3], np.uint64)
-    order, fresh = quality.groups(keys)
+    order, fresh = common.groups(keys)
     assert [sorted(x.tolist()) for x in np.split(order, fresh[1:])] == [[5], [0, 2, 4], [1, 3]]
 
 
