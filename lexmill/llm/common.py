@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +62,19 @@ def map_texts(
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, mask: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts mask() accepts; no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], names=["id", "text"])
+            kept = [mask(part.column(1)) for part in cut(both)]
+            yield batch.filter(pa.array(np.concatenate(kept), pa.bool_())) if kept else batch
+
+    return df.mapInArrow(run, df.schema)
+
+
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values in each [offsets[i], offsets[i+1])."""
     total = np.zeros(len(values) + 1, np.int64)
@@ -117,14 +131,26 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with files in the folder that the cluster names; a temporary one only where none is named."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for data between jobs; a temporary one only where none is named."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, span_hash, text_salt, word_spans
@@ -267,3 +267,16 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = docs.where("n > 0").join(answer, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("class_id"))
     empty = docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     return reduce(DataFrame.unionByName, [full, empty])
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One row of each near-duplicate component, that of the smallest id, with all its columns.
+
+    Of rows that share that id, one stays. Rows with a null id all stay, since no id tells them apart.
+    """
+    ids = jaccard_classes(df, id_col, text_col, width).where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
+    kept = df.join(ids.distinct(), df[id_col] == F.col("_first"), "left_semi")
+    if not df.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
+        order = Window.partitionBy(id_col).orderBy(F.xxhash64(*df.columns))
+        kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return kept.unionByName(df.where(F.col(id_col).isNull()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, cut, mix, per_row
+from .common import checkpoint, cut, keep_rows, mix, per_row
 
 #: An n-gram belongs to a language that has it this often among its n-grams; so at most 1 / SHARE of them do.
 SHARE = 2.0**-15
@@ -164,3 +164,15 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     held = fold(id_col, 3) == 1
     model = learn(df.where(~held), text_col, lang_col)
     return identify(df, model, id_col, text_col).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """The rows, with all their columns, whose language language_id() tells with a score of `least` or more.
+
+    If no row has a language to learn from, nothing can be rejected and all rows stay.
+    """
+    model = learn(df.where(fold(id_col, 3) != 1), text_col, lang_col)
+    if not model.langs:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(df, lambda texts: shared.value.decide(texts.to_pylist())[1] >= least, text_col)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_WORD, WHITE, flat, groups, map_texts, per_row, prefix_hash, span_hash, text_salt, word_spans
+from .common import BYTE_WORD, WHITE, flat, groups, keep_rows, map_texts, per_row, prefix_hash, span_hash, text_salt, word_spans
 
 #: Largest share of characters inside later copies of n-grams, by n, and of one n-gram's copies.
 DUPLICATED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -129,3 +129,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = dict(df.dtypes)[id_col]
     shares = ", ".join(f"{k} double" for k in _SHARES)
     return map_texts(df, kernel, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, {shares}", id_col, text_col)
+
+
+def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that quality_rules() keeps, with all their columns."""
+    return keep_rows(df, lambda texts: verdict(measure(*flat(texts)))[1], text_col)

@@ -21,8 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, span_hash
 
@@ -192,21 +194,23 @@ def _decided(runs: dict[str, np.ndarray], n_texts: int, binary: pa.Array) -> np.
     return verdict
 
 
-def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text) of every row.
+def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", replace: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with replace, the rows themselves with what is left of the text.
 
     A byte goes if a string of `threshold` bytes around it also starts in a row with a smaller id;
     ids are whole numbers. Rows that share an id don't remove from each other, whether they
     are repeated or differ. A row with a null id neither removes nor loses anything. A null
-    text counts as empty. A cut can split a UTF-8 character; `kept` drops such partial
-    characters, while the hash is of the exact bytes. Other columns are not read. An empty
+    text counts as empty. A cut can split a UTF-8 character; a replaced text drops such partial
+    characters, while the hash is of the exact bytes, and a null text stays null. Other columns
+    are only read with replace. An empty
     table gives no rows.
     """
     if threshold < GRAM:
         raise ValueError(f"the threshold must be {GRAM} bytes at least")
     spark = df.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("rest")] if replace else []
+    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *rest)
     repeated = not rows.groupBy("doc").count().where("doc IS NOT NULL AND count > 1").isEmpty()
     # rows of one id with different texts are told apart by a checksum, which would only cost room elsewhere
     rows = rows.withColumn("tag", F.coalesce(F.crc32("text"), F.lit(0)) if repeated else F.lit(0).cast("long"))
@@ -243,7 +247,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         order, verdict = order[verdict > 0], verdict[verdict > 0]
         yield from _send(_home(doc[order], parts), [nth[order], verdict], doc[order], tag[order])
 
-    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(name, _BLOCKS).repartition(parts, "part").mapInArrow(rank, _BLOCKS)
+    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(name, _BLOCKS).repartition(parts, "part").mapInArrow(rank, _BLOCKS)
     first = checkpoint(_gathered(sent, parts, 2, "runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +276,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch.select(["doc", "text", "runs", "at"])):
+            for part in cut(batch.select(["doc", "text", "runs", "at", *["rest"] * replace])):
                 data, offsets = flat(part.column(1))
                 runs = contexts(data, offsets, threshold)
                 gone = np.flatnonzero(_decided(runs, part.num_rows, part.column(2)) == _GONE)
@@ -291,14 +295,20 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
                 raw, removed = data.tobytes(), per_row(lost, offsets)
                 kept = [raw[a:b] if not r else data[a:b][~lost[a:b]].tobytes() for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
                 out = {"doc_id": part.column(0), "n_bytes": np.diff(offsets), "n_removed": removed, "n_spans": per_row(lead, offsets), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
-                yield pa.RecordBatch.from_pydict(out | ({"kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())} if keep_text else {}))
+                if replace:
+                    left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+                    out = {"rest": part.column(4), "text": pc.if_else(part.column(1).is_valid(), left, None)}
+                yield pa.RecordBatch.from_pydict(out)
 
     joined = rows.join(first.hint("shuffle_hash"), ["doc", "tag"], "left")
     # no filter here: with the same columns and rows, both readers share one shuffle of the texts
     still = joined.mapInArrow(windows, _BLOCKS)
     last = _gathered(still.repartition(parts, "part").mapInArrow(decide, _BLOCKS), parts, 1, "at")
-    both = joined.join(last.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", "at")
+    both = joined.join(last.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", "at", *["rest"] * replace)
+    if replace:
+        schema = T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())])
+        columns = [F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in df.columns]
+        return both.mapInArrow(strip, schema).select(*columns)
+    out = both.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     kind = dict(df.dtypes)[id_col]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    out = both.mapInArrow(strip, schema)
     return out if kind == "bigint" else out.withColumn("doc_id", F.col("doc_id").cast(kind))
