@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, media, packing, quality, substrings, token_counts, wordbpe
+from . import jaccard, langid, licenses, lm, media, packing, quality, substrings, token_counts, wordbpe
 from .common import documents
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(documents(spark, sf_dir), WORD_BPE)
+
+
 def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repetition_rules, op3_suffix_dedup, op4_bpe_round_trip, op5_token_counts, op6_jaccard_join, op7_language_id, op8_license_scan, op9_best_fit_packing, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_repetition_rules, op3_suffix_dedup, op4_bpe_round_trip, op5_token_counts, op6_jaccard_join, op7_language_id, op8_license_scan, op9_best_fit_packing, op10_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:

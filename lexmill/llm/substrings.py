@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import BLOCKS, home, receive, send
 from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, span_hash
 
 #: Bytes of the strings that the first round ranks.
@@ -90,70 +91,6 @@ def contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str,
     return {"of": of, "first": first, "last": last, "name": name[at[lead]], "around": around}
 
 
-def _trim(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
-
-
-def _widen(data: bytes, at: int, count: int, n: int) -> np.ndarray:
-    out = np.zeros((count, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8, count * n, at).reshape(count, n)
-    return out.view("<u8").ravel()
-
-
-def write_block(columns: list[np.ndarray], doc: np.ndarray, tag: np.ndarray) -> bytes:
-    """Columns of small or sorted numbers with the document of each; the first column's differences are stored."""
-    docs, which = np.unique(np.stack([doc.astype(np.int64), tag.astype(np.int64)], 1), axis=0, return_inverse=True) if tag.any() else (None, None)
-    if docs is None:
-        ids, which = np.unique(doc, return_inverse=True)
-        docs = np.stack([ids.astype(np.int64), np.zeros(len(ids), np.int64)], 1)
-    order = np.argsort(columns[0], kind="stable")
-    columns = [np.diff(columns[0][order].astype(np.uint64), prepend=np.uint64(0)), *(c[order].astype(np.uint64) for c in columns[1:]), which.ravel()[order].astype(np.uint64)]
-    base, columns[0][0] = int(columns[0][0]), 0
-    sizes = [max(1, (int(c.max()).bit_length() + 7) // 8) for c in columns]
-    head = np.array([len(order), len(docs), base, *sizes], np.uint64)
-    table = np.diff(docs, axis=0, prepend=0)
-    return b"".join([head.tobytes(), table[:, 0].tobytes(), table[:, 1].tobytes(), *(_trim(c, s) for c, s in zip(columns, sizes, strict=True))])
-
-
-def read_block(data: bytes, n_columns: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    head = np.frombuffer(data, np.uint64, 4 + n_columns)
-    n, n_docs, at = int(head[0]), int(head[1]), 8 * (4 + n_columns)
-    doc = np.cumsum(np.frombuffer(data, np.int64, n_docs, at))
-    tag = np.cumsum(np.frombuffer(data, np.int64, n_docs, at + 8 * n_docs))
-    at += 16 * n_docs
-    columns = []
-    for size in head[3:].tolist():
-        columns.append(_widen(data, at, n, int(size)))
-        at += n * int(size)
-    which = columns.pop().astype(np.int64)
-    columns[0] = np.cumsum(columns[0]) + head[2]
-    return columns, doc[which], tag[which]
-
-
-def _send(part: np.ndarray, columns: list[np.ndarray], doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One block for each part."""
-    if not len(part):
-        return
-    order = np.argsort(part, kind="stable")
-    parts, first = np.unique(part[order], return_index=True)
-    for p, rows in zip(parts.tolist(), np.split(order, first[1:]), strict=True):
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([write_block([c[rows] for c in columns], doc[rows], tag[rows])], pa.binary())], names=["part", "block"])
-
-
-def _receive(batches: Iterator[pa.RecordBatch], n_columns: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
-    got = [read_block(x, n_columns) for batch in batches for x in batch.column(1).to_pylist()]
-    if not got:
-        return None
-    return [np.concatenate([g[0][k] for g in got]) for k in range(n_columns)], np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-
-
-_BLOCKS = "part int, block binary"
-
-
-def _home(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-
-
 def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
     """The smallest document of each row's group; rows must stand in order of keys and document."""
     fresh = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
@@ -164,7 +101,7 @@ def _gathered(sent: DataFrame, parts: int, n_columns: int, column: str) -> DataF
     """doc, tag and one binary a document with the columns of all its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _receive(batches, n_columns)
+        got = receive(batches, n_columns)
         if got is None:
             return
         columns, doc, tag = got
@@ -224,10 +161,10 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
                 short = runs["name"] >> np.uint64(64 - BITS)
                 nth = np.arange(len(of)) - np.searchsorted(of, of)
                 where = (short * np.uint64(parts) >> np.uint64(BITS)).astype(np.int32)
-                yield from _send(where, [short, runs["around"] >> np.uint64(16), nth], part.column(0).to_numpy()[of], part.column(2).to_numpy()[of])
+                yield from send(where, [short, runs["around"] >> np.uint64(16), nth], part.column(0).to_numpy()[of], part.column(2).to_numpy()[of])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _receive(batches, 3)
+        got = receive(batches, 3)
         if got is None:
             return
         (short, around, nth), doc, tag = got
@@ -245,9 +182,9 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         mixed = np.bincount(run, np.append(True, (run[1:] != run[:-1]) | (own_around[1:] != own_around[:-1])))[run] > 1
         verdict = np.where(gone, _GONE, np.where(mixed, _OPEN, _KEEP))
         order, verdict = order[verdict > 0], verdict[verdict > 0]
-        yield from _send(_home(doc[order], parts), [nth[order], verdict], doc[order], tag[order])
+        yield from send(home(doc[order], parts), [nth[order], verdict], doc[order], tag[order])
 
-    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(name, _BLOCKS).repartition(parts, "part").mapInArrow(rank, _BLOCKS)
+    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(name, BLOCKS).repartition(parts, "part").mapInArrow(rank, BLOCKS)
     first = checkpoint(_gathered(sent, parts, 2, "runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,16 +200,16 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
                 names = span_hash(prefix_hash(BYTE_WORD[data]), at, at + threshold)
                 of = np.repeat(runs["of"][left], size)
                 where = ((names >> np.uint64(16)) * np.uint64(parts) >> np.uint64(BITS)).astype(np.int32)
-                yield from _send(where, [names, at - offsets[of]], part.column(0).to_numpy()[of], part.column(2).to_numpy()[of])
+                yield from send(where, [names, at - offsets[of]], part.column(0).to_numpy()[of], part.column(2).to_numpy()[of])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _receive(batches, 2)
+        got = receive(batches, 2)
         if got is None:
             return
         (names, at), doc, tag = got
         order = np.lexsort((doc, names))
         gone = order[_smallest([names[order]], doc[order]) < doc[order]]
-        yield from _send(_home(doc[gone], parts), [at[gone]], doc[gone], tag[gone])
+        yield from send(home(doc[gone], parts), [at[gone]], doc[gone], tag[gone])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +239,8 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
 
     joined = rows.join(first.hint("shuffle_hash"), ["doc", "tag"], "left")
     # no filter here: with the same columns and rows, both readers share one shuffle of the texts
-    still = joined.mapInArrow(windows, _BLOCKS)
-    last = _gathered(still.repartition(parts, "part").mapInArrow(decide, _BLOCKS), parts, 1, "at")
+    still = joined.mapInArrow(windows, BLOCKS)
+    last = _gathered(still.repartition(parts, "part").mapInArrow(decide, BLOCKS), parts, 1, "at")
     both = joined.join(last.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", "at", *["rest"] * replace)
     if replace:
         schema = T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())])

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lexmill.llm import substrings
+from lexmill.llm import blocks, substrings
 
 
 def plain(rows: list[tuple], threshold: int = 50) -> list[tuple]:
@@ -73,5 +73,5 @@ def test_blocks_round_trip():
     for n, tags in ((1, 0), (500, 0), (500, 1)):
         columns = [rng.integers(0, 1 << 62, n).astype(np.uint64), rng.integers(0, 300, n).astype(np.uint64)]
         doc, tag = rng.integers(-50, 50, n), rng.integers(0, 5, n) * tags
-        got, d, t = substrings.read_block(substrings.write_block(columns, doc, tag), 2)
+        got, d, t = blocks.read_block(blocks.write_block(columns, doc, tag), 2)
         assert sorted(zip(*(x.tolist() for x in (*got, d, t)), strict=True)) == sorted(zip(*(x.tolist() for x in (*columns, doc, tag)), strict=True))
