@@ -1,15 +1,679 @@
-"""Registered queries of the retrieval engine."""
+"""Registered queries of the retrieval engine, each with DuckDB SQL for the same rows.
+
+Vectors: `embeddings`, dimensions 1-40 as model a, 41-64 as model b, 1-16 as a third score c;
+queries are the vectors whose id is divisible by 100, against all vectors. Relevant is what has
+the query's label. Texts: `benchmark` items as queries against `documents`. Versions:
+`conversations`, a conversation's turns as versions. Code: a few fixed sources, whose
+expected rows are worked out by hand, since SQL can't parse Python.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexmill.functions import code as code_functions
+from lexmill.functions.scores import by_score, discount, reciprocal_rank, standardize
+from lexmill.functions.text import STOPWORDS, code_tokens, identifier_words, jaccard, query_terms, text_fingerprint, token_set
+from lexmill.operators import dense, fusion, lexical, metrics, router, symbolic, validation, versions
+
+PARTS = {"a": (0, 40), "b": (40, 64), "c": (0, 16)}
+WEIGHTS = {"a": 0.65, "b": 0.35}
 
-from pyspark.sql import DataFrame, SparkSession
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# ---------------------------------------------------------------- dense scores and fusion
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return dense.scores(e.where("id % 100 = 0"), e, PARTS, "id", "id")
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are rounded before ranking, so both engines see the same ties."""
+    return fusion.fuse(scored(spark, sf_dir), WEIGHTS).withColumn("score", r6("score"))
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).withColumn("rank", F.row_number().over(by_score("score", "doc_id")))
+
+
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest id above each query's with its label: one relevant document a query."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return q.join(e, "label").where("vec_id > qid").groupBy("qid").agg(F.min("vec_id").alias("doc_id"))
+
+
+def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return q.join(e, "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("doc_id"), (F.lit(1) + (F.col("vec_id") % 3)).cast("int").alias("rel"))
+
+
+S = """e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings),
+s AS (SELECT q.vec_id qid, d.vec_id doc_id, list_dot_product(q.v[1:40], d.v[1:40]) a, list_dot_product(q.v[41:64], d.v[41:64]) b, list_dot_product(q.v[1:16], d.v[1:16]) c
+ FROM e q, e d WHERE q.vec_id % 100 = 0)"""
+Z = S + """, z AS (SELECT *, (a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-8) za, (b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-8) zb FROM s WINDOW w AS (PARTITION BY qid)),
+f AS (SELECT *, round(0.65 * za + 0.35 * zb, 6) score FROM z)"""
+R = Z + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM f)"
+REL = "rel AS (SELECT q.vec_id qid, min(d.vec_id) doc_id FROM e q JOIN e d ON q.label = d.label AND d.vec_id > q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1)"
+QRELS = "qr AS (SELECT q.vec_id qid, d.vec_id doc_id, 1 + d.vec_id % 3 rel FROM e q JOIN e d ON q.label = d.label AND d.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)"
+STRICT = R + ", " + REL + ", sr AS (SELECT f.qid, g.doc_id, count(*) FILTER (f.score > g.score) + 1 rank FROM f JOIN (SELECT f.qid, f.doc_id, f.score FROM f JOIN rel USING (qid, doc_id)) g USING (qid) GROUP BY 1, 2)"
+MARGIN = R + ", m AS (SELECT qid, round(max(score) - min(score), 6) margin FROM r WHERE rank <= 2 GROUP BY qid)"
+
+
+@register(f"WITH {S} SELECT qid, doc_id, round(a, 6) a, round(b, 6) b FROM s")
+def dense_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("qid", "doc_id", r6("a").alias("a"), r6("b").alias("b"))
+
+
+@register(f"WITH {S}, t AS (SELECT qid, doc_id, round(a, 6) score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM t) SELECT qid, doc_id, score, rank::BIGINT rank FROM r WHERE rank <= 10")
+def dense_topk(spark, sf_dir):
+    return dense.top_k(scored(spark, sf_dir).select("qid", "doc_id", r6("a").alias("score")), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("SELECT p.vec_id a, n.vec_id b, round(list_dot_product(p.embedding::DOUBLE[], n.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(n.embedding::DOUBLE[], n.embedding::DOUBLE[]))), 6) cosine FROM embeddings p JOIN embeddings n ON n.vec_id = p.vec_id + 1")
+def cosine_neighbours(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    n = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("w"))
+    pairs = e.select(F.col("vec_id").alias("a"), "embedding").join(n, F.col("b") == F.col("a") + 1)
+    return pairs.select("a", "b", r6(dense.cosine(F.col("embedding"), F.col("w"))).alias("cosine"))
+
+
+@register(f"WITH {Z} SELECT qid, doc_id, round(za, 6) z_a, round(zb, 6) z_b FROM z")
+def zscores(spark, sf_dir):
+    return standardize(scored(spark, sf_dir), ["a", "b"]).select("qid", "doc_id", r6("z_a").alias("z_a"), r6("z_b").alias("z_b"))
+
+
+@register(f"WITH {S}, t AS (SELECT qid, doc_id, a, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, doc_id) rank FROM s), h AS (SELECT * FROM t WHERE rank <= 20) SELECT qid, doc_id, round(CASE WHEN stddev_pop(a) OVER w < 1e-8 THEN 0 ELSE (a - avg(a) OVER w) / stddev_pop(a) OVER w END, 6) z FROM h WINDOW w AS (PARTITION BY qid)")
+def zscore_guarded(spark, sf_dir):
+    head = dense.top_k(scored(spark, sf_dir).withColumn("score", r6("a")), 20).select("qid", "doc_id", "a")
+    return standardize(head, ["a"], guarded=True).select("qid", "doc_id", r6("z_a").alias("z"))
+
+
+@register(f"WITH {R} SELECT qid, doc_id, score, rank::BIGINT rank FROM r WHERE rank <= 10")
+def zscore_fusion_topk(spark, sf_dir):
+    return dense.top_k(fused(spark, sf_dir).select("qid", "doc_id", "score"), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+GRID = [0.0, 0.25, 0.5, 0.65, 0.75, 1.0]
+_GRID_SQL = f"WITH {Z}, {REL}, g AS (SELECT qid, doc_id, w.weight, round(w.weight * za + (1 - w.weight) * zb, 6) score FROM z, (SELECT unnest([{', '.join(map(str, GRID))}])::DOUBLE weight) w), r AS (SELECT *, row_number() OVER (PARTITION BY weight, qid ORDER BY score DESC, doc_id) rank FROM g), m AS (SELECT weight, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) ndcg, round(avg(1.0 / rank), 6) mrr FROM r JOIN rel USING (qid, doc_id) GROUP BY weight)"
+
+
+def _grid(spark, sf_dir):
+    g = fusion.weight_grid(standardize(scored(spark, sf_dir), ["a", "b"]), "z_a", "z_b", GRID).withColumn("score", r6("score"))
+    r = g.withColumn("rank", F.row_number().over(Window.partitionBy("weight", "qid").orderBy(F.desc("score"), "doc_id")))
+    return r.join(relevant(spark, sf_dir), ["qid", "doc_id"]).groupBy("weight").agg(r6(F.avg(F.when(F.col("rank") <= 10, discount(F.col("rank"))).otherwise(0.0))).alias("ndcg"), r6(F.avg(F.lit(1.0) / F.col("rank"))).alias("mrr"))
+
+
+@register(_GRID_SQL + " SELECT weight, ndcg, mrr FROM m")
+def fusion_weight_grid(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+@register(_GRID_SQL + " SELECT weight, ndcg, mrr FROM m ORDER BY ndcg DESC, mrr DESC, weight LIMIT 1")
+def grid_argmax(spark, sf_dir):
+    return fusion.argmax(_grid(spark, sf_dir), "weight", "ndcg", "mrr")
+
+
+_RRF = f"WITH {S}, k AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, doc_id) ra, row_number() OVER (PARTITION BY qid ORDER BY round(b, 6) DESC, doc_id) rb FROM s)"
+
+
+def _both_ranks(spark, sf_dir):
+    s = scored(spark, sf_dir).select("qid", "doc_id", r6("a").alias("a"), r6("b").alias("b"))
+    return fusion.ranks(s, ["a", "b"])
+
+
+@register(_RRF + ", f AS (SELECT qid, doc_id, round(0.65 / (60 + ra) + 0.35 / (60 + rb), 9) score FROM k), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM f) SELECT qid, doc_id, score, rank::BIGINT rank FROM t WHERE rank <= 10")
+def rrf_fusion(spark, sf_dir):
+    f = fusion.reciprocal_rank_fusion(_both_ranks(spark, sf_dir), WEIGHTS).select("qid", "doc_id", F.round("score", 9).alias("score"))
+    return dense.top_k(f, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+BETAS = [0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5]
+
+
+@register(_RRF + f", f AS (SELECT qid, doc_id, beta, round(1.0 / (60 + ra) + beta / (60 + rb), 9) score FROM k, (SELECT unnest([{', '.join(map(str, BETAS))}])::DOUBLE beta)) SELECT beta, qid, first(doc_id ORDER BY score DESC, doc_id) doc_id FROM f GROUP BY 1, 2")
+def rrf_weight_grid(spark, sf_dir):
+    g = _both_ranks(spark, sf_dir).withColumn("beta", F.explode(F.array(*map(F.lit, BETAS))))
+    g = g.withColumn("score", F.round(reciprocal_rank(F.col("rank_a")) + F.col("beta") * reciprocal_rank(F.col("rank_b")), 9))
+    return g.groupBy("beta", "qid").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"))
+
+
+@register(f"WITH {Z}, g AS (SELECT qid, doc_id, c, 0.65 * za + 0.35 * zb x FROM z), h AS (SELECT qid, doc_id, round(0.8 * (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-8) + 0.2 * (c - avg(c) OVER w) / (stddev_pop(c) OVER w + 1e-8), 6) score FROM g WINDOW w AS (PARTITION BY qid)), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM h) SELECT qid, doc_id, score, rank::BIGINT rank FROM t WHERE rank <= 10")
+def structural_weight_fusion(spark, sf_dir):
+    f = fusion.structural_fusion(scored(spark, sf_dir), WEIGHTS, "c", 0.2).select("qid", "doc_id", r6("score").alias("score"))
+    return dense.top_k(f, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------- confidence
+
+
+def _margins(spark, sf_dir):
+    return fusion.margins(fused(spark, sf_dir)).withColumn("margin", r6("margin"))
+
+
+@register(f"WITH {MARGIN} SELECT qid, margin FROM m")
+def confidence_margin(spark, sf_dir):
+    return _margins(spark, sf_dir)
+
+
+@register(f"WITH {MARGIN} SELECT round(quantile_cont(margin, 0.3), 6) threshold FROM m")
+def confidence_threshold(spark, sf_dir):
+    return fusion.threshold(_margins(spark, sf_dir)).select(r6("threshold").alias("threshold"))
+
+
+@register(f"WITH {MARGIN} SELECT qid, margin, margin <= (SELECT quantile_cont(margin, 0.3) FROM m) gated FROM m")
+def confidence_gate(spark, sf_dir):
+    return fusion.gate(_margins(spark, sf_dir))
+
+
+@register(f"WITH {MARGIN} SELECT qid, margin FROM m ORDER BY margin, qid LIMIT (SELECT floor(count(*) * 0.3)::BIGINT FROM m)")
+def fraction_gate(spark, sf_dir):
+    return fusion.lowest_share(_margins(spark, sf_dir))
+
+
+@register(f"WITH {MARGIN}, g AS (SELECT qid FROM m WHERE margin <= (SELECT quantile_cont(margin, 0.5) FROM m)), h AS (SELECT r.* FROM r JOIN g USING (qid) WHERE rank <= 20), b AS (SELECT qid, doc_id, rank, 0.8 * (score - avg(score) OVER w) / stddev_pop(score) OVER w + 0.2 * (c - avg(c) OVER w) / stddev_pop(c) OVER w x FROM h WINDOW w AS (PARTITION BY qid)), n AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, rank) new_rank FROM b) SELECT r.qid, r.doc_id, r.score, r.rank::BIGINT rank, coalesce(n.new_rank, r.rank)::BIGINT new_rank FROM r LEFT JOIN n USING (qid, doc_id) WHERE r.rank <= 100")
+def gated_rerank_blend(spark, sf_dir):
+    gated = fusion.gate(_margins(spark, sf_dir), share=0.5)
+    out = fusion.rerank(ranked(spark, sf_dir).where("rank <= 100"), "c", gated)
+    return out.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"), F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@register(f"WITH {MARGIN} SELECT qid, doc_id, round(za, 6) z_a, round(zb, 6) z_b, score, round(za - zb, 6) difference, round(abs(za - zb), 6) distance, round(za * zb, 6) product, round(1 / log2(rank + 1), 6) discount, margin FROM r JOIN m USING (qid) WHERE rank <= 20")
+def fusion_features(spark, sf_dir):
+    f = fusion.features(ranked(spark, sf_dir).where("rank <= 20"), _margins(spark, sf_dir), "a", "b")
+    return f.select("qid", "doc_id", *(r6(c).alias(c) for c in ("z_a", "z_b", "score", "difference", "distance", "product", "discount", "margin")))
+
+
+# ---------------------------------------------------------------- ranking quality
+
+
+def _strict(spark, sf_dir):
+    return metrics.strict_rank(fused(spark, sf_dir), relevant(spark, sf_dir))
+
+
+@register(f"WITH {STRICT} SELECT qid, doc_id, rank::BIGINT rank FROM sr")
+def rank_strict_count(spark, sf_dir):
+    return _strict(spark, sf_dir)
+
+
+@register(f"WITH {STRICT} SELECT CASE WHEN rank <= 1 THEN '1' WHEN rank <= 3 THEN '2-3' WHEN rank <= 5 THEN '4-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 20 THEN '11-20' WHEN rank <= 50 THEN '21-50' WHEN rank <= 100 THEN '51-100' ELSE '>100' END bucket, count(*) n FROM sr GROUP BY 1")
+def rank_buckets(spark, sf_dir):
+    return metrics.buckets(_strict(spark, sf_dir))
+
+
+@register(f"WITH {STRICT} SELECT d.depth, round(avg((rank <= d.depth)::INT), 6) recall FROM sr, (SELECT unnest([5, 10, 15, 20, 30, 50, 100])::INT depth) d GROUP BY 1")
+def recall_by_depth(spark, sf_dir):
+    return metrics.recall_by_depth(_strict(spark, sf_dir)).select("depth", r6("recall").alias("recall"))
+
+
+@register(f"WITH {STRICT} SELECT median(rank)::DOUBLE median_rank, round(avg(rank), 6) mean_rank, max(rank)::BIGINT max_rank FROM sr")
+def rank_summary(spark, sf_dir):
+    return metrics.summary(_strict(spark, sf_dir)).withColumn("mean_rank", r6("mean_rank"))
+
+
+@register(f"WITH {STRICT} SELECT round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) ndcg, round(avg(1.0 / rank), 6) mrr, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 6) mrr_at_k, round(avg((rank <= 10)::INT), 6) recall, round(avg((rank = 1)::INT), 6) rank1 FROM sr")
+def ndcg_mrr_recall(spark, sf_dir):
+    m = metrics.single_relevant(_strict(spark, sf_dir))
+    return m.select(*(r6(c).alias(c) for c in m.columns))
+
+
+_GRADED = f"""WITH {R}, {QRELS}, run AS (SELECT * FROM r WHERE doc_id <> qid),
+rr AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) rank FROM run),
+i AS (SELECT qid, sum(CASE WHEN p <= 10 THEN (pow(2, rel) - 1) / log2(p + 1) ELSE 0 END) ideal, count(*) relevant FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) p FROM qr) GROUP BY 1),
+h AS (SELECT rr.qid, rr.rank, qr.rel, row_number() OVER (PARTITION BY rr.qid ORDER BY rr.rank) nth FROM rr JOIN qr USING (qid, doc_id) WHERE rr.rank <= 10),
+p AS (SELECT qid, sum((pow(2, rel) - 1) / log2(rank + 1)) dcg, count(*) found, min(rank) first, sum(nth / rank) precisions FROM h GROUP BY 1)"""
+
+
+def _graded(spark, sf_dir):
+    run = ranked(spark, sf_dir).where("doc_id <> qid").select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).alias("rank"))
+    return metrics.graded(run, qrels(spark, sf_dir))
+
+
+@register(_GRADED + " SELECT i.qid, round(coalesce(dcg / ideal, 0), 6) ndcg, round(coalesce(1.0 / first, 0), 6) mrr FROM i LEFT JOIN p USING (qid)")
+def graded_ndcg(spark, sf_dir):
+    return _graded(spark, sf_dir).select("qid", r6("ndcg").alias("ndcg"), r6("mrr").alias("mrr"))
+
+
+@register(_GRADED + " SELECT i.qid, round(coalesce(precisions / least(relevant, 10), 0), 6) ap, round(coalesce(found / 10, 0), 6) AS precision_at_10, round(coalesce(found / relevant, 0), 6) recall, CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END hit FROM i LEFT JOIN p USING (qid)")
+def map_precision_hit(spark, sf_dir):
+    return _graded(spark, sf_dir).select("qid", r6("ap").alias("ap"), r6("precision").alias("precision_at_10"), r6("recall").alias("recall"), "hit")
+
+
+@register(f"WITH {STRICT}, m AS (SELECT qid, round(max(score) - min(score), 6) margin FROM r WHERE rank <= 2 GROUP BY qid), p AS (SELECT sr.rank, row_number() OVER (ORDER BY margin, qid) place, count(*) OVER () n FROM sr JOIN m USING (qid)) SELECT s.share, count(*) FILTER (place <= floor(n * s.share)) gated, count(*) FILTER (place <= floor(n * s.share) AND rank > 1) not_first, count(*) FILTER (place <= floor(n * s.share) AND rank > 10) beyond_10, count(*) FILTER (place <= floor(n * s.share) AND rank BETWEEN 11 AND 20) from_11_to_20, round(count(*) FILTER (place <= floor(n * s.share)) * 20 / 8.16, 6) AS seconds FROM p, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5])::DOUBLE share) s GROUP BY 1")
+def gating_capture(spark, sf_dir):
+    return metrics.capture(_strict(spark, sf_dir), _margins(spark, sf_dir)).withColumn("seconds", r6("seconds"))
+
+
+@register(f"WITH {STRICT} SELECT sr.qid, sr.doc_id, sr.rank::BIGINT rank, list(r.doc_id ORDER BY r.rank) top3 FROM (SELECT * FROM sr ORDER BY rank DESC, qid LIMIT 5) sr JOIN r ON r.qid = sr.qid AND r.rank <= 3 GROUP BY 1, 2, 3")
+def worst_failures(spark, sf_dir):
+    worst = _strict(spark, sf_dir).orderBy(F.desc("rank"), "qid").limit(5)
+    top = ranked(spark, sf_dir).where("rank <= 3").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("top3"))
+    return worst.join(top, "qid")
+
+
+@register()
+def paired_bootstrap(spark, sf_dir):
+    """Of the fused against the first model's reciprocal ranks; random, so without SQL."""
+    rel = relevant(spark, sf_dir)
+    both = _both_ranks(spark, sf_dir).join(rel, ["qid", "doc_id"]).select("qid", (F.lit(1.0) / F.col("rank_a")).alias("before"))
+    after = _strict(spark, sf_dir).select("qid", (F.lit(1.0) / F.col("rank")).alias("after"))
+    return metrics.bootstrap(both.join(after, "qid").select("qid", (F.col("after") - F.col("before")).alias("delta")), rounds=400)
+
+
+@register(f"WITH {R} SELECT qid, list(doc_id ORDER BY rank) docs FROM r WHERE rank <= 100 GROUP BY qid")
+def ranking_export(spark, sf_dir):
+    from lexmill.sources.io import export_rankings
+
+    return export_rankings(ranked(spark, sf_dir)).select("qid", "docs")
+
+
+# ---------------------------------------------------------------- texts
+
+PATTERN = "[A-Za-z_][A-Za-z0-9_]*|[0-9]+|==|!=|<=|>=|//|\\*\\*|[+\\-*/%<>]"
+TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{PATTERN}')"
+
+
+@register(f"SELECT doc_id, len({TOKENS})::BIGINT n_tokens, len(list_distinct({TOKENS}))::BIGINT n_distinct, {TOKENS}[1:5] first_tokens FROM documents")
+def code_token_counts(spark, sf_dir):
+    t = code_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(token_set(F.col("text"))).cast("long").alias("n_distinct"), F.slice(t, 1, 5).alias("first_tokens"))
+
+
+_BM25 = f"""WITH t AS (SELECT doc_id, {TOKENS} toks FROM documents), l AS (SELECT doc_id, len(toks) dl FROM t),
+c AS (SELECT doc_id, token, count(*) tf FROM (SELECT doc_id, unnest(toks) token FROM t) GROUP BY 1, 2),
+n AS (SELECT count(*) n_docs, avg(dl) avgdl FROM l), d AS (SELECT token, count(*) df FROM c GROUP BY 1),
+i AS (SELECT token, ln(n_docs - df + 0.5) - ln(df + 0.5) raw, avgdl FROM d, n), j AS (SELECT token, avgdl, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END idf FROM i),
+q AS (SELECT item_id qid, token, count(*) times FROM (SELECT item_id, unnest({TOKENS}) token FROM benchmark) GROUP BY 1, 2),
+b AS (SELECT qid, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score FROM c JOIN j USING (token) JOIN l USING (doc_id) JOIN q USING (token) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM b)"""
+
+
+def _bm25(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return lexical.bm25(q, table(spark, sf_dir, "documents")).withColumn("score", r6("score"))
+
+
+@register(_BM25 + " SELECT qid, doc_id, score, rank::BIGINT rank FROM k WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return dense.top_k(_bm25(spark, sf_dir), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(_BM25 + ", rel AS (SELECT item_id qid, min(doc_id) doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT count(*) relevant, count(*) FILTER (k.rank <= 100) within_100, count(*) FILTER (k.rank <= 500) within_500, count(*) FILTER (k.rank IS NULL OR k.rank > 100) missed FROM rel LEFT JOIN k USING (qid, doc_id)")
+def bm25_rescues(spark, sf_dir):
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    # a stated query set of bounded size against all texts
+    rel = d.join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).groupBy(F.col("item_id").alias("qid")).agg(F.min("doc_id").alias("doc_id"))
+    k = _bm25(spark, sf_dir).withColumn("rank", F.row_number().over(by_score("score", "doc_id")))
+    joined = rel.join(k, ["qid", "doc_id"], "left")
+    return joined.agg(F.count("*").alias("relevant"), F.count_if(F.col("rank") <= 100).alias("within_100"), F.count_if(F.col("rank") <= 500).alias("within_500"), F.count_if(F.col("rank").isNull() | (F.col("rank") > 100)).alias("missed"))
+
+
+ASKED = [
+    (1, "check whether a tic tac toe board state is valid"), (2, "find code that performs binary search"), (3, "which functions call parse_config before save_config?"),
+    (4, "find usages of torch.nn.Linear"), (5, "which files import requests?"), (6, "find recursive functions that traverse a tree"),
+    (7, "show how this implementation changed between versions"), (8, "find the older implementation of authentication"), (9, "which classes contain nested loops?"),
+    (10, "code that sorts a string according to a custom ordering"), (11, "which files import math?"), (12, "which functions call range before print?"), (13, "show binary search version history"), (14, "use a heap"),
+]
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "qid int, text string")
+
+
+_ASKED_SQL = "q(qid, text) AS (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in ASKED) + ")"
+_ROUTES = " ".join("WHEN regexp_matches(text, '{}', 'i') THEN '{}'".format("|".join(f"(?:{p})" for p in ps).replace("'", "''"), name) for name, ps in router.PATTERNS.items())
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+_FOUND = f"list_filter(regexp_extract_all(text, '\\b[A-Za-z_][A-Za-z0-9_.]*\\b'), lambda w: NOT list_contains({_STOP}, lower(w)))"
+
+
+@register(f"WITH {_ASKED_SQL} SELECT qid, CASE {_ROUTES} ELSE 'semantic' END route FROM q")
+def route_query(spark, sf_dir):
+    return asked(spark).select("qid", router.route(F.col("text")).alias("route"))
+
+
+@register(f"WITH {_ASKED_SQL}, f AS (SELECT qid, {_FOUND} found FROM q) SELECT qid, list_filter(found, lambda w, i: list_position(found, w) = i)[1:12] terms FROM f")
+def query_term_lists(spark, sf_dir):
+    return asked(spark).select("qid", query_terms(F.col("text")).alias("terms"))
+
+
+_NAMES = ["parseConfigFile", "HTTPServer", "snake_case_name", "x1Y2", "__init__", "already lower", "aB_cD"]
+
+
+@register("WITH n(name) AS (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") SELECT name, lower(trim(regexp_replace(replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '\\s+', ' ', 'g'))) words FROM n")
+def split_identifiers(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", identifier_words(F.col("name")).alias("words"))
+
+
+# ---------------------------------------------------------------- versions
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("logical_id"), F.col("turn").alias("version"), F.col("text").alias("code"))
+
+
+_TOK = TOKENS.replace("text", "code")
+VERS = f"""v AS (SELECT conv_id logical_id, turn AS version, text AS code FROM conversations),
+w AS (SELECT *, sha256(trim(regexp_replace(coalesce(code, ''), '\\s+', ' ', 'g'))) fingerprint, list_distinct({_TOK}) toks FROM v),
+l AS (SELECT *, row_number() OVER o n, lag(toks) OVER o before, lag(fingerprint) OVER o print FROM w WINDOW o AS (PARTITION BY logical_id ORDER BY version, fingerprint)),
+j AS (SELECT *, CASE WHEN n = 1 THEN NULL WHEN fingerprint = print THEN 1.0 WHEN len(toks) + len(before) = 0 THEN 1.0 ELSE len(list_intersect(toks, before)) / (len(toks) + len(before) - len(list_intersect(toks, before))) END sim FROM l),
+c AS (SELECT logical_id, version, fingerprint, sim::DOUBLE previous_similarity, CASE WHEN n = 1 THEN 'initial' WHEN fingerprint = print THEN 'unchanged' WHEN sim >= 0.82 THEN 'near_duplicate_update' ELSE 'substantial_update' END change_type FROM j)"""
+
+
+@register(f"WITH {VERS} SELECT logical_id, version, fingerprint, round(previous_similarity, 6) previous_similarity, change_type FROM c")
+def lineage_changes(spark, sf_dir):
+    return versions.changes(turns(spark, sf_dir), "version").select("logical_id", "version", "fingerprint", r6("previous_similarity").alias("previous_similarity"), "change_type")
+
+
+@register(f"WITH {VERS} SELECT count(DISTINCT logical_id) lineages, count(*) versions, count(*) FILTER (change_type = 'unchanged') unchanged, count(*) FILTER (change_type = 'near_duplicate_update') near_duplicate, count(*) FILTER (change_type = 'substantial_update') substantial FROM c")
+def lineage_stats(spark, sf_dir):
+    return versions.stats(versions.changes(turns(spark, sf_dir), "version"))
+
+
+@register("SELECT conv_id logical_id, count(*) version_count, list(turn ORDER BY turn) timeline FROM conversations GROUP BY 1")
+def version_history(spark, sf_dir):
+    return versions.history(turns(spark, sf_dir), "version").select("logical_id", "version_count", F.transform("timeline", lambda x: x["version"]).alias("timeline"))
+
+
+_HITS = "h AS (SELECT conv_id logical_id, min(turn) hit_at FROM conversations WHERE turn % 2 = 1 GROUP BY 1)"
+
+
+def _timeline(spark, sf_dir, truncate):
+    t = versions.changes(turns(spark, sf_dir), "version").withColumn("append_seq", F.col("version"))
+    hits = t.where("version % 2 = 1").groupBy("logical_id").agg(F.min("append_seq").alias("append_seq"))
+    return versions.timeline_until(hits, t, "append_seq", truncate).select("logical_id", "hit_at", "at", "change_type")
+
+
+@register(f"WITH {VERS}, {_HITS} SELECT logical_id, hit_at, version AS at, change_type FROM h JOIN c USING (logical_id) WHERE version <= hit_at")
+def timeline_until_hit(spark, sf_dir):
+    return _timeline(spark, sf_dir, True)
+
+
+@register(f"WITH {VERS}, {_HITS} SELECT logical_id, hit_at, version AS at, change_type FROM h JOIN c USING (logical_id)")
+def timeline_whole(spark, sf_dir):
+    return _timeline(spark, sf_dir, False)
+
+
+def commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each turn is a commit; a conversation changes in its own turns and is deleted in turn 5 if it has one."""
+    v = turns(spark, sf_dir).select(F.col("version").alias("commit_ord"), F.col("logical_id").alias("path"), F.when(F.col("version") != 5, F.col("version")).alias("version"))
+    n = v.agg(F.max("commit_ord").alias("last"))
+    return v, n.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("commit_ord"))
+
+
+SNAP = """ev AS (SELECT turn commit_ord, conv_id path, CASE WHEN turn <> 5 THEN turn END AS version FROM conversations),
+co AS (SELECT unnest(range(0, (SELECT max(turn) + 1 FROM conversations))) commit_ord),
+sp AS (SELECT *, lead(commit_ord) OVER (PARTITION BY path ORDER BY commit_ord) until FROM ev),
+sn AS (SELECT co.commit_ord, path, sp.version FROM sp JOIN co ON co.commit_ord >= sp.commit_ord AND (until IS NULL OR co.commit_ord < until) WHERE sp.version IS NOT NULL)"""
+
+
+@register(f"WITH {SNAP} SELECT commit_ord, path, version FROM sn")
+def snapshot_carry_forward(spark, sf_dir):
+    return versions.carry_forward(*commits(spark, sf_dir))
+
+
+def _scope(spark, sf_dir, scope, commit=None, with_snapshots=True):
+    snap = versions.carry_forward(*commits(spark, sf_dir)).select("commit_ord", F.col("commit_ord").cast("string").alias("commit"), F.col("path").alias("logical_id"), "version")
+    deleted = F.col("version") == 5
+    rows = versions.changes(turns(spark, sf_dir), "version", deleted=deleted).withColumn("append_seq", F.col("version"))
+    return versions.in_scope(rows, scope, "append_seq", snap if with_snapshots else None, commit).select("logical_id", "version", "change_type")
+
+
+_LIVE = "SELECT logical_id, c.version, change_type FROM c"
+
+
+@register(f"WITH {VERS} {_LIVE} WHERE version <> 5")
+def version_scope_all(spark, sf_dir):
+    return _scope(spark, sf_dir, "all")
+
+
+@register(f"WITH {VERS}, {SNAP} {_LIVE} JOIN sn ON sn.path = logical_id AND sn.version = c.version WHERE c.version <> 5 AND sn.commit_ord = (SELECT max(commit_ord) FROM sn)")
+def version_scope_latest(spark, sf_dir):
+    return _scope(spark, sf_dir, "latest")
+
+
+@register(f"WITH {VERS} {_LIVE} WHERE version <> 5 AND version = (SELECT max(turn) FROM conversations WHERE conv_id = logical_id)")
+def version_scope_latest_without_snapshots(spark, sf_dir):
+    return _scope(spark, sf_dir, "latest", with_snapshots=False)
+
+
+@register(f"WITH {VERS}, {SNAP} {_LIVE} JOIN sn ON sn.path = logical_id AND sn.version = c.version WHERE c.version <> 5 AND sn.commit_ord = 2")
+def version_scope_commit(spark, sf_dir):
+    return _scope(spark, sf_dir, "commit", "2")
+
+
+@register("WITH t AS (SELECT conv_id, turn FROM conversations) SELECT conv_id logical_id, turn AS version, (turn - 3 + 2)::BIGINT append_seq FROM t WHERE turn >= 3")
+def append_idempotent(spark, sf_dir):
+    """Turns 0-2 are stored; all turns arrive twice; only the others are appended, numbered on."""
+    t = turns(spark, sf_dir)
+    stored = t.where("version < 3").withColumn("append_seq", F.col("version") - 1)
+    incoming = t.withColumn("arrival", F.col("version")).withColumn("deleted", F.lit(False))
+    new = versions.append(stored, incoming.unionByName(incoming.withColumn("arrival", F.col("arrival") + 100)))
+    return new.select("logical_id", "version", "append_seq")
+
+
+@register("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'x' ELSE role END AS role FROM conversations")
+def keyed_upsert(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return versions.upsert(c, c.where("turn = 0").withColumn("role", F.lit("x")), "conv_id", "turn")
+
+
+@register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_anti_join(spark, sf_dir):
+    return versions.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+_LINEAGES = [("binary_search", ["Binary Search", "search v2"]), ("factorial", []), ("quick_sort", ["sort quickly"]), ("auth", ["authentication login"])]
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_SPLIT = "list_filter(list_distinct(string_split({}, ' ')), lambda w: w <> '')"
+_LIN_SQL = "g(logical_id, titles) AS (VALUES " + ", ".join(f"('{n}', {str(t)}::VARCHAR[])" for n, t in _LINEAGES) + ")"
+
+
+@register(f"WITH {_ASKED_SQL}, {_LIN_SQL}, p AS (SELECT qid, {_PLAIN.format('text')} plain FROM q), n AS (SELECT logical_id, {_PLAIN.format('logical_id')} name, {_PLAIN.format(chr(39).join(['array_to_string(titles, ', ' ', ')']))} title FROM g), x AS (SELECT qid, logical_id, (3.0 * len(list_intersect({_SPLIT.format('plain')}, {_SPLIT.format('name')})) + len(list_intersect({_SPLIT.format('plain')}, {_SPLIT.format('title')})) + CASE WHEN contains(plain, name) THEN 5.0 ELSE 0 END)::DOUBLE score FROM p, n) SELECT qid, logical_id, score FROM x WHERE score > 0")
+def evolution_lexical_score(spark, sf_dir):
+    lineages = spark.createDataFrame(_LINEAGES, "logical_id string, titles array<string>")
+    return lexical.lexical_evolution(asked(spark), lineages)
+
+
+# ---------------------------------------------------------------- symbols and code
+
+
+@register("WITH a AS (SELECT * FROM events WHERE event_type = 'view'), b AS (SELECT * FROM events WHERE event_type = 'purchase'), p AS (SELECT a.user_id, a.event_id first_id, b.event_id second_id, row_number() OVER (PARTITION BY a.user_id ORDER BY a.event_id, b.event_id) n FROM a JOIN b ON a.user_id = b.user_id AND a.ts < b.ts) SELECT user_id, first_id, second_id FROM p WHERE n = 1")
+def ordered_pair_same_scope(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("scope", F.col("user_id"))
+    p = symbolic.ordered_pairs(e, F.col("event_type") == "view", F.col("event_type") == "purchase", ["scope"], "ts", "event_id", "user_id")
+    return p.select("user_id", F.col("a_event_id").alias("first_id"), F.col("b_event_id").alias("second_id"))
+
+
+SOURCES = [
+    ("s1", "import os.path\ndef f(n):\n    return f(n - 1)"),
+    ("s2", "class A:\n    def g(self):\n        for i in range(3):\n            for j in range(3):\n                print(i)"),
+    ("s3", "print(range(3))"),
+    ("s4", "def broken(:"),
+]
+
+
+def sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SOURCES, "id string, code string")
+
+
+def records(spark: SparkSession) -> DataFrame:
+    return sources(spark).select("id", code_functions.metadata("code").alias("m")).select("id", "m.*")
+
+
+@register("SELECT * FROM (VALUES ('s1', true, 0, 0, ['f'], ['f@3:f:-'], ['os.path']), ('s2', true, 2, 2, []::VARCHAR[], ['range@3:g:A', 'range@4:g:A', 'print@5:g:A'], []::VARCHAR[]), ('s3', true, 0, 0, []::VARCHAR[], ['print@1:-:-', 'range@1:-:-'], []::VARCHAR[]), ('s4', false, 0, 0, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[])) t(id, parsed, loop_count, max_loop_depth, recursive_functions, calls, imports)")
+def ast_metadata(spark, sf_dir):
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    call = lambda c: F.concat(c["name"], F.lit("@"), c["line"].cast("string"), F.lit(":"), dash(c["function"]), F.lit(":"), dash(c["class"]))
+    return records(spark).select("id", "parsed", "loop_count", "max_loop_depth", "recursive_functions", F.transform("calls", call).alias("calls"), F.transform("imports", lambda i: i["name"]).alias("imports"))
+
+
+@register("SELECT * FROM (VALUES ('s1', 'functions: f | parameters: n | imports: os.path | calls: f | identifiers: f, n | structure: function x1 | operators: sub x1 | recursive functions: f'), ('s2', 'classes: a | functions: g | parameters: self | calls: range, print | identifiers: i, range, j, print | structure: class x1, function x1, for loop x2'), ('s3', 'calls: print, range | identifiers: print, range'), ('s4', 'unparsed python code')) t(id, signature)")
+def code_signatures(spark, sf_dir):
+    return sources(spark).select("id", code_functions.code_signature("code").alias("signature"))
+
+
+@register("SELECT * FROM (VALUES ('long', 'x = [0, 1, 2, 3, 4, 5, 6, 7, ''<LONG_LIST:51_ITEMS>'']'), ('kept', 'x = [' || array_to_string(range(50), ', ') || ']'), ('text', 'y = ''' || repeat('a', 120) || '...<LONG_STRING:1001_CHARS>'''), ('broken', 'def broken(:')) t(id, code)")
+def compacted_literals(spark, sf_dir):
+    rows = [("long", f"x = {list(range(51))}  # gone"), ("kept", f"x = {list(range(50))}"), ("text", f"y = '{'a' * 1001}'"), ("broken", "def broken(:")]
+    return spark.createDataFrame(rows, "id string, code string").select("id", code_functions.compact_literals("code").alias("code"))
+
+
+@register("SELECT * FROM (VALUES ('a', 1), ('b', 1), ('c', 2), ('d', 3)) t(id, class)")
+def code_fingerprints(spark, sf_dir):
+    """a and b differ in layout and comments only."""
+    rows = [("a", "x=1"), ("b", "x = 1  # note"), ("c", "x = 2"), ("d", "x = ")]
+    prints = spark.createDataFrame(rows, "id string, code string").select("id", code_functions.code_fingerprint(F.col("code")).alias("p"))
+    first = prints.groupBy("p").agg(F.min("id").alias("first"))
+    order = first.select("p", F.dense_rank().over(Window.orderBy("first")).alias("class"))  # four rows
+    return prints.join(order, "p").select("id", "class")
+
+
+def _usage(hits: DataFrame) -> DataFrame:
+    return hits.select("id", r6("score").alias("score"), F.transform("evidence", lambda e: F.concat_ws("@", e["type"], e["name"], e["line"].cast("string"))).alias("evidence"))
+
+
+@register("SELECT * FROM (VALUES ('s1', 1.0::DOUBLE, ['import@os.path@1', 'identifier@n']), ('s2', 0.0::DOUBLE, []::VARCHAR[])) t(id, score, evidence) WHERE score > 0")
+def exact_usage_any(spark, sf_dir):
+    return _usage(symbolic.exact_usage(records(spark), ["os", "n"]))
+
+
+@register("SELECT * FROM (VALUES ('s2', 1.0::DOUBLE, ['call@range@3', 'call@range@4', 'call@print@5']), ('s3', 1.0::DOUBLE, ['call@range@1', 'call@print@1'])) t(id, score, evidence)")
+def exact_usage_all(spark, sf_dir):
+    return _usage(symbolic.exact_usage(records(spark), ["range", "print"], categories=["calls"]))
+
+
+@register("SELECT * FROM (VALUES ('s2', 1.0::DOUBLE, ['call@range@3', 'call@range@4'])) t(id, score, evidence)")
+def exact_usage_in_functions(spark, sf_dir):
+    return _usage(symbolic.exact_usage(records(spark), ["range"], categories=["calls"], require_function=True))
+
+
+@register("SELECT * FROM (VALUES ('s1', 1.0::DOUBLE, ['import@os.path@1', 'import@os.path@1'])) t(id, score, evidence)")
+def import_prefix_match(spark, sf_dir):
+    return _usage(symbolic.exact_usage(records(spark), ["os", "path"], categories=["imports"]))
+
+
+@register("SELECT * FROM (VALUES ('s2', 1.0::DOUBLE, 'g', 'A', 3, 5)) t(id, score, function, class, first_line, second_line)")
+def call_order(spark, sf_dir):
+    return symbolic.structural(records(spark), "which functions call range before print?", ["range", "print"])
+
+
+@register("SELECT * FROM (VALUES ('s1', 2.25::DOUBLE, ['recursive_function@f@2', 'function@f@2', 'call@f@3'])) t(id, score, evidence)")
+def recursion_docs(spark, sf_dir):
+    return _usage(symbolic.structural(records(spark), "find recursive functions f", ["f"]))
+
+
+@register("SELECT * FROM (VALUES ('class', 's2', 2.0::DOUBLE, 'A'), ('function', 's2', 2.0::DOUBLE, 'g'), ('any', 's2', 2.0::DOUBLE, 'nested loops')) t(scope, id, score, name)")
+def nested_loops_by_scope(spark, sf_dir):
+    asks = {"class": "which classes have nested loops", "function": "functions having nested loops", "any": "nested loops"}
+    out = [symbolic.structural(records(spark), q, []).select(F.lit(k).alias("scope"), "id", "score", F.col("evidence")[0]["name"].alias("name")) for k, q in asks.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+# ---------------------------------------------------------------- checks, joins and reports
+
+
+@register("SELECT d.doc_id, d.lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def split_semi_join(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
+
+
+@register("SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def label_flag_join(spark, sf_dir):
+    flag = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("there", F.lit(True))
+    return table(spark, sf_dir, "documents").select("doc_id").join(flag, "doc_id", "left").select("doc_id", F.col("there").isNotNull().alias("labelled"))
+
+
+@register("WITH a AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), b AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT (SELECT count(*) FROM a) n_a, (SELECT count(*) FROM b) n_b, (SELECT count(*) FROM a JOIN b USING (doc_id)) shared, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) only_a, (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) only_b")
+def selection_overlap(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return validation.selection_overlap(labels.where("quality = 1").select("doc_id"), labels.where("toxic = 1").select("doc_id"))
+
+
+@register("WITH x AS (SELECT d.doc_id, p.url ua, q.url ub FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN pages q ON q.page_id = d.doc_id - d.doc_id % 2) SELECT CASE WHEN trim(coalesce(ua, '')) = '' OR trim(coalesce(ub, '')) = '' THEN 'missing' WHEN trim(ua) = trim(ub) THEN 'matched' ELSE 'mismatched' END alignment, count(*) n FROM x GROUP BY 1")
+def label_alignment(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") - F.col("doc_id") % 2).alias("b"))
+    return validation.label_alignment(pairs, pages.select(F.col("page_id").alias("a"), "url"), pages.select(F.col("page_id").alias("b"), "url"))
+
+
+@register(f"WITH {R}, run AS (SELECT qid, CASE WHEN qid % 200 = 0 AND rank = 2 THEN -1 ELSE doc_id END doc_id FROM r WHERE rank <= CASE WHEN qid = 100 THEN 7 ELSE 10 END), o AS (SELECT qid, count(*) n, count(DISTINCT doc_id) d FROM run GROUP BY 1) SELECT qid, 'wrong length' problem FROM o WHERE n <> 10 UNION ALL SELECT qid, 'repeated document' FROM o WHERE n > d UNION ALL SELECT DISTINCT qid, 'unknown document' FROM run WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT -5, 'missing query'")
+def validate_rankings(spark, sf_dir):
+    r = ranked(spark, sf_dir).where(F.col("rank") <= F.when(F.col("qid") == 100, 7).otherwise(10))
+    run = r.select("qid", F.when((F.col("qid") % 200 == 0) & (F.col("rank") == 2), F.lit(-1)).otherwise(F.col("doc_id")).alias("doc_id"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    asked_for = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid")).unionByName(spark.range(1).select(F.lit(-5).cast("long").alias("qid")))
+    return validation.ranking_problems(run, asked_for, e, 10)
+
+
+@register("SELECT text, count(*) n FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return validation.duplicates(table(spark, sf_dir, "documents"), "text")
+
+
+@register("SELECT round(quantile_cont(n_chars, 0.5)::DOUBLE, 6) p50, round(quantile_cont(n_chars, 0.9)::DOUBLE, 6) p90, round(quantile_cont(n_chars, 0.95)::DOUBLE, 6) p95, round(quantile_cont(n_chars, 0.99)::DOUBLE, 6) p99 FROM documents")
+def length_percentiles(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.agg(*(r6(F.percentile("n_chars", F.lit(p / 100))).alias(f"p{p}") for p in (50, 90, 95, 99)))
+
+
+@register("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def longest_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
+
+
+@register("SELECT lang, count(*) n, count(*) FILTER (n_chars > 2048) over_2048, count(*) FILTER (n_chars > 4096) over_4096, max(n_chars) longest FROM documents GROUP BY lang")
+def length_summary(spark, sf_dir):
+    over = lambda n: F.count_if(F.col("n_chars") > n)
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), over(2048).alias("over_2048"), over(4096).alias("over_4096"), F.max("n_chars").alias("longest"))
+
+
+@register("SELECT item_id AS id, '' title, 'PYTHON' language, text AS code FROM benchmark")
+def project_corpus(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("title"), F.lit("PYTHON").alias("language"), F.col("text").alias("code"))
+
+
+@register("SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) fingerprint FROM documents")
+def text_fingerprints(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@register(f"WITH t AS (SELECT doc_id, source, list_distinct({TOKENS}) toks FROM documents), p AS (SELECT a.doc_id a, b.doc_id b, a.toks x, b.toks y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1) SELECT a, b, round(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) similarity FROM p")
+def token_jaccard_pairs(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", token_set(F.col("text")).alias("x"))
+    other = t.select(F.col("doc_id").alias("b"), F.col("x").alias("y"))
+    return t.select(F.col("doc_id").alias("a"), "x").join(other, F.col("b") == F.col("a") + 1).select("a", "b", r6(jaccard(F.col("x"), F.col("y"))).alias("similarity"))
