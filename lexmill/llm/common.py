@@ -25,6 +25,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows that Spark hands to Python at once. With texts of some KB each, its own default makes batches of tens of MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Make the session's Arrow batches no longer than BATCH_ROWS; a setting that results don't depend on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def cut(batch: pa.RecordBatch, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Split a batch whose second column is text into runs of rows of about max_bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -59,6 +71,7 @@ def map_texts(
             for part in cut(batch, max_bytes):
                 yield pa.RecordBatch.from_pydict(kernel(part.column(0), part.column(1)))
 
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -72,6 +85,7 @@ def keep_rows(df: DataFrame, mask: Callable[[pa.Array], np.ndarray], text_col: s
             kept = [mask(part.column(1)) for part in cut(both)]
             yield batch.filter(pa.array(np.concatenate(kept), pa.bool_())) if kept else batch
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

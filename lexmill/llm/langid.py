@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, cut, keep_rows, mix, per_row
+from .common import checkpoint, cut, keep_rows, mix, per_row, small_batches
 
 #: An n-gram belongs to a language that has it this often among its n-grams; so at most 1 / SHARE of them do.
 SHARE = 2.0**-15
@@ -138,7 +138,7 @@ def identify(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
     language was learned. Rows may repeat. Other columns are not read. An empty table
     gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(df.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .blocks import home, read_block, send
-from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, span_hash, text_salt, word_spans
+from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, small_batches, span_hash, text_salt, word_spans
 from .langid import fold
 from .wordbpe import load
 
@@ -188,7 +188,7 @@ def lm_scores(df: DataFrame, path: str, folds: int = 7, held: int = 2, id_col: s
     not read. An empty table gives no rows; without training rows the model is uniform over
     its tree and no token is known.
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     remainder = fold(id_col, folds)
     known_id = df.where(F.col(id_col).isNotNull() & (remainder != held))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCKS, home, receive, send
-from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, span_hash
+from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, small_batches, span_hash
 
 #: Bytes of the strings that the first round ranks.
 GRAM = 24
@@ -144,7 +144,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     """
     if threshold < GRAM:
         raise ValueError(f"the threshold must be {GRAM} bytes at least")
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("rest")] if replace else []
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *rest)
