@@ -30,9 +30,11 @@ from .blocks import BLOCKS, home, receive, send
 from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, small_batches, span_hash
 
 #: Bytes of the strings that the first round ranks.
-GRAM = 24
+GRAM = 20
 #: Bits of a first-round name that travel; equal ones of different strings only cost work.
 BITS = 48
+#: First-round names that a task gathers before it writes a block for each range.
+BLOCK_ROWS = 400_000
 _KEEP, _GONE, _OPEN = 0, 1, 2
 
 
@@ -146,6 +148,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         raise ValueError(f"the threshold must be {GRAM} bytes at least")
     spark = small_batches(df.sparkSession)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    homes = -(-parts // 4)  # far fewer verdicts go to their documents than names come from them
     rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("rest")] if replace else []
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *rest)
     repeated = not rows.groupBy("doc").count().where("doc IS NOT NULL AND count > 1").isEmpty()
@@ -153,15 +156,24 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     rows = rows.withColumn("tag", F.coalesce(F.crc32("text"), F.lit(0)) if repeated else F.lit(0).cast("long"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            short, around, nth, doc, tag = (np.concatenate([x[k] for x in held]) for k in range(5))
+            held.clear()
+            yield from send((short * np.uint64(parts) >> np.uint64(BITS)).astype(np.int32), [short, around, nth], doc, tag)
+
         for batch in batches:
             for part in cut(batch.select(["doc", "text", "tag"])):
                 data, offsets = flat(part.column(1))
                 runs = contexts(data, offsets, threshold)
                 of = runs["of"]
-                short = runs["name"] >> np.uint64(64 - BITS)
                 nth = np.arange(len(of)) - np.searchsorted(of, of)
-                where = (short * np.uint64(parts) >> np.uint64(BITS)).astype(np.int32)
-                yield from send(where, [short, runs["around"] >> np.uint64(16), nth], part.column(0).to_numpy()[of], part.column(2).to_numpy()[of])
+                held.append((runs["name"] >> np.uint64(64 - BITS), runs["around"] >> np.uint64(16), nth, part.column(0).to_numpy()[of], part.column(2).to_numpy()[of]))
+                if sum(len(x[0]) for x in held) > BLOCK_ROWS:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = receive(batches, 3)
@@ -182,10 +194,10 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         mixed = np.bincount(run, np.append(True, (run[1:] != run[:-1]) | (own_around[1:] != own_around[:-1])))[run] > 1
         verdict = np.where(gone, _GONE, np.where(mixed, _OPEN, _KEEP))
         order, verdict = order[verdict > 0], verdict[verdict > 0]
-        yield from send(home(doc[order], parts), [nth[order], verdict], doc[order], tag[order])
+        yield from send(home(doc[order], homes), [nth[order], verdict], doc[order], tag[order])
 
     sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(name, BLOCKS).repartition(parts, "part").mapInArrow(rank, BLOCKS)
-    first = checkpoint(_gathered(sent, parts, 2, "runs"))
+    first = checkpoint(_gathered(sent, homes, 2, "runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +221,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         (names, at), doc, tag = got
         order = np.lexsort((doc, names))
         gone = order[_smallest([names[order]], doc[order]) < doc[order]]
-        yield from send(home(doc[gone], parts), [at[gone]], doc[gone], tag[gone])
+        yield from send(home(doc[gone], homes), [at[gone]], doc[gone], tag[gone])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +252,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     joined = rows.join(first.hint("shuffle_hash"), ["doc", "tag"], "left")
     # no filter here: with the same columns and rows, both readers share one shuffle of the texts
     still = joined.mapInArrow(windows, BLOCKS)
-    last = _gathered(still.repartition(parts, "part").mapInArrow(decide, BLOCKS), parts, 1, "at")
+    last = _gathered(still.repartition(parts, "part").mapInArrow(decide, BLOCKS), homes, 1, "at")
     both = joined.join(last.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", "at", *["rest"] * replace)
     if replace:
         schema = T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())])
