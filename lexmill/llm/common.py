@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,6 +39,23 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The kernel, which hands memory that it no longer uses back to the system when its task ends.
+
+    Workers go on to other tasks, and allocators would keep each one's peak.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def cut(batch: pa.RecordBatch, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Split a batch whose second column is text into runs of rows of about max_bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -72,7 +91,7 @@ def map_texts(
                 yield pa.RecordBatch.from_pydict(kernel(part.column(0), part.column(1)))
 
     small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def keep_rows(df: DataFrame, mask: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -86,7 +105,7 @@ def keep_rows(df: DataFrame, mask: Callable[[pa.Array], np.ndarray], text_col: s
             yield batch.filter(pa.array(np.concatenate(kept), pa.bool_())) if kept else batch
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

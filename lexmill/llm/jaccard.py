@@ -20,15 +20,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, span_hash, text_salt, word_spans
+from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, small_batches, span_hash, text_salt, tidy, word_spans
 from .graph import components
 
 #: Bits of a shingle's identity; two different shingles of two linked sets collide once in 2^48 / n^2.
 BITS = 48
 _ODD = 0x94D049BB133111EB
 _LOWER = np.frombuffer(LOWER, np.uint8)
+#: Shingles that a task gathers before it writes a block for each fragment.
+BLOCK_ROWS = 1_500_000
 #: Fragments in which the overlaps of candidate pairs are counted.
-PAIR_FRAGMENTS = 4
+PAIR_FRAGMENTS = 2
+#: Rounds of stars before the remaining pairs, and members at a star's centre after the first round.
+STARS, CENTERS = 4, 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +113,12 @@ def _blocks(doc_type: pa.DataType, part: np.ndarray, shingle: np.ndarray, key: n
         yield _rows(doc_type, [p], block=[write_block(shingle[a:b], key[a:b], extra[a:b])])
 
 
+def _flush(doc_type: pa.DataType, held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    short, key = (np.concatenate([x[k] for x in held]) for k in range(2))
+    held.clear()
+    yield from _blocks(doc_type, _fragment(short, parts), short, key, np.zeros(len(key), np.uint8))
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[tuple]]:
     """Rows about sets, and the decoded blocks."""
     rows, blocks = [], []
@@ -119,7 +129,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], lis
     return rows, blocks
 
 
-def _kept_sets(sets: DataFrame, doc_kind: str, parts: int) -> DataFrame:
+def _kept_sets(sets: DataFrame, doc_kind: str, parts: int, homes: int) -> DataFrame:
     """Of rows with sets and blocks of their shingles, spread by fragment: the sets that may link.
 
     Fragments count each shingle's sets; those in two or more go to their sets, where the
@@ -130,7 +140,7 @@ def _kept_sets(sets: DataFrame, doc_kind: str, parts: int) -> DataFrame:
         rows, blocks = _split(batches)
         for batch in rows:
             key = batch.column("key").to_numpy().view(np.uint64)
-            yield batch.set_column(0, "part", pa.array((key % np.uint64(parts)).astype(np.int32)))
+            yield batch.set_column(0, "part", pa.array((key % np.uint64(homes)).astype(np.int32)))
         if not blocks:
             return
         doc_type = rows[0].schema.field("doc_id").type
@@ -151,7 +161,7 @@ def _kept_sets(sets: DataFrame, doc_kind: str, parts: int) -> DataFrame:
         many = count > 1
         shingle, key, count = shingle[many], key[many], count[many]
         rarity = np.minimum(np.floor(8 * np.log2(np.maximum(count, 1))), 255).astype(np.uint8)
-        yield from _blocks(doc_type, (key % np.uint64(parts)).astype(np.int32), shingle, key, rarity)
+        yield from _blocks(doc_type, (key % np.uint64(homes)).astype(np.int32), shingle, key, rarity)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, blocks = _split(batches)
@@ -176,7 +186,7 @@ def _kept_sets(sets: DataFrame, doc_kind: str, parts: int) -> DataFrame:
         yield _rows(doc_type, np.zeros(int(enough.sum()), np.int32), n=n[enough], key=key[first][enough], shingles=lists, weight=weight)
 
     schema = _ROWS.format(doc_kind)
-    return sets.repartition(parts, "part").mapInArrow(share, schema).repartition(parts, "part").mapInArrow(gather, schema)
+    return sets.repartition(parts, "part").mapInArrow(tidy(share), schema).repartition(homes, "part").mapInArrow(tidy(gather), schema)
 
 
 def _least(n: Column) -> Column:
@@ -209,19 +219,24 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     not read. An empty table gives no rows.
     """
     kind = dict(df.dtypes)[id_col]
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    homes = -(-parts // 4)  # far fewer shingles go to their sets than come from the texts
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in cut(batch, 16 << 20):
+            for part in cut(batch):
                 data, offsets = flat(part.column(1))
                 keys, of = shingles(data, offsets, width)
                 size, own = class_keys(keys, of, part.num_rows)
                 doc_type = part.column(0).type
                 yield _rows(doc_type, (own % np.uint64(parts)).astype(np.int32), doc_id=part.column(0), n=size, key=own.view(np.int64))
-                short = keys >> np.uint64(64 - BITS)
-                yield from _blocks(doc_type, _fragment(short, parts), short, own[of], np.zeros(len(keys), np.uint8))
+                held.append((keys >> np.uint64(64 - BITS), own[of]))
+                if sum(len(x) for x, _ in held) > BLOCK_ROWS:
+                    yield from _flush(doc_type, held, parts)
+        if held:
+            yield from _flush(doc_type, held, parts)
 
     def respread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,31 +250,48 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = _ROWS.format(kind)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = checkpoint(_kept_sets(rows.mapInArrow(spread, schema), kind, parts))
+    first = checkpoint(_kept_sets(rows.mapInArrow(tidy(spread), schema), kind, parts, homes))
     docs = first.where("shingles IS NULL").select("doc_id", "n", "key")
     # once more among those that are left: shared shingles of sets that dropped out don't count
-    second = _kept_sets(first.where("shingles IS NOT NULL").mapInArrow(respread, schema), kind, parts)
+    second = _kept_sets(first.where("shingles IS NOT NULL").mapInArrow(tidy(respread), schema), kind, parts, homes)
     kept = checkpoint(second.where("shingles IS NOT NULL").select("key", "n", "shingles", "weight"))
 
-    length = F.size("shingles") - _least(F.col("n")) + 1
-    prefix = kept.select("key", "n", "weight", F.explode(F.slice("shingles", 1, length.cast("int"))).alias("s"))
-    shared = checkpoint(prefix.join(prefix.groupBy("s").agg(F.count("*").alias("sets"), F.max(F.struct("weight", "key", "n")).alias("center")).where("sets > 1"), "s"))
-    fits = lambda x, y: (F.lit(100) * x >= F.lit(75) * y) & (F.lit(100) * y >= F.lit(75) * x)
-    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-
-    stars = shared.select(F.col("key").alias("x"), F.col("center.key").alias("y"), F.col("n").alias("nx"), F.col("center.n").alias("ny")).where("x <> y")
-    tried = checkpoint(stars.where(fits(F.col("nx"), F.col("ny"))).select(*ordered).distinct())
-    links = checkpoint(_measure(tried, kept))
-    label = components(links)
-
-    # pairs that share a prefix shingle and that the stars have not brought together
-    named = shared.select("s", "key", "n").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = named.groupBy("s").agg(F.countDistinct("label").alias("labels")).where("labels > 1").select("s")
-    left = named.join(mixed, "s")
-    right = left.select("s", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "label")))
-    rest = left.join(right, "s").where("key < key2 AND label <> label2").where(fits(F.col("n"), F.col("n2"))).select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    label = components(links.unionByName(_measure(rest, kept)))
+    length = (F.size("shingles") - _least(F.col("n")) + 1).cast("int")
+    prefix = kept.select("key", "n", F.size("shingles").alias("m"), "weight", F.posexplode(F.slice("shingles", 1, length)).alias("at", "s"))
+    several = prefix.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1").select("s")
+    shared = checkpoint(prefix.join(several, "s"))
+    fits = F.expr("7 * least(x.m, y.m) >= 3 * (x.n + y.n)")  # the overlap is at most what either set shares at all
+    one = F.struct("key", "n", "m", "at")
+    ends = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
+
+    def labelled(label: DataFrame | None) -> DataFrame:
+        if label is None:
+            return shared.withColumn("label", F.col("key"))
+        return shared.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+    # stars: each set with a few members of each group that it shares a prefix shingle with, first with the most central one
+    tried, links, label = None, None, None
+    for turn in range(STARS):
+        rows = labelled(label)
+        order = F.col("weight") if not turn else F.xxhash64(F.lit(turn), "key")
+        seat = F.lit(0) if not turn else F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(CENTERS))
+        centers = rows.groupBy("s", seat.alias("seat")).agg(F.max(F.struct(order.alias("order"), "key", "n", "m", "at", "label")).alias("y"))
+        star = rows.join(centers, "s").where("label <> y.label").select(one.alias("x"), "y").where(fits).select(*ends).distinct()
+        star = checkpoint(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+        found = checkpoint(_measure(star, kept))
+        tried, links = (star, found) if tried is None else (tried.unionByName(star), links.unionByName(found))
+        label = components(links)
+
+    # then all pairs that share a prefix shingle and that no star has brought together
+    named = labelled(label)
+    mixed = named.groupBy("s").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("s")
+    left = named.join(mixed, "s").select("s", "label", one.alias("x"))
+    right = left.select(F.col("s").alias("s2"), F.col("label").alias("label2"), F.col("x").alias("y"))
+    # from its first common shingle on, a pair's overlap is at most what is left of either set; later ones leave less
+    room = F.expr("7 * least(x.m - x.at, y.m - y.at) >= 3 * (x.n + y.n)")
+    cross = left.join(right, (F.col("s") == F.col("s2")) & (F.col("x.key") < F.col("y.key")) & (F.col("label") != F.col("label2")) & fits & room)
+    rest = cross.select(*ends).distinct()
+    label = components(links.unionByName(_measure(rest.join(tried, ["a", "b"], "left_anti"), kept)))
 
     own = docs.groupBy("key").agg(F.min("doc_id").alias("smallest")).where("key IS NOT NULL")
     joined = own.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))

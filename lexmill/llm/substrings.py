@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCKS, home, receive, send
-from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, small_batches, span_hash
+from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, small_batches, span_hash, tidy
 
 #: Bytes of the strings that the first round ranks.
 GRAM = 20
@@ -116,7 +116,7 @@ def _gathered(sent: DataFrame, parts: int, n_columns: int, column: str) -> DataF
             body = [b"".join(c[first[r] : ends[r]].astype("<u4").tobytes() for c in columns) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(doc[first[rows.start : rows.stop]]), pa.array(tag[first[rows.start : rows.stop]]), pa.array(body, pa.binary())], names=["doc", "tag", column])
 
-    return sent.repartition(parts, "part").mapInArrow(run, f"doc long, tag long, {column} binary")
+    return sent.repartition(parts, "part").mapInArrow(tidy(run), f"doc long, tag long, {column} binary")
 
 
 def _verdicts(binary: pa.Array, n_columns: int) -> list[np.ndarray | None]:
@@ -196,7 +196,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         order, verdict = order[verdict > 0], verdict[verdict > 0]
         yield from send(home(doc[order], homes), [nth[order], verdict], doc[order], tag[order])
 
-    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(name, BLOCKS).repartition(parts, "part").mapInArrow(rank, BLOCKS)
+    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(tidy(name), BLOCKS).repartition(parts, "part").mapInArrow(tidy(rank), BLOCKS)
     first = checkpoint(_gathered(sent, homes, 2, "runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +251,13 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
 
     joined = rows.join(first.hint("shuffle_hash"), ["doc", "tag"], "left")
     # no filter here: with the same columns and rows, both readers share one shuffle of the texts
-    still = joined.mapInArrow(windows, BLOCKS)
-    last = _gathered(still.repartition(parts, "part").mapInArrow(decide, BLOCKS), homes, 1, "at")
+    still = joined.mapInArrow(tidy(windows), BLOCKS)
+    last = _gathered(still.repartition(parts, "part").mapInArrow(tidy(decide), BLOCKS), homes, 1, "at")
     both = joined.join(last.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", "at", *["rest"] * replace)
     if replace:
         schema = T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())])
         columns = [F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in df.columns]
-        return both.mapInArrow(strip, schema).select(*columns)
-    out = both.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return both.mapInArrow(tidy(strip), schema).select(*columns)
+    out = both.mapInArrow(tidy(strip), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     kind = dict(df.dtypes)[id_col]
     return out if kind == "bigint" else out.withColumn("doc_id", F.col("doc_id").cast(kind))
