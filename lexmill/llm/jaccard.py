@@ -197,12 +197,15 @@ def _least(n: Column) -> Column:
 def _measure(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     """Links among candidate pairs (a, b): overlaps counted per fragment and summed per pair."""
     n = PAIR_FRAGMENTS
-    part = F.floor(F.col("s") * n / F.lit(1 << BITS)).cast("int")
-    segments = kept.select("key", F.explode("shingles").alias("s")).groupBy("key", part.alias("fragment")).agg(F.collect_list("s").alias("segment"))
-    a = segments.select(F.col("key").alias("a"), "fragment", F.col("segment").alias("left"))
-    b = segments.select(F.col("key").alias("b"), "fragment", F.col("segment").alias("right"))
+    cut_at = [(k << BITS) // n for k in range(n + 1)]
+    between = lambda lo, hi: F.filter("shingles", lambda s: (s >= lo) & (s < hi))
+    segments = kept.select("key", F.array(*(between(lo, hi) for lo, hi in zip(cut_at, cut_at[1:], strict=False))).alias("segments"))
+    a = segments.select(F.col("key").alias("a"), F.col("segments").alias("left"))
+    b = segments.select(F.col("key").alias("b"), F.col("segments").alias("right"))
+    partial = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))  # a number a fragment
+    total = F.aggregate(partial, F.lit(0), lambda s, x: s + x)
+    overlap = pairs.join(a, "a").join(b, "b").select("a", "b", total.alias("common"))
     size = kept.select("key", "n")
-    overlap = pairs.join(a, "a").join(b, ["b", "fragment"]).groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("left", "right"))).alias("common"))
     sized = overlap.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
     return sized.where("100 * common >= 75 * (na + nb - common)").select("a", "b")
 
