@@ -1,10 +1,10 @@
 """Language-model scores of all texts, with a unigram baseline from the whole corpus.
 
 1. Training texts become subword ids. Their counts, over all of them, shape the output
-   tree; every STRIDE-th block of tokens, chosen by its content, trains.
-2. Trainers, one for each TRAINER_TOKENS, start from shared parameters and learn from a
-   share of the blocks; their parameters are averaged row by row, weighted by how often a row
-   was seen. A quarter of the shares gives the start for the rest.
+   tree; every block of every text trains.
+2. Trainers, one for each TRAINER_TOKENS, start from shared parameters and pass once over a
+   share of the texts; their parameters are averaged row by row, weighted by how often a row
+   was seen. A quarter of the shares gives the start for the rest, at every size.
 3. One pass over all texts scores them and sends each text's words, counted, to the
    fragments of the word hashes. There the corpus counts meet them, and sums return.
 """
@@ -25,10 +25,10 @@ from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix
 from .langid import fold
 from .wordbpe import load
 
-#: One block of tokens in so many trains.
-STRIDE = 16
-#: Training tokens for each trainer; with fewer in all, the one trainer passes over them up to MOST_PASSES times.
-TRAINER_TOKENS, MOST_PASSES = 2_000_000, 6
+#: Training tokens for each trainer.
+TRAINER_TOKENS = 2_000_000
+#: Pieces in which a batch of texts is stored, so that trainers get even shares.
+PIECES = 16
 #: Width of the model, and chunks in which parameters and counts are summed.
 DIM, CHUNKS = 16, 16
 #: Words that a task gathers before it writes a block for each fragment.
@@ -43,18 +43,21 @@ def _row(part: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "block"])
 
 
-def _store(inputs: np.ndarray, target: np.ndarray) -> bytes:
-    """Blocks of tokens; -1 is the largest number."""
-    return np.concatenate([inputs, target], 1).astype("<u4").tobytes()
+def _store(ids: np.ndarray, offsets: np.ndarray, size: int) -> bytes:
+    """Subword ids of texts, behind the number of texts and the length of each."""
+    head = np.append(len(offsets) - 1, np.diff(offsets)).astype("<u4")
+    return head.tobytes() + ids.astype("<u2" if size <= 1 << 16 else "<u4").tobytes()
 
 
-def _restore(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(data, "<i4").reshape(-1, 3 * attention.BLOCK).astype(np.int64)
-    return both[:, : 2 * attention.BLOCK], both[:, 2 * attention.BLOCK :]
+def _restore(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    length = np.frombuffer(data, "<u4", n, 4)
+    ids = np.frombuffer(data, "<u2" if size <= 1 << 16 else "<u4", offset=4 + 4 * n)
+    return ids.astype(np.int64), np.append(0, np.cumsum(length, dtype=np.int64))
 
 
-def sample_blocks(rows: DataFrame, path: str) -> DataFrame:
-    """Of training texts: compressed blocks that train, under part 0 and up, and counts of all ids, under -1 and down."""
+def stored_texts(rows: DataFrame, path: str) -> DataFrame:
+    """Of training texts: all their ids, compressed, under part 0 and up, and counts of all ids, under -1 and down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -62,12 +65,11 @@ def sample_blocks(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in cut(batch):
                 ids, offsets = bpe.encode(part.column(1).to_pylist())
-                inputs, target, _, _ = attention.blocks_of(ids, offsets, bpe.size - 1)
-                counts += np.bincount(target[target >= 0], minlength=bpe.size)
-                odd = mix(np.arange(1, target.shape[1] + 1, dtype=np.uint64))
-                chosen = mix((target.astype(np.uint64) * odd).sum(1)) % np.uint64(STRIDE) == 0
-                if chosen.any():
-                    data = _store(inputs[chosen], target[chosen])
+                counts += np.bincount(ids, minlength=bpe.size)
+                counts[bpe.size - 1] += part.num_rows  # each text's end
+                edges = np.unique(np.linspace(0, part.num_rows, PIECES + 1).astype(np.int64)).tolist()
+                for a, b in zip(edges, edges[1:], strict=False):
+                    data = _store(ids[offsets[a] : offsets[b]], offsets[a : b + 1], bpe.size)
                     yield _row(zlib.crc32(data) >> 1, zlib.compress(data, 1))
         for k, chunk in enumerate(np.array_split(counts, CHUNKS)):
             yield _row(-1 - k, chunk.tobytes())
@@ -131,18 +133,15 @@ def _averaged(rows: DataFrame, params: dict[str, np.ndarray], dim: int) -> dict[
 def train(rows: DataFrame, path: str, dim: int = DIM) -> tuple[dict[str, np.ndarray], attention.Tree]:
     """Parameters and output tree from training texts (id, text); without any, the untrained model."""
     spark = rows.sparkSession
-    sampled = checkpoint(sample_blocks(rows, path))
-    counts = _summed(sampled.where("part < 0"))
+    stored = checkpoint(stored_texts(rows, path))
+    counts = _summed(stored.where("part < 0"))
     size = load(path).size
     tree = attention.Tree.build(counts if len(counts) else np.zeros(size, np.int64))
     params = attention.new_params(size, tree.bias, dim)
-    tokens = int(counts.sum()) // STRIDE
     shared_tree = spark.sparkContext.broadcast(tree)  # bounded by the vocabulary
-    trainers = max(1, tokens // TRAINER_TOKENS)
-    passes = max(1, min(MOST_PASSES, TRAINER_TOKENS // max(tokens, 1)))
-    shares = [("part >= 0", trainers)]
-    if trainers >= 4:
-        shares = [("part >= 0 AND part % 4 = 0", trainers // 4), ("part >= 0 AND part % 4 > 0", trainers - trainers // 4)]
+    trainers = max(1, int(counts.sum()) // TRAINER_TOKENS)
+    first = max(1, trainers // 4)
+    shares = [("part >= 0 AND part % 4 = 0", first), ("part >= 0 AND part % 4 > 0", max(1, trainers - first))]
     for condition, n in shares:
         start = spark.sparkContext.broadcast(params)
 
@@ -150,16 +149,15 @@ def train(rows: DataFrame, path: str, dim: int = DIM) -> tuple[dict[str, np.ndar
             trainer = attention.Trainer(start.value, shared_tree.value, 0.2)
             parts = sorted((p, x) for batch in batches for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             order = np.random.default_rng(0)
-            for _ in range(passes if parts else 0):
-                for _, data in parts:
-                    inputs, target = _restore(zlib.decompress(data))
-                    at = order.permutation(len(inputs))
-                    trainer.learn(inputs[at], target[at])
+            for _, data in parts:
+                inputs, target, _, _ = attention.blocks_of(*_restore(zlib.decompress(data), size), size - 1)
+                at = order.permutation(len(inputs))
+                trainer.learn(inputs[at], target[at])
             if parts:
                 for part, data in _pack(trainer):
                     yield _row(part, data)
 
-        share = sampled.where(condition).select("part", "block").repartition(n, F.floor(F.col("part") / 4) % n)
+        share = stored.where(condition).select("part", "block").repartition(n, F.floor(F.col("part") / 4) % n)
         params = _averaged(share.mapInArrow(learn, _SMALL), params, dim)
     return params, tree
 

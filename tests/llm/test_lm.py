@@ -107,3 +107,25 @@ def test_base_against_plain_python_and_edge_rows(spark):
         per_doc.setdefault(r.doc_id, set()).add(round(r.score, 6))
     assert all(len(x) == 1 for x in per_doc.values())
     assert lm.lm_scores(docs.limit(0), WORD_BPE).count() == 0
+
+
+def test_every_training_text_reaches_the_trainers(spark):
+    texts = [f"word{i} {chr(97 + i % 26) * 3} {i * 37}" for i in range(60)] + ["a longer text " * 30, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    params, tree = lm.train(rows, WORD_BPE)
+    bpe = lm.load(WORD_BPE)
+    ids, _ = bpe.encode(texts)
+    last = tree.node[tree.start[np.unique(ids)]]  # the inner node above each token
+    assert (np.abs(params["node"][last]).sum(1) > 0).all()
+
+
+def test_stored_texts_hold_all_tokens(spark):
+    texts = ["one", "two words here", "", None, "long " * 100]
+    got = lm.stored_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), WORD_BPE).collect()
+    bpe = lm.load(WORD_BPE)
+    want, offsets = bpe.encode(texts)
+    pieces = [lm._restore(zlib.decompress(r.block), bpe.size) for r in got if r.part >= 0]
+    assert np.concatenate([ids for ids, _ in pieces]).tolist() == want.tolist()
+    assert np.concatenate([np.diff(at) for _, at in pieces]).tolist() == np.diff(offsets).tolist()
+    counts = np.concatenate([np.frombuffer(r.block, np.int64) for r in sorted((r for r in got if r.part < 0), key=lambda r: -r.part)])
+    assert counts.sum() == len(want) + len(texts)
