@@ -24,7 +24,8 @@ _L = r"licen[cs]e"
 
 # Label, gate keyword, and the license's name as a pattern over folded words.
 NAMES = [
-    ("mit", "mit", rf"(?:the )?mit {_L}|expat {_L}"),
+    ("mit", "mit", rf"(?:the )?mit {_L}"),
+    ("mit", "expat", rf"(?:the )?expat {_L}"),
     ("mit-0", "mit", rf"mit no attribution(?: {_L})?|mit 0"),
     ("apache-2", "apache", rf"(?:the )?apache (?:software )?{_L}{_V}2(?: 0)?|apache 2(?: 0)?(?: {_L})?"),
     ("apache-1.1", "apache", rf"(?:the )?apache (?:software )?{_L}{_V}1 1|apache 1 1"),
@@ -55,8 +56,10 @@ NAMES = [
     ("epl-2", "eclipse", rf"eclipse public {_L}{_V}2(?: 0)?"),
     ("epl-1", "eclipse", rf"eclipse public {_L}{_V}1(?: 0)?"),
     ("edl-1", "eclipse", rf"eclipse distribution {_L}{_V}(?: 1(?: 0)?)?"),
-    ("cddl-1.1", "distribution", rf"common development and distribution {_L}{_V}1 1|cddl 1 1"),
-    ("cddl-1.0", "distribution", rf"common development and distribution {_L}(?:{_V}1 0)?|cddl 1 0"),
+    ("cddl-1.1", "distribution", rf"common development and distribution {_L}{_V}1 1"),
+    ("cddl-1.1", "cddl", r"cddl(?: ?v(?:ersion)?)? ?1 1"),
+    ("cddl-1.0", "distribution", rf"common development and distribution {_L}(?:{_V}1 0)?"),
+    ("cddl-1.0", "cddl", r"cddl(?: ?v(?:ersion)?)? ?1 0"),
     ("cpl-1.0", "common", rf"common public {_L}(?:{_V}1 0)?"),
     ("cpal-1.0", "attribution", rf"common public attribution {_L}(?:{_V}1 0)?"),
     ("isc", "isc", rf"(?:the )?isc {_L}"),
@@ -68,7 +71,8 @@ NAMES = [
     ("elastic-2", "elastic", rf"elastic {_L}(?:{_V}2(?: 0)?)?"),
     ("artistic-2", "artistic", rf"artistic {_L}{_V}2(?: 0)?"),
     ("artistic-1", "artistic", rf"artistic {_L}(?:{_V}1(?: 0)?)?"),
-    ("python-2", "python", rf"python software foundation {_L}(?:{_V}2(?: 0)?)?|psf {_L}"),
+    ("python-2", "python", rf"python software foundation {_L}(?:{_V}2(?: 0)?)?"),
+    ("python-2", "psf", rf"psf {_L}"),
     ("php-3.01", "php", rf"php {_L}(?:{_V}3 01)?"),
     ("ruby", "ruby", rf"ruby {_L}"),
     ("perl", "perl", r"same terms as perl(?: itself)?"),
@@ -78,8 +82,10 @@ NAMES = [
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc0-1.0", "zero", r"creative commons zero(?: v?1 0)?(?: universal)?"),
     ("upl-1.0", "universal", rf"universal permissive {_L}(?:{_V}1(?: 0)?)?"),
-    ("ms-pl", "microsoft", rf"microsoft public {_L}|ms pl"),
-    ("ms-rl", "microsoft", rf"microsoft reciprocal {_L}|ms rl"),
+    ("ms-pl", "microsoft", rf"microsoft public {_L}"),
+    ("ms-pl", "ms pl", r"ms pl"),
+    ("ms-rl", "microsoft", rf"microsoft reciprocal {_L}"),
+    ("ms-rl", "ms rl", r"ms rl"),
     ("eupl-1.2", "union", rf"european union public {_L}{_V}1 2"),
     ("eupl-1.1", "union", rf"european union public {_L}(?:{_V}1 1)?"),
     ("eupl-1.2", "eupl", r"eupl(?: v?1 2)?"),
@@ -87,7 +93,8 @@ NAMES = [
     ("afl-3", "academic", rf"academic free {_L}(?:{_V}3(?: 0)?)?"),
     ("ecl-2", "educational", rf"educational community {_L}(?:{_V}2(?: 0)?)?"),
     ("ofl-1.1", "font", rf"(?:sil )?open font {_L}(?:{_V}1 1)?"),
-    ("odbl-1.0", "database", rf"open (?:data commons open )?database {_L}(?:{_V}1 0)?|odbl(?: 1 0)?"),
+    ("odbl-1.0", "database", rf"open (?:data commons open )?database {_L}(?:{_V}1 0)?"),
+    ("odbl-1.0", "odbl", r"odbl(?: v?1 0)?"),
     ("odc-by-1.0", "attribution", rf"open data commons attribution {_L}(?:{_V}1 0)?"),
     ("pddl-1.0", "public domain", rf"(?:open data commons )?public domain dedication and {_L}"),
     ("ncsa", "ncsa", rf"(?:university of illinois )?ncsa (?:open source )?{_L}"),
@@ -174,7 +181,7 @@ _BY_GATE: dict[bytes, list[int]] = {}
 for _i, _rule in enumerate(RULES):
     _BY_GATE.setdefault(_rule[1], []).append(_i)
 _BASE = [(re.compile(rb"(?<![^ ])(?=" + p + rb"(?![^ ]))"), label) for p, label in BASE]
-#: A text with none of these holds nothing that any rule could match: every gate starts with or lies in one.
+#: A text with none of these holds nothing that any rule could match: every string that a rule matches holds one.
 _MAIN = [b"licen", b" mit ", b"gpl", b"cc by", b"creative", b"public domain", b"all rights", b"permission", b"redistrib", b"spdx", b"gnu", b"cc0", b"apache", b"bsd", b"as is", b"confidential", b"may not be", b"unauthorized", b"neither the", b"advertising", b"wtfpl", b"rail", b"mulan psl", b"ms pl", b"ms rl", b"mpl", b"eupl", b"odbl", b"cddl", b"cecill", b"boost org", b"same terms", b"nasa open"]
 
 

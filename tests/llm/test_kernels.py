@@ -108,6 +108,46 @@ def test_license_rules(text, labels):
     assert len(licenses.RULES) > 300
 
 
+def pattern_samples(tree) -> list[str]:
+    """Strings that a parsed pattern matches: every alternative, with and without each optional part."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name in ("LITERAL", "CATEGORY"):
+            ends = [chr(arg)] if name == "LITERAL" else ["1" if "DIGIT" in str(arg) else "a"]
+        elif name == "IN":
+            ends = ["x"] if str(arg[0][0]) == "NEGATE" else [x for item in arg for x in pattern_samples([item])]
+        elif name == "NOT_LITERAL":
+            ends = ["x"]
+        elif name == "BRANCH":
+            ends = [x for branch in arg[1] for x in pattern_samples(branch)]
+        elif name == "SUBPATTERN":
+            ends = pattern_samples(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            ends = [x * n for n in {low, min(high, low + 1)} for x in pattern_samples(inner)]
+        else:
+            ends = [""]  # looks around, takes nothing
+        out = list(dict.fromkeys(a + b for a in out for b in ends))
+    return out
+
+
+def test_license_gates_lie_in_all_that_their_rules_match():
+    for label, gate, pattern in licenses.NAMES + licenses.BODIES:
+        for sample in pattern_samples(re._parser.parse(pattern)):
+            assert gate in f" {sample} ", (label, gate, sample)
+            assert any(x in f" {sample} ".encode() for x in licenses._MAIN), (label, sample)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("licensed under CDDL 1.0", "cddl-1.0"), ("CDDL-1.1", "cddl-1.1"), ("released under ODbL 1.0", "odbl-1.0"), ("License: MS-PL", "ms-pl"), ("MS-RL", "ms-rl"), ("under the PSF license", "python-2"), ("under the Expat license", "mit")],
+)
+def test_license_short_names_pass_their_gates(text, label):
+    folded = b" " + b" ".join(text.encode().translate(licenses._FOLD).split()) + b" "
+    assert {x[2] for x in licenses.detect(folded)} == {label}
+
+
 def odd_texts() -> list[str]:
     rng = random.Random(3)
     pool = [*"aAbBcÉéßΣσςİI 0123  \n\t \x1c\x85\xa0’日本語한글#$%&!.ﬁ", "ñ", " ", "'s", "'t", "'re", "'ll", "''", "<|endoftext|>", "<|startoftext|>", "<|", "aaaa", "👩‍👧"]
