@@ -88,6 +88,7 @@ NAMES = [
     ("ms-rl", "ms rl", r"ms rl"),
     ("eupl-1.2", "union", rf"european union public {_L}{_V}1 2"),
     ("eupl-1.1", "union", rf"european union public {_L}(?:{_V}1 1)?"),
+    ("eupl-1.1", "eupl", r"eupl(?: version)? ?v?1 1"),
     ("eupl-1.2", "eupl", r"eupl(?: v?1 2)?"),
     ("osl-3", "open software", rf"open software {_L}(?:{_V}3(?: 0)?)?"),
     ("afl-3", "academic", rf"academic free {_L}(?:{_V}3(?: 0)?)?"),
@@ -129,6 +130,26 @@ for _code, _words in (
     NAMES.append((f"cc-{_code}", "creative commons", rf"creative commons {_words}(?! (?:non|no|share) ?(?:commercial|deriv|alike))(?: \d \d)?(?: (?:international|unported|generic))?(?: (?:public )?{_L})?"))
     NAMES.append((f"cc-{_code}", "creativecommons", rf"creativecommons org licenses {_short}(?! (?:nc|nd|sa)\b)(?: \d \d)?"))
 
+# Short identifiers, which alone mean little: only in a tag, notice or field. The gate stands between blanks.
+SHORT = [
+    ("mit", " mit ", r"mit"), ("mit", " expat ", r"expat"), ("isc", " isc ", r"isc"), ("zlib", " zlib ", r"zlib"), ("libpng", " libpng", r"libpng(?: 2(?: 0)?)?"),
+    ("bsl-1.0", " bsl 1", r"bsl 1(?: 0)?"), ("busl-1.1", " busl 1", r"busl 1 1"), ("sspl-1", " sspl", r"sspl(?: v?1(?: 0)?)?"), ("elastic-2", " elastic 2", r"elastic 2(?: 0)?"),
+    ("epl-2", " epl", r"epl ?v? ?2(?: 0)?"), ("epl-1", " epl", r"epl ?v? ?1(?: 0)?"), ("edl-1", " edl", r"edl(?: ?v?1(?: 0)?)?"),
+    ("artistic-2", " artistic 2", r"artistic 2(?: 0)?"), ("artistic-1", " artistic 1", r"artistic 1(?: 0)?"),
+    ("gpl-1", " gpl", r"gpl ?v? ?1(?: 0)?"), ("gpl", " gpl ", r"gpl"), ("lgpl-2", " lgpl", r"lgpl ?v? ?2(?: 0)?"), ("lgpl", " lgpl ", r"lgpl"), ("agpl-3", " agpl ", r"agpl"),
+    ("gfdl", " gfdl", r"gfdl(?: ?v?1 [123])?"), ("mpl-1.1", " mpl", r"mpl ?v? ?1 1"), ("mpl-1.0", " mpl", r"mpl ?v? ?1 0"),
+    ("cpl-1.0", " cpl", r"cpl(?: ?v?1 0)?"), ("cpal-1.0", " cpal", r"cpal(?: ?v?1 0)?"), ("python-2", " python 2", r"python 2 0"), ("python-2", " psf", r"psf(?: 2 0)?"),
+    ("php-3.01", " php 3", r"php 3 01"), ("ruby", " ruby ", r"ruby"), ("perl", " perl", r"perl(?: 5)?"), ("upl-1.0", " upl", r"upl(?: ?v?1 0)?"),
+    ("osl-3", " osl", r"osl ?v? ?3(?: 0)?"), ("afl-3", " afl", r"afl ?v? ?3(?: 0)?"), ("ecl-2", " ecl", r"ecl ?v? ?2(?: 0)?"),
+    ("ofl-1.1", " ofl", r"(?:sil )?ofl(?: ?v?1 1)?"), ("odc-by-1.0", " odc by", r"odc by(?: 1 0)?"), ("pddl-1.0", " pddl", r"pddl(?: 1 0)?"), ("ncsa", " ncsa ", r"ncsa"),
+    ("postgresql", " postgresql ", r"postgresql"), ("openssl", " openssl ", r"openssl"), ("vim", " vim ", r"vim"), ("w3c", " w3c ", r"w3c"), ("x11", " x11 ", r"x11"), ("curl", " curl ", r"curl"),
+    ("unicode", " unicode ", r"unicode(?: (?:3 0|tou|dfs 201[56]))?"), ("intel", " intel ", r"intel"), ("nasa-1.3", " nasa 1", r"nasa 1 3"), ("qpl-1.0", " qpl", r"qpl(?: ?v?1 0)?"),
+    ("sleepycat", " sleepycat ", r"sleepycat"), ("zpl-2.1", " zpl", r"zpl ?v? ?2 1"), ("mulan-psl-2", " mulanpsl", r"mulanpsl ?v?2(?: 0)?"),
+    ("llama", " llama", r"llama ?\d(?: \d)?"), ("beerware", " beer", r"beer ?ware"), ("jsr", " jrl ", r"jrl"),
+]
+#: Identifiers that are also plain words: a notice must say "licensed", and a field is less sure.
+PLAIN = {"ruby", "perl", "postgresql", "openssl", "vim", "w3c", "x11", "curl", "unicode", "intel", "llama", "libpng", "zlib"}
+
 # Passages of license bodies, by hand.
 BODIES = [
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -164,15 +185,25 @@ FORMS = [
     ("field", r"licen[cs]es?(?: is| are| name| type| info| information)? {0}", 0.85),
     ("name", r"{0}", 0.7),
 ]
+# The same before a short identifier. Only "under" leads to one: software is also distributed with, or provided by, what bears such a name.
+_UNDER = r" under(?: the)?(?: terms)?(?: and conditions)?(?: of)?(?: the)?(?: an?)? {0}"
+SHORT_FORMS = {
+    "tag": (FORMS[0][1], FORMS[0][1]),
+    "notice": (r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|covered|offered|shared|governed)(?: [^ ]+){{0,3}}?" + _UNDER, r"licen[cs]ed" + _UNDER),
+    "field": (FORMS[2][1], FORMS[2][1]),
+}
 
 
 def _rules() -> list[tuple[str, bytes, re.Pattern, float]]:
-    """Label, gate, pattern and certainty, by priority: bodies, then each form over every name, then bare mentions."""
+    """Label, gate, pattern and certainty, by priority: bodies, then each form over every name and short identifier, then bare mentions."""
     word = r"(?<![^ ])(?:{})(?![^ ])"
     make = lambda p: re.compile(word.format(p).encode())
     rules = [(label, gate.encode(), make(p), 1.0 if label != "proprietary" else 0.6) for label, gate, p in BODIES]
-    for _, form, sure in FORMS:
+    for kind, form, sure in FORMS:
         rules += [(label, gate.encode(), make(form.format(f"(?:{p})")), sure) for label, gate, p in NAMES]
+        for label, gate, p in SHORT if kind in SHORT_FORMS else []:
+            plain = label in PLAIN
+            rules.append((label, gate.encode(), make(SHORT_FORMS[kind][plain].format(f"(?:{p})")), 0.6 if plain and kind == "field" else sure))
     return rules
 
 
@@ -182,7 +213,7 @@ for _i, _rule in enumerate(RULES):
     _BY_GATE.setdefault(_rule[1], []).append(_i)
 _BASE = [(re.compile(rb"(?<![^ ])(?=" + p + rb"(?![^ ]))"), label) for p, label in BASE]
 #: A text with none of these holds nothing that any rule could match: every string that a rule matches holds one.
-_MAIN = [b"licen", b" mit ", b"gpl", b"cc by", b"creative", b"public domain", b"all rights", b"permission", b"redistrib", b"spdx", b"gnu", b"cc0", b"apache", b"bsd", b"as is", b"confidential", b"may not be", b"unauthorized", b"neither the", b"advertising", b"wtfpl", b"rail", b"mulan psl", b"ms pl", b"ms rl", b"mpl", b"eupl", b"odbl", b"cddl", b"cecill", b"boost org", b"same terms", b"nasa open"]
+_MAIN = [b"licen", b" mit ", b"gpl", b"cc by", b"creative", b"public domain", b"all rights", b"permission", b"redistrib", b"spdx", b"gnu", b"cc0", b"apache", b"bsd", b"as is", b"confidential", b"may not be", b"unauthorized", b"neither the", b"advertising", b"wtfpl", b"rail", b"mulan psl", b"ms pl", b"ms rl", b"mpl", b"eupl", b"odbl", b"cddl", b"under ", b"cecill", b"boost org", b"same terms", b"nasa open"]
 
 
 def detect(folded: bytes) -> list[tuple[int, int, str, float, int]]:
