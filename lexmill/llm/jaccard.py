@@ -210,17 +210,14 @@ def _measure(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     return sized.where("100 * common >= 75 * (na + nb - common)").select("a", "b")
 
 
-def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id of every row: near-duplicate components at a Jaccard similarity of 0.75.
+#: Of two sets that share a prefix shingle: their overlap is at most what either set shares at all ...
+_FITS = "7 * least(x.m, y.m) >= 3 * (x.n + y.n)"
+#: ... and, from their first common shingle on, at most what is left of either set; later ones leave less.
+_ROOM = "7 * least(x.m - x.at, y.m - y.at) >= 3 * (x.n + y.n)"
 
-    Words are runs without white space, A-Z in lower case. A text's set holds its distinct
-    shingles of `width` words; with fewer words, its whole sequence as one. A null text
-    or one without words has an empty set, links with nothing and is its own component.
-    Rows with equal sets form a class, repeated rows included; class_id is a set's hash, null
-    for an empty one. component_id is the smallest id reachable by links. Null ids
-    are never the smallest; a component of null ids only has a null id. Other columns are
-    not read. An empty table gives no rows.
-    """
+
+def _candidates(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with the size and hash of their sets, sets that may link, and prefix shingles that sets have in common."""
     kind = dict(df.dtypes)[id_col]
     spark = small_batches(df.sparkSession)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -263,7 +260,22 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prefix = kept.select("key", "n", F.size("shingles").alias("m"), "weight", F.posexplode(F.slice("shingles", 1, length)).alias("at", "s"))
     several = prefix.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1").select("s")
     shared = checkpoint(prefix.join(several, "s"))
-    fits = F.expr("7 * least(x.m, y.m) >= 3 * (x.n + y.n)")  # the overlap is at most what either set shares at all
+    return docs, kept, shared
+
+
+def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id of every row: near-duplicate components at a Jaccard similarity of 0.75.
+
+    Words are runs without white space, A-Z in lower case. A text's set holds its distinct
+    shingles of `width` words; with fewer words, its whole sequence as one. A null text
+    or one without words has an empty set, links with nothing and is its own component.
+    Rows with equal sets form a class, repeated rows included; class_id is a set's hash, null
+    for an empty one. component_id is the smallest id reachable by links. Null ids
+    are never the smallest; a component of null ids only has a null id. Other columns are
+    not read. An empty table gives no rows.
+    """
+    docs, kept, shared = _candidates(df, id_col, text_col, width)
+    fits = F.expr(_FITS)
     one = F.struct("key", "n", "m", "at")
     ends = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
 
@@ -290,8 +302,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = named.groupBy("s").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("s")
     left = named.join(mixed, "s").select("s", "label", one.alias("x"))
     right = left.select(F.col("s").alias("s2"), F.col("label").alias("label2"), F.col("x").alias("y"))
-    # from its first common shingle on, a pair's overlap is at most what is left of either set; later ones leave less
-    room = F.expr("7 * least(x.m - x.at, y.m - y.at) >= 3 * (x.n + y.n)")
+    room = F.expr(_ROOM)
     cross = left.join(right, (F.col("s") == F.col("s2")) & (F.col("x.key") < F.col("y.key")) & (F.col("label") != F.col("label2")) & fits & room)
     rest = cross.select(*ends).distinct()
     label = components(links.unionByName(_measure(rest.join(tried, ["a", "b"], "left_anti"), kept)))
@@ -304,6 +315,31 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return reduce(DataFrame.unionByName, [full, empty])
 
 
+def _class_links(kept: DataFrame, shared: DataFrame) -> DataFrame:
+    one = F.struct("key", "n", "m", "at")
+    left, right = shared.select("s", one.alias("x")), shared.select(F.col("s").alias("s2"), one.alias("y"))
+    pairs = left.join(right, (F.col("s") == F.col("s2")) & (F.col("x.key") < F.col("y.key")) & F.expr(_FITS) & F.expr(_ROOM))
+    return _measure(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), kept)
+
+
+def class_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """a, b of every two classes (see jaccard_classes) with a similarity of 0.75 or more, a < b; none is left out inside a component."""
+    _, kept, shared = _candidates(df, id_col, text_col, width)
+    return _class_links(kept, shared)
+
+
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, class_id, n_links of every row; n_links counts the other classes that its class links with.
+
+    Copies are in one class and not counted. An empty set has no class and no links.
+    """
+    docs, kept, shared = _candidates(df, id_col, text_col, width)
+    links = checkpoint(_class_links(kept, shared))
+    counts = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    own = docs.withColumn("key", F.when(F.col("n") > 0, F.col("key")))
+    return own.join(counts, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One row of each near-duplicate component, that of the smallest id, with all its columns.
 

@@ -41,6 +41,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(documents(spark, sf_dir)).drop("class_id")
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(documents(spark, sf_dir))
 
@@ -58,7 +62,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_repetition_rules, op3_suffix_dedup, op4_bpe_round_trip, op5_token_counts, op6_jaccard_join, op7_language_id, op8_license_scan, op9_best_fit_packing, op10_mpeg_audio)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_repetition_rules, op3_suffix_dedup, op4_bpe_round_trip, op5_token_counts, op6_jaccard_join, op6_jaccard_links, op7_language_id, op8_license_scan, op9_best_fit_packing, op10_mpeg_audio)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

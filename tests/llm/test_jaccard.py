@@ -73,6 +73,28 @@ def test_near_copies_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows)
 
 
+def test_all_links_of_a_group_of_near_copies(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows: list[tuple] = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(i % 3):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(20)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(40, "alone " * 3), (41, None)]
+    sets = plain_sets(rows)
+    classes = {frozenset(x) for x in sets.values() if x}
+    near = [(x, y) for x, y in combinations(classes, 2) if x & y and 100 * len(x & y) >= 75 * len(x | y)]
+    degree = Counter(z for pair in near for z in pair)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_links(df).collect()
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in got} == {k: (len(x), degree[frozenset(x)]) for k, x in sets.items()}
+    assert len(got) == len(rows) and len({r.class_id for r in got} - {None}) == len(classes)
+    links = jaccard.class_links(df).collect()
+    assert len(links) == len({(r.a, r.b) for r in links}) == len(near) > len(classes)
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (None, None)]
     got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
