@@ -292,7 +292,7 @@ def paired_bootstrap(spark, sf_dir):
     rel = relevant(spark, sf_dir)
     both = _both_ranks(spark, sf_dir).join(rel, ["qid", "doc_id"]).select("qid", (F.lit(1.0) / F.col("rank_a")).alias("before"))
     after = _strict(spark, sf_dir).select("qid", (F.lit(1.0) / F.col("rank")).alias("after"))
-    return metrics.bootstrap(both.join(after, "qid").select("qid", (F.col("after") - F.col("before")).alias("delta")), rounds=400)
+    return metrics.bootstrap(both.join(after, "qid").select("qid", (F.col("after") - F.col("before")).alias("delta")))
 
 
 @register(f"WITH {R} SELECT qid, list(doc_id ORDER BY rank) docs FROM r WHERE rank <= 100 GROUP BY qid")
@@ -371,6 +371,24 @@ def query_term_lists(spark, sf_dir):
     return asked(spark).select("qid", query_terms(F.col("text")).alias("terms"))
 
 
+_ITEMS_SQL = "q AS (SELECT item_id qid, text FROM benchmark)"
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+@register(f"WITH {_ITEMS_SQL} SELECT qid, CASE {_ROUTES} ELSE 'semantic' END route FROM q")
+def route_benchmark(spark, sf_dir):
+    return items(spark, sf_dir).select("qid", router.route(F.col("text")).alias("route"))
+
+
+@register()
+def benchmark_term_lists(spark, sf_dir):
+    """Without SQL: DuckDB's word boundaries are ASCII only, those of the operator and of Python are not."""
+    return items(spark, sf_dir).select("qid", query_terms(F.col("text")).alias("terms"))
+
+
 _NAMES = ["parseConfigFile", "HTTPServer", "snake_case_name", "x1Y2", "__init__", "already lower", "aB_cD"]
 
 

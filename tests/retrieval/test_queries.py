@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, at the smallest scale."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -43,3 +44,18 @@ def test_against_sql(spark, duck, name):
 def test_bootstrap_interval(spark):
     r = registry.queries()["paired_bootstrap"](spark, SF).first()
     assert r.low <= r.mean <= r.high and math.isfinite(r.mean)
+
+
+def test_bootstrap_takes_the_operators_rounds(spark, monkeypatch):
+    seen, bootstrap = [], registry.metrics.bootstrap
+    monkeypatch.setattr(registry.metrics, "bootstrap", lambda deltas, rounds=2000, seed=7: seen.append(rounds) or bootstrap(deltas, rounds, seed))
+    registry.queries()["paired_bootstrap"](spark, SF)
+    assert seen == [2000]
+
+
+def test_benchmark_terms_against_python(spark):
+    from lexmill.functions.text import STOPWORDS
+
+    texts = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    want = {r.item_id: list(dict.fromkeys(w for w in re.findall(r"\b[A-Za-z_][A-Za-z0-9_.]*\b", r.text) if w.lower() not in STOPWORDS))[:12] for r in texts}
+    assert {r.qid: r.terms for r in registry.queries()["benchmark_term_lists"](spark, SF).collect()} == want
