@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,15 +29,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Rows that Spark hands to Python at once. With texts of some KB each, its own default makes batches of tens of MB.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that Spark hands to Python at once. With texts of some KB each, its own defaults make batches of tens of MB, with long ones of GB.
+BATCH_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Make the session's Arrow batches no longer than BATCH_ROWS; a setting that results don't depend on."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Make the session's Arrow batches no longer than BATCH_ROWS and, but for a single row, ARROW_BYTES; settings that results don't depend on."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))  # Spark adds a unit to bytes
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, str(most))
     return spark
 
 
@@ -165,15 +169,24 @@ def sha256(data: bytes) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for data between jobs; a temporary one only where none is named."""
+    """The folder that the cluster names for data between jobs in spark.checkpoint.dir; without one, a temporary folder where all of Spark runs in one process, else an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as keep it apart from the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 
 #: Links that one task takes in, of 16 bytes each; more are connected in rounds of joins, with the same result.
 MOST_LINKS = 1_000_000
@@ -45,7 +45,7 @@ def components(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
     """
     links = checkpoint(links.select("a", "b"))
     if links.limit(most + 1).count() <= most:
-        return links.coalesce(1).mapInArrow(_in_one_task, "node long, label long")
+        return links.coalesce(1).mapInArrow(tidy(_in_one_task), "node long, label long")
     pairs = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     edges = checkpoint(pairs.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     label = checkpoint(edges.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("label")))

@@ -17,10 +17,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, small_batches, span_hash, text_salt, tidy, word_spans
+from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, free_name, groups, mix, prefix_hash, small_batches, span_hash, text_salt, tidy, word_spans
 from .graph import components
 
 #: Bits of a shingle's identity; two different shingles of two linked sets collide once in 2^48 / n^2.
@@ -345,9 +345,14 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Of rows that share that id, one stays. Rows with a null id all stay, since no id tells them apart.
     """
-    ids = jaccard_classes(df, id_col, text_col, width).where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
-    kept = df.join(ids.distinct(), df[id_col] == F.col("_first"), "left_semi")
-    if not df.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
-        order = Window.partitionBy(id_col).orderBy(F.xxhash64(*df.columns))
-        kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    name = free_name(df, "first")
+    first = jaccard_classes(df, id_col, text_col, width).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    own = F.col(f"`{id_col}`")
+    kept = df.join(first, own == F.col(name), "left_semi")
+    if not df.groupBy(own.alias("id")).agg(F.count("*").alias("n")).where("id IS NOT NULL AND n > 1").isEmpty():
+        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        # a map has no hash of its own
+        order = F.xxhash64(F.to_json(whole) if "map<" in df.schema.simpleString() else whole)
+        one = kept.groupBy(own.alias("id")).agg(F.min_by(whole, order).alias("row"))
+        kept = one.select(*(F.col("row")[c].alias(c) for c in df.columns))
+    return kept.unionByName(df.where(own.isNull()))

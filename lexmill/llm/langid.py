@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, cut, keep_rows, mix, per_row, small_batches
+from .common import checkpoint, cut, keep_rows, mix, per_row, small_batches, tidy
 
 #: An n-gram belongs to a language that has it this often among its n-grams; so at most 1 / SHARE of them do.
 SHARE = 2.0**-15
@@ -120,7 +120,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": gram.view(np.int64), "n": n})
 
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = checkpoint(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * share).select("lang", "gram", "total")
@@ -147,7 +147,7 @@ def identify(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "lang_pred": pa.array(langs, pa.string()), "score": score})
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def fold(column: str, by: int) -> F.Column:

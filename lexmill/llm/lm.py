@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .blocks import home, read_block, send
-from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, small_batches, span_hash, text_salt, word_spans
+from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, groups, mix, prefix_hash, small_batches, span_hash, text_salt, tidy, word_spans
 from .langid import fold
 from .wordbpe import load
 
@@ -74,7 +74,7 @@ def stored_texts(rows: DataFrame, path: str) -> DataFrame:
         for k, chunk in enumerate(np.array_split(counts, CHUNKS)):
             yield _row(-1 - k, chunk.tobytes())
 
-    return rows.mapInArrow(run, _SMALL)
+    return rows.mapInArrow(tidy(run), _SMALL)
 
 
 def _summed(rows: DataFrame) -> np.ndarray:
@@ -89,7 +89,7 @@ def _summed(rows: DataFrame) -> np.ndarray:
         for part, x in total.items():
             yield _row(part, x.tobytes())
 
-    got = rows.repartition(CHUNKS, "part").mapInArrow(run, _SMALL).collect()
+    got = rows.repartition(CHUNKS, "part").mapInArrow(tidy(run), _SMALL).collect()
     return np.concatenate([np.frombuffer(r.block, np.int64) for r in sorted(got, key=lambda r: -r.part)]) if got else np.zeros(0, np.int64)
 
 
@@ -118,7 +118,7 @@ def _averaged(rows: DataFrame, params: dict[str, np.ndarray], dim: int) -> dict[
         for part, x in total.items():
             yield _row(part, (x[:, :-1] / x[:, -1:]).astype(np.float32).tobytes())
 
-    got = {r.part: np.frombuffer(r.block, np.float32).reshape(-1, widths[r.part] - 1) for r in rows.repartition(2 * CHUNKS + 1, "part").mapInArrow(run, _SMALL).collect()}
+    got = {r.part: np.frombuffer(r.block, np.float32).reshape(-1, widths[r.part] - 1) for r in rows.repartition(2 * CHUNKS + 1, "part").mapInArrow(tidy(run), _SMALL).collect()}
     if not got:
         return params
     embed = np.concatenate([got[k] for k in range(CHUNKS)])
@@ -158,7 +158,7 @@ def train(rows: DataFrame, path: str, dim: int = DIM) -> tuple[dict[str, np.ndar
                     yield _row(part, data)
 
         share = stored.where(condition).select("part", "block").repartition(n, F.floor(F.col("part") / 4) % n)
-        params = _averaged(share.mapInArrow(learn, _SMALL), params, dim)
+        params = _averaged(share.mapInArrow(tidy(learn), _SMALL), params, dim)
     return params, tree
 
 
@@ -288,7 +288,7 @@ def lm_scores(df: DataFrame, path: str, folds: int = 7, held: int = 2, id_col: s
             columns["base"] = pa.array(np.where(hit, base[at] if len(own) else 0.0, 0.0))
             yield wide(batch.column(2).type, batch.num_rows, **columns)
 
-    sent = rows.mapInArrow(score, schema).repartition(parts, "part").mapInArrow(meet, schema).repartition(parts, "part").mapInArrow(gather, schema)
+    sent = rows.mapInArrow(tidy(score), schema).repartition(parts, "part").mapInArrow(tidy(meet), schema).repartition(parts, "part").mapInArrow(tidy(gather), schema)
     table = checkpoint(sent.drop("part", "block"))
     stats = table.agg(F.sum(F.when(F.col("key") < 0, F.col("n_tokens"))).alias("words"), F.sum(F.when(F.col("key") < 0, F.col("n_known"))).alias("distinct"), F.count_if("trains").alias("ends")).first()
     total, distinct, ends = stats.words or 0, stats.distinct or 0, stats.ends or 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, map_texts
+from .common import flat, map_texts, tidy
 
 # Fixed values of the MPEG audio standards: kbit/s by (MPEG 1?, layer), Hz by version bits, samples a frame.
 RATES = {
@@ -233,7 +233,7 @@ def inspect_media(df: DataFrame, id_col: str = "media_id", media_col: str = "med
             yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), **columns})
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("media_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, f"media_id {kind}, n_frames long, seconds double, seek_offsets array<long>, tags array<string>, table string, bad_checksums long, resyncs long")
+    return df.select(F.col(id_col).alias("media_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(tidy(run), f"media_id {kind}, n_frames long, seconds double, seek_offsets array<long>, tags array<string>, table string, bad_checksums long, resyncs long")
 
 
 def encode_media(df: DataFrame, id_col: str = "media_id", payload_col: str = "payload") -> DataFrame:
@@ -244,7 +244,7 @@ def encode_media(df: DataFrame, id_col: str = "media_id", payload_col: str = "pa
             yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), "media": pa.array([None if x is None else encode(x) for x in batch.column(1).to_pylist()], pa.binary())})
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("media_id"), F.col(payload_col).cast("binary").alias("payload")).mapInArrow(run, f"media_id {kind}, media binary")
+    return df.select(F.col(id_col).alias("media_id"), F.col(payload_col).cast("binary").alias("payload")).mapInArrow(tidy(run), f"media_id {kind}, media binary")
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_texts
+from .common import checkpoint, map_texts, tidy
 from .wordbpe import load
 
 
@@ -225,4 +225,4 @@ def pack(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = dict(cut.dtypes)["doc_id"]
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
