@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,13 +35,13 @@ NAMES = [
     ("bsd-3-clause", "bsd", rf"(?:new|modified|revised) bsd {_L}|bsd 3 clause(?: {_L})?|3 clause bsd(?: {_L})?|three clause bsd(?: {_L})?"),
     ("bsd-4-clause", "bsd", rf"(?:original|old) bsd {_L}|bsd 4 clause(?: {_L})?|4 clause bsd(?: {_L})?"),
     ("0bsd", "bsd", rf"0bsd|zero clause bsd(?: {_L})?|bsd zero clause(?: {_L})?"),
-    ("agpl-3", "affero", rf"(?:gnu )?affero general public {_L}{_V}(?: 3(?: 0)?)?"),
+    ("agpl-3", "affero", rf"(?:gnu )?affero general public {_L}(?:{_V}3(?: 0)?)?"),
     ("agpl-3", "agpl", r"(?:gnu )?agpl(?: ?v(?:ersion)?)? ?3(?: 0)?|agplv3"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public {_L}{_V}2 1"),
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: ?v(?:ersion)?)? ?2 1|lgplv2 1"),
     ("lgpl-3", "lesser", rf"(?:gnu )?lesser general public {_L}{_V}3(?: 0)?"),
     ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: ?v(?:ersion)?)? ?3(?: 0)?|lgplv3"),
-    ("lgpl-2", "library", rf"(?:gnu )?library general public {_L}{_V}(?: 2(?: 0)?)?"),
+    ("lgpl-2", "library", rf"(?:gnu )?library general public {_L}(?:{_V}2(?: 0)?)?"),
     ("lgpl", "lesser", rf"(?:gnu )?lesser general public {_L}"),
     ("gpl-3", "gnu", rf"gnu general public {_L}{_V}3(?: 0)?|gnu gpl{_V}3(?: 0)?"),
     ("gpl-3", "gpl", r"gpl ?v ?3(?: 0)?|gpl(?: version)? 3(?: 0)?|gplv3"),
@@ -55,7 +56,7 @@ NAMES = [
     ("mpl-2", "mpl", r"mpl(?: v(?:ersion)?)? ?2(?: 0)?|mplv2"),
     ("epl-2", "eclipse", rf"eclipse public {_L}{_V}2(?: 0)?"),
     ("epl-1", "eclipse", rf"eclipse public {_L}{_V}1(?: 0)?"),
-    ("edl-1", "eclipse", rf"eclipse distribution {_L}{_V}(?: 1(?: 0)?)?"),
+    ("edl-1", "eclipse", rf"eclipse distribution {_L}(?:{_V}1(?: 0)?)?"),
     ("cddl-1.1", "distribution", rf"common development and distribution {_L}{_V}1 1"),
     ("cddl-1.1", "cddl", r"cddl(?: ?v(?:ersion)?)? ?1 1"),
     ("cddl-1.0", "distribution", rf"common development and distribution {_L}(?:{_V}1 0)?"),
@@ -117,8 +118,125 @@ NAMES = [
     ("llama", "llama", rf"llama \d(?: \d)? community {_L}"),
     ("beerware", "beer", rf"(?:the )?beer ?ware {_L}"),
     ("jsr", "java", rf"java research {_L}"),
+    ("python-2", "python", rf"(?:the )?python {_L}(?:{_V}2(?: 0)?)?"),
+    ("cnri-python", "cnri", rf"cnri (?:open source )?python {_L}(?: agreement)?|cnri open source {_L} agreement"),
+    ("json", "json", rf"(?:the )?json {_L}"),
+    ("ijg", "jpeg", rf"(?:the )?independent jpeg group(?: s)? {_L}"),
+    ("tcl", "tcl", rf"tcl tk {_L}|tcl {_L}"),
+    ("icu", "icu", rf"icu {_L}"),
+    ("ftl", "freetype", rf"freetype(?: project)? {_L}"),
+    ("bzip2", "bzip2", rf"bzip2(?: libbzip2)? {_L}"),
+    ("lppl-1.3", "latex", rf"latex project public {_L}{_V}1 3[abc]?"),
+    ("lppl", "latex", rf"latex project public {_L}"),
+    ("lppl", "lppl", r"lppl(?: v?1 [0123][abc]?)?"),
+    ("opl-1.0", "publication", rf"open publication {_L}(?:{_V}1(?: 0)?)?"),
+    ("opl-content", "open content", rf"open content {_L}"),
+    ("fal-1.3", "free art", rf"free art {_L}(?:{_V}1 3)?"),
+    ("fal-1.3", "licence art libre", r"licence art libre"),
+    ("gust-font", "gust", rf"gust font {_L}"),
+    ("bitstream-vera", "vera", rf"bitstream vera(?: fonts?)? {_L}"),
+    ("ubuntu-font", "ubuntu", rf"ubuntu font {_L}(?:{_V}1 0)?"),
+    ("apsl-2", "apple", rf"apple public source {_L}(?:{_V}[12](?: [0-2])?)?"),
+    ("hippocratic", "hippocratic", rf"hippocratic {_L}(?:{_V}\d(?: \d)?)?"),
+    ("commons-clause", "commons clause", rf"commons clause(?: {_L})?(?: condition)?(?:{_V}1 0)?"),
+    ("ogl-uk-3", "government", rf"open government {_L}(?:{_V}[123](?: 0)?)?"),
+    ("etalab-2", "etalab", rf"etalab(?: open)? {_L}(?: 2 0)?"),
+    ("etalab-2", "licence ouverte", r"licence ouverte(?: open licence)?(?: version)?(?: [12] 0)?(?: etalab)?"),
+    ("dl-de-by-2", "data licence germany", r"data licence germany attribution(?: version)?(?: 2 0)?"),
+    ("dl-de-zero-2", "data licence germany", r"data licence germany zero(?: version)?(?: 2 0)?"),
+    ("cdla-permissive", "community data", rf"community data {_L} agreement permissive(?:{_V}[12] 0)?"),
+    ("cdla-sharing", "community data", rf"community data {_L} agreement sharing(?:{_V}1 0)?"),
+    ("confluent", "confluent", rf"confluent community {_L}(?: agreement)?(?:{_V}1 0)?"),
+    ("rsal-2", "redis", rf"redis source available {_L}(?: agreement)?(?:{_V}[12](?: 0)?)?"),
+    ("timescale", "timescale", rf"timescale {_L}(?: agreement)?"),
+    ("fsl-1.1", "functional source", rf"functional source {_L}(?:{_V}1 [01])?"),
+    ("prosperity", "prosperity", rf"prosperity public {_L}(?:{_V}\d(?: \d)*)?"),
+    ("parity", "parity", rf"parity public {_L}(?:{_V}\d(?: \d)*)?"),
+    ("polyform-nc", "polyform", rf"polyform non ?commercial {_L}(?:{_V}1 0(?: 0)?)?"),
+    ("polyform-sb", "polyform", rf"polyform small business {_L}(?:{_V}1 0(?: 0)?)?"),
+    ("polyform-shield", "polyform", rf"polyform (?:shield|perimeter|strict|internal use) {_L}(?:{_V}1 0(?: 0)?)?"),
+    ("blueoak-1.0", "blue oak", rf"blue oak model {_L}(?:{_V}1 0(?: 0)?)?"),
+    ("anti-996", "996", rf"anti 996 {_L}(?:{_V}1 0)?"),
+    ("cal-1.0", "cryptographic", rf"cryptographic autonomy {_L}(?:{_V}1 0)?"),
+    ("cern-ohl", "cern", rf"cern open hardware {_L}(?:{_V}[12](?: [0-2])?)?|cern ohl(?: [spw])?(?: 2 0)?"),
+    ("tapr-ohl", "tapr", rf"tapr open hardware {_L}(?:{_V}1 0)?"),
+    ("solderpad", "solderpad", rf"solderpad(?: hardware)? {_L}(?:{_V}[02] 51?)?"),
+    ("hpnd", "historical", r"historical permission notice and disclaimer"),
+    ("ntp", "ntp", rf"ntp {_L}"),
+    ("miros", "miros", rf"miros {_L}"),
+    ("multics", "multics", rf"multics {_L}"),
+    ("naumen", "naumen", rf"naumen public {_L}"),
+    ("ngpl", "nethack", rf"nethack general public {_L}"),
+    ("nokia", "nokia", rf"nokia open source {_L}"),
+    ("oclc-2", "oclc", rf"oclc research public {_L}(?:{_V}2(?: 0)?)?"),
+    ("ogtsl", "open group", rf"open group test suite {_L}"),
+    ("rpl-1.5", "reciprocal public", rf"reciprocal public {_L}(?:{_V}1 [15])?"),
+    ("rpsl-1", "realnetworks", rf"realnetworks public source {_L}(?:{_V}1 0)?"),
+    ("ricoh-1", "ricoh", rf"ricoh source code public {_L}"),
+    ("simpl-2", "simple public", rf"simple public {_L}(?:{_V}2 0)?"),
+    ("sissl", "sun industry", rf"sun industry standards source {_L}(?:{_V}1 [12])?"),
+    ("spl-1", "sun public", rf"sun public {_L}(?:{_V}1 0)?"),
+    ("vsl-1", "vovida", rf"vovida software {_L}(?:{_V}1 0)?"),
+    ("watcom-1", "watcom", rf"(?:sybase open )?watcom public {_L}(?:{_V}1 0)?"),
+    ("xnet", "xnet", rf"xnet {_L}"),
+    ("xnet", "x net", rf"x net {_L}"),
+    ("efl-2", "eiffel", rf"eiffel forum {_L}(?:{_V}[12](?: 0)?)?"),
+    ("entessa", "entessa", rf"entessa public {_L}"),
+    ("fair", "fair", rf"fair {_L}"),
+    ("frameworx-1", "frameworx", rf"frameworx(?: open)? {_L}(?:{_V}1 0)?"),
+    ("ipl-1", "ibm", rf"ibm public {_L}(?:{_V}1 0)?"),
+    ("lucent", "lucent", rf"lucent public {_L}(?:{_V}1 0[2]?)?"),
+    ("catosl", "computer associates", rf"computer associates trusted open source {_L}(?:{_V}1 1)?"),
+    ("motosoto", "motosoto", rf"motosoto(?: open source)? {_L}"),
+    ("afmparse", "adobe", rf"adobe (?:font metrics|glyph list|systems incorporated source code) {_L}(?: agreement)?"),
+    ("oldap-2.8", "openldap", rf"openldap public {_L}(?:{_V}2 \d)?"),
+    ("d-fsl-1", "freie software", r"deutsche freie software lizenz"),
+    ("liliq", "qu bec", rf"licence libre du qu bec"),
+    ("apple-mit", "apple", rf"apple mit {_L}"),
+    ("boehm-gc", "boehm", rf"boehm demers weiser (?:gc |garbage collector )?{_L}"),
+    ("zend-2", "zend", rf"zend {_L}(?:{_V}2(?: 0)?)?"),
+    ("gsap", "greensock", rf"(?:standard )?greensock(?: standard)? {_L}"),
+    ("gemma", "gemma", rf"gemma terms of use|gemma {_L}"),
+    ("qwen", "qwen", rf"qwen(?: research)? {_L}(?: agreement)?"),
+    ("qwen", "qianwen", rf"(?:tongyi )?qianwen {_L}(?: agreement)?"),
+    ("deepseek", "deepseek", rf"deepseek(?: model)? {_L}(?: agreement)?"),
+    ("falcon", "falcon", rf"falcon (?:\d+b )?(?:tii )?(?:llm )?{_L}"),
+    ("stability", "stability", rf"stability ai (?:community|non ?commercial research) {_L}(?: agreement)?"),
+    ("nvidia-open-model", "nvidia", rf"nvidia open model {_L}(?: agreement)?"),
+    ("nvidia-eula", "nvidia", rf"nvidia (?:software|source code|cuda|end user) {_L}(?: agreement)?"),
+    ("oracle-bcl", "oracle", rf"oracle binary code {_L}(?: agreement)?"),
+    ("otn", "oracle technology", rf"oracle technology network {_L}(?: agreement)?"),
+    ("gpl-classpath", "classpath", r"gnu classpath exception|classpath exception(?: 2 0)?|gpl(?: v?2)? with (?:the )?classpath exception"),
+    ("gcc-exception", "runtime library exception", r"gcc runtime library exception(?: version)?(?: 3 1)?"),
+    ("llvm-exception", "llvm exception", r"apache(?: license)?(?: version)?(?: 2 0)? with llvm exceptions?|llvm exceptions?"),
+    ("bison-exception", "bison", r"bison exception(?: 2 2)?"),
+    ("font-exception", "font exception", r"gpl font exception|font exception 2 0"),
 ]
 
+# Versions that a notice leaves open, or fixes: what stands before "or later" and "only". They hold the plain name, so they come before it.
+VERSIONS = [
+    ("gpl-1", "gnu general", rf"gnu general public {_L}{_V}1(?: 0)?"), ("gpl-1", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?1(?: 0)?"),
+    ("gpl-2", "gnu general", rf"gnu general public {_L}{_V}2(?: 0)?"), ("gpl-2", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?2(?: 0)?"),
+    ("gpl-3", "gnu general", rf"gnu general public {_L}{_V}3(?: 0)?"), ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?(?:ersion)? ?3(?: 0)?"),
+    ("lgpl-2", "library general", rf"(?:gnu )?library general public {_L}{_V}2(?: 0)?"), ("lgpl-2", "lgpl", r"(?:gnu )?lgpl ?v?(?:ersion)? ?2(?: 0)?"),
+    ("lgpl-2.1", "lesser general", rf"(?:gnu )?lesser general public {_L}{_V}2 1"), ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?(?:ersion)? ?2 1"),
+    ("lgpl-3", "lesser general", rf"(?:gnu )?lesser general public {_L}{_V}3(?: 0)?"), ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?v?(?:ersion)? ?3(?: 0)?"),
+    ("agpl-3", "affero general", rf"(?:gnu )?affero general public {_L}{_V}3(?: 0)?"), ("agpl-3", "agpl", r"(?:gnu )?agpl ?v?(?:ersion)? ?3(?: 0)?"),
+    ("gfdl", "free documentation", rf"(?:gnu )?free documentation {_L}{_V}1 [123]"), ("gfdl", "gfdl", r"gfdl ?v?1 [123]"),
+    ("mpl-2", "mozilla", rf"mozilla public {_L}{_V}2(?: 0)?"), ("mpl-2", " mpl", r"mpl ?v?2(?: 0)?"),
+    ("epl-2", "eclipse", rf"eclipse public {_L}{_V}2(?: 0)?"), ("epl-2", " epl", r"epl ?v?2(?: 0)?"),
+]
+for _label, _gate, _name in VERSIONS:
+    NAMES.insert(0, (f"{_label}-or-later", _gate, rf"(?:{_name})(?: or)?(?: at your option)? (?:any )?later(?: versions?)?"))
+    NAMES.insert(0, (f"{_label}-only", _gate, rf"(?:{_name}) only"))
+
+# "MIT licensed" and the like: the name stands before the word.
+NAMES += [
+    ("mit", "mit licen", r"mit licen[cs]ed"), ("apache-2", "apache", r"apache 2(?: 0)? licen[cs]ed"), ("apache-2", "apache", r"apache licen[cs]ed"), ("bsd", "bsd licen", r"bsd licen[cs]ed"), ("bsd", "bsd", rf"(?:the )?bsd(?: style)? {_L}"),
+    ("gpl", "gpl licen", r"gpl licen[cs]ed"), ("lgpl", "lgpl licen", r"lgpl licen[cs]ed"), ("agpl-3", "agpl licen", r"agpl licen[cs]ed"), ("gpl-2", "gplv2 licen", r"gplv2 licen[cs]ed"), ("gpl-3", "gplv3 licen", r"gplv3 licen[cs]ed"),
+    ("mpl-2", "mpl licen", r"mpl licen[cs]ed"), ("cc0-1.0", "cc0 licen", r"cc0 licen[cs]ed"), ("isc", "isc licen", r"isc licen[cs]ed"), ("zlib", "zlib licen", r"zlib licen[cs]ed"), ("cc-by", "cc by licen", r"cc by licen[cs]ed"),
+]
+
 # Creative Commons: by the parts of the short name, with and without a version.
 for _code, _words in (
     ("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s?(?: works)?"),
@@ -160,6 +278,12 @@ BODIES = [
     ("bsd-2-clause", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("apache-2", "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache-2", "apache", r"www apache org licenses license 2 0"),
+    ("gpl-3-or-later", "gnu", r"gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2-or-later", "gnu", r"gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", "gnu", r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3-or-later", "gnu", r"gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3-or-later", "gnu", r"gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2-only", "gnu", r"gnu general public license version 2 as published by the free software foundation"),
     ("gpl-3", "gnu", r"gnu general public license as published by the free software foundation either version 3 of the license"),
     ("gpl-2", "gnu", r"gnu general public license as published by the free software foundation either version 2 of the license"),
     ("gpl", "gnu", r"see the gnu general public license for more details"),
@@ -213,7 +337,7 @@ for _i, _rule in enumerate(RULES):
     _BY_GATE.setdefault(_rule[1], []).append(_i)
 _BASE = [(re.compile(rb"(?<![^ ])(?=" + p + rb"(?![^ ]))"), label) for p, label in BASE]
 #: A text with none of these holds nothing that any rule could match: every string that a rule matches holds one.
-_MAIN = [b"licen", b" mit ", b"gpl", b"cc by", b"creative", b"public domain", b"all rights", b"permission", b"redistrib", b"spdx", b"gnu", b"cc0", b"apache", b"bsd", b"as is", b"confidential", b"may not be", b"unauthorized", b"neither the", b"advertising", b"wtfpl", b"rail", b"mulan psl", b"ms pl", b"ms rl", b"mpl", b"eupl", b"odbl", b"cddl", b"under ", b"cecill", b"boost org", b"same terms", b"nasa open"]
+_MAIN = [b"licen", b" mit ", b"gpl", b"cc by", b"creative", b"public domain", b"all rights", b"permission", b"redistrib", b"spdx", b"gnu", b"cc0", b"apache", b"bsd", b"as is", b"confidential", b"may not be", b"unauthorized", b"neither the", b"advertising", b"wtfpl", b"rail", b"mulan psl", b"ms pl", b"ms rl", b"mpl", b"eupl", b"odbl", b"cddl", b"under ", b"cecill", b"boost org", b"same terms", b"nasa open", b"exception", b"gemma", b"lizenz", b"lppl", b"cern ohl", b"gfdl", b" epl", b"commons clause"]
 
 
 def detect(folded: bytes) -> list[tuple[int, int, str, float, int]]:
@@ -222,11 +346,25 @@ def detect(folded: bytes) -> list[tuple[int, int, str, float, int]]:
     if not any(x in folded for x in _MAIN):
         return accepted
     order = sorted(i for gate, own in _BY_GATE.items() if gate in folded for i in own)
+    # accepted intervals that no other one contains: as begins rise, so do ends
+    begins, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for i in order:
         label, _, pattern, sure = RULES[i]
-        for m in pattern.finditer(folded):
-            if not any(a <= m.start() and m.end() <= b for a, b, *_ in accepted):
-                accepted.append((m.start(), m.end(), label, sure, i))
+        spans = [m.span() for m in pattern.finditer(folded)]
+        if not spans:
+            continue
+        own = np.array(spans, np.int64)
+        if len(begins):
+            at = np.searchsorted(begins, own[:, 0], "right") - 1
+            own = own[(at < 0) | (ends[at] < own[:, 1])]
+            if not len(own):
+                continue
+        accepted += [(a, b, label, sure, i) for a, b in own.tolist()]
+        begins, ends = np.append(begins, own[:, 0]), np.append(ends, own[:, 1])
+        rank = np.lexsort((-ends, begins))
+        begins, ends = begins[rank], ends[rank]
+        outer = np.append(True, ends[1:] > np.maximum.accumulate(ends)[:-1])
+        begins, ends = begins[outer], ends[outer]
     return sorted(accepted)
 
 
@@ -250,7 +388,8 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             words = raw[a:b].split()
             folded = b" " + b" ".join(words) + b" "
             base, found = base_places(folded), detect(folded)
-            at = [folded.count(b" ", 0, p) - 1 for p, _ in base]
+            blanks = np.cumsum(np.frombuffer(folded, np.uint8) == 32) if base else None
+            at = [int(blanks[p - 1]) - 1 for p, _ in base]
             own = sorted({x for _, x in base})
             out["n_words"].append(len(words))
             out["n_base"].append(len(base))

