@@ -1,14 +1,21 @@
 """Language identification by language-bitmask filters of character n-grams.
 
-Every slot of the filter holds one bit per language, so the AND of an n-gram's slots is
-the set of languages that may contain it. A text's score for a language is the share of
-its n-grams with that bit, less what false positives of that language's fill would give.
+Every slot of the filter holds a bit per language and tier, so the AND of an n-gram's
+slots tells which languages may contain it, and how often. The last tier has every n-gram
+of a language's training texts. A text's share for a bit is that of its n-grams with
+that bit, less what false positives of that bit's fill would give; a language's score is
+the mean over its tiers.
+
+The filter has the same number of slots at any size, so what is broadcast is bounded: a
+last tier that fills up with the n-grams of a huge corpus tells less, and its correction
+says so, while the upper ones hold at most 1 / tier n-grams a language.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, cut, keep_rows, mix, per_row, small_batches, tidy
 
-#: An n-gram belongs to a language that has it this often among its n-grams; so at most 1 / SHARE of them do.
-SHARE = 2.0**-15
-#: Slots a stored n-gram, and slots that an n-gram sets.
-ROOM, PROBES = 16, 3
+#: Shares of a language's n-grams that an n-gram must have to belong to it; all belong to the last tier.
+TIERS = (2.0**-12, 2.0**-15, 0.0)
+#: Slots of a filter, slots that an n-gram sets, and chunks in which tasks' filters are joined.
+SLOTS, PROBES, CHUNKS = 1 << 22, 3, 32
 #: A pipeline rejects a text below this score.
 LEAST = 0.2
 
@@ -60,40 +67,57 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([three[at3] | np.uint64(0xFFFF << 48), four[at4]]), np.concatenate([of[at3], of[at4]]), letters
 
 
+def _word(bits: int) -> tuple[np.dtype, int]:
+    """The smallest kind of number that holds so many bits, and how many of these."""
+    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
+        if bits <= 8 * np.dtype(kind).itemsize:
+            return np.dtype(kind), 1
+    return np.dtype(np.uint64), -(-bits // 64)
+
+
 @dataclass
 class Filter:
     langs: list[str]
-    masks: np.ndarray  # slots x words of 64 languages, or slots of up to 8
-    wrong: np.ndarray  # a foreign n-gram's chance to pass, by language
+    tiers: int
+    masks: np.ndarray  # a row a slot, with bits by language and tier
+    wrong: np.ndarray  # a foreign n-gram's chance to pass, by bit
+
+    @staticmethod
+    def empty(langs: int, tiers: int, slots: int) -> np.ndarray:
+        kind, words = _word(langs * tiers)
+        return np.zeros((slots, words), kind)
+
+    @staticmethod
+    def add(masks: np.ndarray, keys: np.ndarray, bit: np.ndarray) -> None:
+        """Set this bit of each n-gram's slots."""
+        width = 8 * masks.itemsize
+        for at in _slots(keys, len(masks)):
+            for k in np.unique(bit).tolist():
+                masks[at[bit == k], k // width] |= masks.dtype.type(1 << k % width)
 
     @staticmethod
-    def build(langs: list[str], keys: np.ndarray, lang: np.ndarray) -> Filter:
-        most = int(np.bincount(lang, minlength=1).max()) if len(lang) else 1
-        slots = 1 << max(10, (ROOM * most - 1).bit_length())
-        small = len(langs) <= 8
-        masks = np.zeros((slots, 1 if small else -(-len(langs) // 64)), np.uint8 if small else np.uint64)
-        fill = np.zeros(len(langs))
-        for k in range(len(langs)):
-            at = np.unique(np.concatenate(list(_slots(keys[lang == k], slots))))
-            masks[at, k // 64] |= masks.dtype.type(1 << k % 64)
-            fill[k] = len(at) / slots
-        return Filter(langs, masks, fill**PROBES)
+    def of(langs: list[str], tiers: int, masks: np.ndarray) -> Filter:
+        width = 8 * masks.itemsize
+        fill = [np.count_nonzero(masks[:, k // width] >> masks.dtype.type(k % width) & masks.dtype.type(1)) / len(masks) for k in range(len(langs) * tiers)]
+        return Filter(langs, tiers, masks, np.array(fill) ** PROBES)
 
     def counts(self, keys: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        """N-grams of each text that each language may contain."""
+        """N-grams of each text that have each bit."""
         order = np.argsort(of, kind="stable") if len(of) and (np.diff(of) < 0).any() else slice(None)
         keys, edges = keys[order], np.searchsorted(of[order], np.arange(n + 1))
         found = None
         for at in _slots(keys, len(self.masks)):
             found = self.masks[at] if found is None else found & self.masks[at]
-        return np.stack([per_row(found[:, k // 64] >> found.dtype.type(k % 64) & found.dtype.type(1), edges) for k in range(len(self.langs))], 1)
+        width = 8 * found.itemsize
+        return np.stack([per_row(found[:, k // width] >> found.dtype.type(k % width) & found.dtype.type(1), edges) for k in range(len(self.wrong))], 1)
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         keys, of, letters = ngrams(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         total = np.maximum(np.bincount(of, minlength=len(texts)), 1)[:, None]
-        share = (self.counts(keys, of, len(texts)) / total - self.wrong) / (1 - self.wrong)
+        share = np.where(self.wrong < 1, (self.counts(keys, of, len(texts)) / total - self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0)
+        share = share.reshape(len(texts), len(self.langs), self.tiers).mean(2)
         best = share.argmax(1)  # of equal ones, the language with most training n-grams
         score = np.where(letters, np.clip(share[np.arange(len(texts)), best], 0, 1), 0)
         return [self.langs[b] if has else "und" for b, has in zip(best.tolist(), letters.tolist(), strict=True)], score
@@ -107,8 +131,13 @@ def _slots(keys: np.ndarray, slots: int) -> Iterator[np.ndarray]:
         h = h + step
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = SHARE) -> Filter:
-    """A filter from all rows with a language; its size is bounded by 1 / share n-grams a language and n."""
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", tiers: tuple[float, ...] = TIERS, slots: int = SLOTS) -> Filter:
+    """A filter of all n-grams of all rows with a language and a text; its size is `slots` times the bits of languages and tiers.
+
+    N-grams are counted by language in one shuffle. Each task of the next step sets the bits
+    of those that it has, and chunks of the tasks' filters are joined bit by bit on
+    executors.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,13 +151,40 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = checkpoint(counts)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * share).select("lang", "gram", "total")
-    table = kept.toArrow()
-    total = dict(zip(table["lang"].to_pylist(), table["total"].to_pylist(), strict=True))
+    total = {r.lang: r.total for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row a language
     langs = sorted(total, key=lambda x: (-total[x], x))
+    if not langs:
+        return Filter.of([], len(tiers), Filter.empty(0, len(tiers), slots))
     number = {x: k for k, x in enumerate(langs)}
-    return Filter.build(langs, table["gram"].to_numpy().view(np.uint64), np.array([number[x] for x in table["lang"].to_pylist()], np.int64))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = None
+        for batch in batches:
+            masks = Filter.empty(len(langs), len(tiers), slots) if masks is None else masks
+            names = batch.column(0).dictionary_encode()
+            code = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+            share = batch.column(2).to_numpy() / np.array([total[x] for x in langs])[code]
+            for k, least in enumerate(tiers):
+                has = share >= least
+                Filter.add(masks, batch.column(1).to_numpy()[has].view(np.uint64), code[has] * len(tiers) + k)
+        if masks is not None:
+            for k, chunk in enumerate(np.array_split(masks, CHUNKS)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(chunk.tobytes(), 1)], pa.binary())], names=["chunk", "masks"])
+
+    kind, words = _word(len(langs) * len(tiers))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(data), kind)
+                joined[k] = joined[k] | own if k in joined else own
+        for k, own in joined.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["chunk", "masks"])
+
+    chunks = counts.mapInArrow(tidy(fill), "chunk int, masks binary").repartition(CHUNKS, "chunk").mapInArrow(tidy(join), "chunk int, masks binary")
+    got = sorted(chunks.collect(), key=lambda r: r.chunk)  # CHUNKS rows, the whole filter
+    return Filter.of(langs, len(tiers), np.frombuffer(b"".join(r.masks for r in got), kind).reshape(slots, words))
 
 
 def identify(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
