@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCKS, home, receive, send
-from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, per_row, prefix_hash, small_batches, span_hash, tidy
+from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, prefix_hash, small_batches, span_hash, tidy
 
 #: Bytes of the strings that the first round ranks.
 GRAM = 20
@@ -35,7 +35,10 @@ GRAM = 20
 BITS = 48
 #: First-round names that a task gathers before it writes a block for each range.
 BLOCK_ROWS = 400_000
+#: Bytes of a text that a kernel looks at together, and bits of a place in them.
+SLICE, PLACE = 1 << 17, 18
 _KEEP, _GONE, _OPEN = 0, 1, 2
+_NTH = 40  # bits of a run's number in its text
 
 
 def doubled(data: np.ndarray, length: int) -> np.ndarray:
@@ -59,33 +62,38 @@ def doubled(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, np.ndarray]:
-    """Runs of windows with the same least GRAM-byte string: text, first and last window, name, name of all they span."""
+    """Runs of windows with the same least GRAM-byte string: text, first and last window, name, name of all they span.
+
+    At most 2^PLACE bytes; see slices().
+    """
     span = threshold - GRAM + 1  # strings in a window
     n = len(data) - threshold + 1
     none = {k: np.zeros(0, np.int64) for k in ("of", "first", "last")} | {k: np.zeros(0, np.uint64) for k in ("name", "around")}
     if n <= 0:
         return none
     name = doubled(data, GRAM)
-    bits = np.uint64(int(len(name)).bit_length())
-    least = (name >> bits << bits) | np.arange(len(name), dtype=np.uint64)
+    # always as many bits for the place, so that windows choose alike whatever stands beside them
+    least = name >> np.uint64(PLACE) << np.uint64(PLACE)
+    least |= np.arange(len(name), dtype=np.uint64)
     width = 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if span > width:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    at = (least[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (least[:n] & np.uint64((1 << PLACE) - 1)).astype(np.int32)
+    del least
     size = np.maximum(np.diff(offsets) - threshold + 1, 0)
     starts = offsets[:-1][size > 0]
     valid = np.zeros(n + 1, np.int8)
     np.add.at(valid, starts, 1)
     np.add.at(valid, starts + size[size > 0], -1)
-    windows = np.flatnonzero(np.cumsum(valid[:n]))
+    windows = np.flatnonzero(np.cumsum(valid[:n], dtype=np.int8))
     if not len(windows):
         return none
     at = at[windows]
     fresh = np.append(True, (at[1:] != at[:-1]) | (np.diff(windows) != 1))
-    fresh |= np.isin(windows, starts)
+    fresh[np.searchsorted(windows, starts)] = True
     lead = np.flatnonzero(fresh)
     first, last = windows[lead], windows[np.append(lead[1:], len(windows)) - 1]
     around = span_hash(prefix_hash(BYTE_WORD[data]), first, last + threshold)
@@ -93,6 +101,39 @@ def contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str,
     return {"of": of, "first": first, "last": last, "name": name[at[lead]], "around": around}
 
 
+def slices(offsets: np.ndarray, overlap: int, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts cut every `size` bytes, each slice with `overlap` bytes of the next: text, begin and end of the slices, in groups of about `size` bytes.
+
+    Where a text is cut depends on nothing but the text.
+    """
+    length = np.diff(offsets)
+    n = np.maximum(-(-(length - overlap) // size), 1)
+    of = np.repeat(np.arange(len(length)), n)
+    begin = offsets[:-1][of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * size
+    end = np.minimum(begin + size + overlap, offsets[1:][of])
+    total, at = np.cumsum(end - begin), 0
+    while at < len(of):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+        yield of[at:stop], begin[at:stop], end[at:stop]
+        at = stop
+
+
+def sliced_contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """The bytes of each group of slices and its contexts(), with the text of each run, its number there, and what leads from places to the text's."""
+    seen = np.zeros(len(offsets) - 1, np.int64)
+    for of, begin, end in slices(offsets, threshold - 1):
+        joint = (begin[1:] == end[:-1]).all()
+        part = data[begin[0] : end[-1]] if joint else np.concatenate([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+        edges = np.append(0, np.cumsum(end - begin))
+        runs = contexts(part, edges, threshold)
+        own = runs["of"]
+        runs["shift"] = (begin - offsets[:-1][of] - edges[:-1])[own]
+        runs["of"] = text = of[own]
+        runs["nth"] = seen[text] + np.arange(len(text)) - np.searchsorted(text, text)
+        seen += np.bincount(text, minlength=len(seen))
+        yield part, runs
+
+
 def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
     """The smallest document of each row's group; rows must stand in order of keys and document."""
     fresh = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
@@ -123,14 +164,28 @@ def _verdicts(binary: pa.Array, n_columns: int) -> list[np.ndarray | None]:
     return [None if x is None else np.frombuffer(x, "<u4").reshape(n_columns, -1).astype(np.int64) for x in binary.to_pylist()]
 
 
-def _decided(runs: dict[str, np.ndarray], n_texts: int, binary: pa.Array) -> np.ndarray:
-    """The first two rounds' verdict on every run of windows."""
-    verdict = np.zeros(len(runs["of"]), np.int8)
-    base = np.searchsorted(runs["of"], np.arange(n_texts))
-    for i, x in enumerate(_verdicts(binary, 2)):
-        if x is not None:
-            verdict[base[i] + x[0]] = x[1]
-    return verdict
+def _decided(binary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that the first two rounds have decided or left open, by text and number, and the verdict on each."""
+    found = [(i, x) for i, x in enumerate(_verdicts(binary, 2)) if x is not None]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([(i << _NTH) + x[0] for i, x in found]), np.concatenate([x[1] for _, x in found])
+
+
+def _with_verdict(runs: dict[str, np.ndarray], known: tuple[np.ndarray, np.ndarray], verdict: int) -> np.ndarray:
+    """Which runs have this verdict."""
+    key = (runs["of"] << _NTH) + runs["nth"]
+    at = np.minimum(np.searchsorted(known[0], key), max(len(known[0]) - 1, 0))
+    return np.flatnonzero((known[0][at] == key) & (known[1][at] == verdict)) if len(known[0]) else np.zeros(0, np.int64)
+
+
+def _merged(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal spans that intervals of texts cover: begin, end, text."""
+    order = np.argsort(begin, kind="stable")
+    begin, text = begin[order], text[order]
+    reach = np.maximum.accumulate(end[order]) if len(order) else end
+    first = np.flatnonzero(np.append(True, (begin[1:] > reach[:-1]) | (text[1:] != text[:-1]))) if len(order) else np.zeros(0, np.int64)
+    return begin[first], reach[np.append(first[1:], len(order))[: len(first)] - 1], text[first]
 
 
 def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", replace: bool = False) -> DataFrame:
@@ -157,6 +212,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             short, around, nth, doc, tag = (np.concatenate([x[k] for x in held]) for k in range(5))
@@ -165,13 +221,14 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
 
         for batch in batches:
             for part in cut(batch.select(["doc", "text", "tag"])):
-                data, offsets = flat(part.column(1))
-                runs = contexts(data, offsets, threshold)
-                of = runs["of"]
-                nth = np.arange(len(of)) - np.searchsorted(of, of)
-                held.append((runs["name"] >> np.uint64(64 - BITS), runs["around"] >> np.uint64(16), nth, part.column(0).to_numpy()[of], part.column(2).to_numpy()[of]))
-                if sum(len(x[0]) for x in held) > BLOCK_ROWS:
-                    yield from flush()
+                doc, tag = part.column(0).to_numpy(), part.column(2).to_numpy()
+                for _, runs in sliced_contexts(*flat(part.column(1)), threshold):
+                    of = runs["of"]
+                    held.append((runs["name"] >> np.uint64(64 - BITS), runs["around"] >> np.uint64(16), runs["nth"], doc[of], tag[of]))
+                    rows += len(of)
+                    if rows > BLOCK_ROWS:
+                        yield from flush()
+                        rows = 0
         if held:
             yield from flush()
 
@@ -200,19 +257,34 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     first = checkpoint(_gathered(sent, homes, 2, "runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, at, doc, tag = (np.concatenate([x[k] for x in held]) for k in range(4))
+            held.clear()
+            yield from send(((names >> np.uint64(16)) * np.uint64(parts) >> np.uint64(BITS)).astype(np.int32), [names, at], doc, tag)
+
         for batch in batches:
             batch = batch.select(["doc", "text", "tag", "runs"])
             for part in cut(batch.filter(batch.column(3).is_valid())):
-                data, offsets = flat(part.column(1))
-                runs = contexts(data, offsets, threshold)
-                left = np.flatnonzero(_decided(runs, part.num_rows, part.column(3)) == _OPEN)
-                size = runs["last"][left] - runs["first"][left] + 1
-                ends = np.cumsum(size)
-                at = np.repeat(runs["first"][left] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-                names = span_hash(prefix_hash(BYTE_WORD[data]), at, at + threshold)
-                of = np.repeat(runs["of"][left], size)
-                where = ((names >> np.uint64(16)) * np.uint64(parts) >> np.uint64(BITS)).astype(np.int32)
-                yield from send(where, [names, at - offsets[of]], part.column(0).to_numpy()[of], part.column(2).to_numpy()[of])
+                doc, tag, known = part.column(0).to_numpy(), part.column(2).to_numpy(), _decided(part.column(3))
+                for data, runs in sliced_contexts(*flat(part.column(1)), threshold):
+                    left = _with_verdict(runs, known, _OPEN)
+                    if not len(left):
+                        continue
+                    size = runs["last"][left] - runs["first"][left] + 1
+                    ends = np.cumsum(size)
+                    at = np.repeat(runs["first"][left] - (ends - size), size) + np.arange(ends[-1])
+                    names = span_hash(prefix_hash(BYTE_WORD[data]), at, at + threshold)
+                    of = np.repeat(runs["of"][left], size)
+                    held.append((names, at + np.repeat(runs["shift"][left], size), doc[of], tag[of]))
+                    rows += len(of)
+                    if rows > BLOCK_ROWS:
+                        yield from flush()
+                        rows = 0
+        if held:
+            yield from flush()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = receive(batches, 2)
@@ -227,23 +299,27 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         for batch in batches:
             for part in cut(batch.select(["doc", "text", "runs", "at", *["rest"] * replace])):
                 data, offsets = flat(part.column(1))
-                runs = contexts(data, offsets, threshold)
-                gone = np.flatnonzero(_decided(runs, part.num_rows, part.column(2)) == _GONE)
-                edge = np.zeros(len(data) + threshold + 1, np.int32)
-                np.add.at(edge, runs["first"][gone], 1)
-                np.add.at(edge, runs["last"][gone] + threshold, -1)
+                known, begin, end, text = _decided(part.column(2)), [], [], []
+                for _, runs in sliced_contexts(data, offsets, threshold):
+                    gone = _with_verdict(runs, known, _GONE)
+                    of = runs["of"][gone]
+                    base = offsets[of] + runs["shift"][gone]
+                    begin.append(base + runs["first"][gone])
+                    end.append(base + runs["last"][gone] + threshold)
+                    text.append(of)
                 for i, x in enumerate(_verdicts(part.column(3), 1)):
                     if x is not None:
-                        np.add.at(edge, offsets[i] + x[0], 1)
-                        np.add.at(edge, offsets[i] + x[0] + threshold, -1)
-                lost = np.cumsum(edge)[: len(data)] > 0
-                lead = lost.copy()
-                lead[1:] &= ~lost[:-1]
-                inner = offsets[:-1][np.diff(offsets) > 0]
-                lead[inner] = lost[inner]
-                raw, removed = data.tobytes(), per_row(lost, offsets)
-                kept = [raw[a:b] if not r else data[a:b][~lost[a:b]].tobytes() for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
-                out = {"doc_id": part.column(0), "n_bytes": np.diff(offsets), "n_removed": removed, "n_spans": per_row(lead, offsets), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+                        begin.append(offsets[i] + x[0])
+                        end.append(offsets[i] + x[0] + threshold)
+                        text.append(np.full(len(x[0]), i))
+                begin, end, text = _merged(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, end, text)))
+                spans = np.searchsorted(text, np.arange(part.num_rows + 1))
+                raw, kept = memoryview(data), []
+                for i, (a, b) in enumerate(zip(spans[:-1].tolist(), spans[1:].tolist(), strict=True)):
+                    edges = [int(offsets[i]), *np.stack([begin[a:b], end[a:b]], 1).ravel().tolist(), int(offsets[i + 1])]
+                    kept.append(b"".join([raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]))
+                size = np.diff(offsets)
+                out = {"doc_id": part.column(0), "n_bytes": size, "n_removed": size - np.array([len(x) for x in kept], np.int64), "n_spans": np.diff(spans), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
                 if replace:
                     left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
                     out = {"rest": part.column(4), "text": pc.if_else(part.column(1).is_valid(), left, None)}
