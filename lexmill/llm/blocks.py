@@ -13,44 +13,58 @@ import pyarrow as pa
 from .common import mix
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _trim(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+    """The n lower bytes of each number, lowest ones of all first: the upper ones are alike and compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
 def _widen(data: bytes, at: int, count: int, n: int) -> np.ndarray:
     out = np.zeros((count, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8, count * n, at).reshape(count, n)
+    out[:, :n] = np.frombuffer(data, np.uint8, count * n, at).reshape(n, count).T
     return out.view("<u8").ravel()
 
 
+def _bytes(x: np.ndarray) -> int:
+    return max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+
+
 def write_block(columns: list[np.ndarray], doc: np.ndarray, tag: np.ndarray) -> bytes:
-    """Columns of small or sorted numbers with the document of each; the first column's differences are stored."""
-    docs, which = np.unique(np.stack([doc.astype(np.int64), tag.astype(np.int64)], 1), axis=0, return_inverse=True) if tag.any() else (None, None)
-    if docs is None:
+    """Columns of small or sorted numbers with the document of each; the first column's differences are stored, and each document once."""
+    doc, tag = doc.astype(np.int64), tag.astype(np.int64)
+    if tag.any():
+        docs, which = np.unique(np.stack([doc, tag], 1), axis=0, return_inverse=True)
+        ids, tags = docs[:, 0], docs[:, 1].view(np.uint64)
+    else:
         ids, which = np.unique(doc, return_inverse=True)
-        docs = np.stack([ids.astype(np.int64), np.zeros(len(ids), np.int64)], 1)
+        tags = np.zeros(0, np.uint64)
     order = np.argsort(columns[0], kind="stable")
-    columns = [np.diff(columns[0][order].astype(np.uint64), prepend=np.uint64(0)), *(c[order].astype(np.uint64) for c in columns[1:]), which.ravel()[order].astype(np.uint64)]
-    base, columns[0][0] = int(columns[0][0]), 0
-    sizes = [max(1, (int(c.max()).bit_length() + 7) // 8) for c in columns]
-    head = np.array([len(order), len(docs), base, *sizes], np.uint64)
-    table = np.diff(docs, axis=0, prepend=0)
-    return b"".join([head.tobytes(), table[:, 0].tobytes(), table[:, 1].tobytes(), *(_trim(c, s) for c, s in zip(columns, sizes, strict=True))])
+    steps = np.diff(columns[0][order].astype(np.uint64), prepend=np.uint64(0))
+    base, steps[0] = int(steps[0]), 0
+    gaps = np.diff(ids, prepend=ids[:1]).view(np.uint64)
+    packed = [gaps, tags, steps, *(c[order].astype(np.uint64) for c in columns[1:]), which.ravel()[order].astype(np.uint64)]
+    sizes = [_bytes(c) for c in packed]
+    head = np.array([len(order), len(ids), len(tags), base, int(ids[0]) & (1 << 64) - 1, *sizes], np.uint64)
+    body = b"".join([_trim(c, s) for c, s in zip(packed, sizes, strict=True)])
+    return head.tobytes() + _ZSTD.compress(body, asbytes=True)
 
 
 def read_block(data: bytes, n_columns: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    head = np.frombuffer(data, np.uint64, 4 + n_columns)
-    n, n_docs, at = int(head[0]), int(head[1]), 8 * (4 + n_columns)
-    doc = np.cumsum(np.frombuffer(data, np.int64, n_docs, at))
-    tag = np.cumsum(np.frombuffer(data, np.int64, n_docs, at + 8 * n_docs))
-    at += 16 * n_docs
-    columns = []
-    for size in head[3:].tolist():
-        columns.append(_widen(data, at, n, int(size)))
-        at += n * int(size)
-    which = columns.pop().astype(np.int64)
-    columns[0] = np.cumsum(columns[0]) + head[2]
-    return columns, doc[which], tag[which]
+    head = np.frombuffer(data, np.uint64, 8 + n_columns)
+    n, n_docs, n_tags = (int(x) for x in head[:3])
+    counts, sizes = [n_docs, n_tags] + [n] * (n_columns + 1), head[5:].astype(np.int64).tolist()
+    body = _ZSTD.decompress(memoryview(data)[head.nbytes :], sum(c * s for c, s in zip(counts, sizes, strict=True)), asbytes=True)
+    at, packed = 0, []
+    for count, size in zip(counts, sizes, strict=True):
+        packed.append(_widen(body, at, count, size))
+        at += count * size
+    ids = np.cumsum(packed[0].view(np.int64)) + head[4:5].view(np.int64)[0]
+    which = packed.pop().astype(np.int64)
+    columns = packed[2:]
+    columns[0] = np.cumsum(columns[0]) + head[3]
+    return columns, ids[which], packed[1].view(np.int64)[which] if n_tags else np.zeros(n, np.int64)
 
 
 def send(part: np.ndarray, columns: list[np.ndarray], doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -1,17 +1,17 @@
 """Removal of byte strings that an earlier document holds, by distributed prefix doubling.
 
-A string's rank is named by the ranks of its two halves: lengths 1, 2, 4, 8, 16 double in
-place, since no sort can separate them, and from GRAM bytes on Spark brings equal names
-together by ranges, each range is sorted, and strings of one document drop out. The
-next, longer round names only what is left, until a string is unique or as long as the
-threshold.
+A string's name stands for its rank and is made of its two halves' names: lengths 1, 2, 4,
+8, 16 double in place, since no sort could separate them, and from GRAM bytes on
+Spark brings equal names together by ranges, each range is sorted, and strings of one
+document drop out. The next, longer round pairs names at a greater offset for what is
+left, until a string is unique or as long as the threshold.
 
 First round: of the GRAM-byte strings in each 50-byte window only the one with the least
 name is ranked. Equal windows choose equal strings, so no match is lost, and a
-sixteenth of all positions travel. Second round: the string around it that its windows
-span. If an earlier document has all of it, its windows are decided together; if no
-other document has the first string, they are unique. Third round: the 50-byte windows of
-what the second left open.
+sixteenth of all positions travel. Second round: the pair of the first and the last
+window around it. If an earlier document has all that they span, its windows are decided
+together; if no other document has the first string, they are unique. Third round: the
+50-byte windows of what the second left open.
 """
 
 from __future__ import annotations
@@ -27,33 +27,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCKS, home, receive, send
-from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, prefix_hash, small_batches, span_hash, tidy
+from .common import BYTE_WORD, checkpoint, cut, flat, groups, mix, small_batches, tidy
 
 #: Bytes of the strings that the first round ranks.
 GRAM = 20
 #: Bits of a first-round name that travel; equal ones of different strings only cost work.
 BITS = 48
 #: First-round names that a task gathers before it writes a block for each range.
-BLOCK_ROWS = 400_000
+BLOCK_ROWS = 1_000_000
 #: Bytes of a text that a kernel looks at together, and bits of a place in them.
 SLICE, PLACE = 1 << 17, 18
 _KEEP, _GONE, _OPEN = 0, 1, 2
 _NTH = 40  # bits of a run's number in its text
 
 
-def doubled(data: np.ndarray, length: int) -> np.ndarray:
-    """Names of all strings of this length: rank pairs at offsets 1, 2, 4, ... and the rest."""
-    name, h, total, have = BYTE_WORD[data], 1, None, 0
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The names of strings from those of two parts."""
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
+def doubled(data: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """Names of all strings of each length: pairs of names at offsets 1, 2, 4, ..., then of the powers of two that make up the length."""
+    name, h = BYTE_WORD[data], 1
+    out: list[tuple[np.ndarray, int] | None] = [None] * len(lengths)
     while True:
-        if length & h:
-            if total is None:
-                total, have = name, h
-            else:
-                n = len(data) - have - h + 1
-                total, have = mix(total[:n] * np.uint64(0x9E3779B97F4A7C15) + name[have : have + n]), have + h
-        if 2 * h > length:
-            return total
-        n = len(data) - 2 * h + 1
+        for i, length in enumerate(lengths):
+            if length & h:
+                if out[i] is None:
+                    out[i] = name, h
+                else:
+                    total, have = out[i]
+                    n = max(len(data) - have - h + 1, 0)
+                    out[i] = paired(total[:n], name[have : have + n]), have + h
+        if 2 * h > max(lengths):
+            return [x for x, _ in out]
+        n = max(len(data) - 2 * h + 1, 0)
         right = name[h : h + n] >> np.uint64(29)
         right ^= name[h : h + n]
         name = name[:n] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,16 +70,16 @@ def doubled(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str, np.ndarray]:
-    """Runs of windows with the same least GRAM-byte string: text, first and last window, name, name of all they span.
+    """Runs of windows with the same least GRAM-byte string: text, first and last window, name, name of all they span; and every window's name.
 
     At most 2^PLACE bytes; see slices().
     """
     span = threshold - GRAM + 1  # strings in a window
     n = len(data) - threshold + 1
-    none = {k: np.zeros(0, np.int64) for k in ("of", "first", "last")} | {k: np.zeros(0, np.uint64) for k in ("name", "around")}
+    none = {k: np.zeros(0, np.int64) for k in ("of", "first", "last")} | {k: np.zeros(0, np.uint64) for k in ("name", "around", "windows")}
     if n <= 0:
         return none
-    name = doubled(data, GRAM)
+    name, whole = doubled(data, GRAM, threshold)
     # always as many bits for the place, so that windows choose alike whatever stands beside them
     least = name >> np.uint64(PLACE) << np.uint64(PLACE)
     least |= np.arange(len(name), dtype=np.uint64)
@@ -96,9 +104,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> dict[str,
     fresh[np.searchsorted(windows, starts)] = True
     lead = np.flatnonzero(fresh)
     first, last = windows[lead], windows[np.append(lead[1:], len(windows)) - 1]
-    around = span_hash(prefix_hash(BYTE_WORD[data]), first, last + threshold)
+    around = paired(whole[first], whole[last]) + (last - first).astype(np.uint64)  # the two windows meet or overlap, so they make up the span
     of = np.searchsorted(offsets, first, "right") - 1
-    return {"of": of, "first": first, "last": last, "name": name[at[lead]], "around": around}
+    return {"of": of, "first": first, "last": last, "name": name[at[lead]], "around": mix(around), "windows": whole}
 
 
 def slices(offsets: np.ndarray, overlap: int, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,8 +126,8 @@ def slices(offsets: np.ndarray, overlap: int, size: int = SLICE) -> Iterator[tup
         at = stop
 
 
-def sliced_contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
-    """The bytes of each group of slices and its contexts(), with the text of each run, its number there, and what leads from places to the text's."""
+def sliced_contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> Iterator[dict[str, np.ndarray]]:
+    """The contexts() of each group of slices, with the text of each run, its number there, and what leads from places to the text's."""
     seen = np.zeros(len(offsets) - 1, np.int64)
     for of, begin, end in slices(offsets, threshold - 1):
         joint = (begin[1:] == end[:-1]).all()
@@ -131,7 +139,7 @@ def sliced_contexts(data: np.ndarray, offsets: np.ndarray, threshold: int) -> It
         runs["of"] = text = of[own]
         runs["nth"] = seen[text] + np.arange(len(text)) - np.searchsorted(text, text)
         seen += np.bincount(text, minlength=len(seen))
-        yield part, runs
+        yield runs
 
 
 def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
@@ -157,7 +165,7 @@ def _gathered(sent: DataFrame, parts: int, n_columns: int, column: str) -> DataF
             body = [b"".join(c[first[r] : ends[r]].astype("<u4").tobytes() for c in columns) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(doc[first[rows.start : rows.stop]]), pa.array(tag[first[rows.start : rows.stop]]), pa.array(body, pa.binary())], names=["doc", "tag", column])
 
-    return sent.repartition(parts, "part").mapInArrow(tidy(run), f"doc long, tag long, {column} binary")
+    return sent.repartitionById(parts, "part").mapInArrow(tidy(run), f"doc long, tag long, {column} binary")
 
 
 def _verdicts(binary: pa.Array, n_columns: int) -> list[np.ndarray | None]:
@@ -222,9 +230,10 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         for batch in batches:
             for part in cut(batch.select(["doc", "text", "tag"])):
                 doc, tag = part.column(0).to_numpy(), part.column(2).to_numpy()
-                for _, runs in sliced_contexts(*flat(part.column(1)), threshold):
+                # least names are small ones, so ranges of them would be uneven
+                for runs in sliced_contexts(*flat(part.column(1)), threshold):
                     of = runs["of"]
-                    held.append((runs["name"] >> np.uint64(64 - BITS), runs["around"] >> np.uint64(16), runs["nth"], doc[of], tag[of]))
+                    held.append((mix(runs["name"]) >> np.uint64(64 - BITS), runs["around"] >> np.uint64(16), runs["nth"], doc[of], tag[of]))
                     rows += len(of)
                     if rows > BLOCK_ROWS:
                         yield from flush()
@@ -253,7 +262,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
         order, verdict = order[verdict > 0], verdict[verdict > 0]
         yield from send(home(doc[order], homes), [nth[order], verdict], doc[order], tag[order])
 
-    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(tidy(name), BLOCKS).repartition(parts, "part").mapInArrow(tidy(rank), BLOCKS)
+    sent = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "text", "tag").mapInArrow(tidy(name), BLOCKS).repartitionById(parts, "part").mapInArrow(tidy(rank), BLOCKS)
     first = checkpoint(_gathered(sent, homes, 2, "runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,14 +278,14 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
             batch = batch.select(["doc", "text", "tag", "runs"])
             for part in cut(batch.filter(batch.column(3).is_valid())):
                 doc, tag, known = part.column(0).to_numpy(), part.column(2).to_numpy(), _decided(part.column(3))
-                for data, runs in sliced_contexts(*flat(part.column(1)), threshold):
+                for runs in sliced_contexts(*flat(part.column(1)), threshold):
                     left = _with_verdict(runs, known, _OPEN)
                     if not len(left):
                         continue
                     size = runs["last"][left] - runs["first"][left] + 1
                     ends = np.cumsum(size)
                     at = np.repeat(runs["first"][left] - (ends - size), size) + np.arange(ends[-1])
-                    names = span_hash(prefix_hash(BYTE_WORD[data]), at, at + threshold)
+                    names = runs["windows"][at]
                     of = np.repeat(runs["of"][left], size)
                     held.append((names, at + np.repeat(runs["shift"][left], size), doc[of], tag[of]))
                     rows += len(of)
@@ -300,7 +309,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
             for part in cut(batch.select(["doc", "text", "runs", "at", *["rest"] * replace])):
                 data, offsets = flat(part.column(1))
                 known, begin, end, text = _decided(part.column(2)), [], [], []
-                for _, runs in sliced_contexts(data, offsets, threshold):
+                for runs in sliced_contexts(data, offsets, threshold):
                     gone = _with_verdict(runs, known, _GONE)
                     of = runs["of"][gone]
                     base = offsets[of] + runs["shift"][gone]
@@ -328,7 +337,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     joined = rows.join(first.hint("shuffle_hash"), ["doc", "tag"], "left")
     # no filter here: with the same columns and rows, both readers share one shuffle of the texts
     still = joined.mapInArrow(tidy(windows), BLOCKS)
-    last = _gathered(still.repartition(parts, "part").mapInArrow(tidy(decide), BLOCKS), homes, 1, "at")
+    last = _gathered(still.repartitionById(parts, "part").mapInArrow(tidy(decide), BLOCKS), homes, 1, "at")
     both = joined.join(last.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "runs", "at", *["rest"] * replace)
     if replace:
         schema = T.StructType([rows.schema["rest"], T.StructField("text", T.StringType())])
