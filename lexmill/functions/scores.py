@@ -44,6 +44,24 @@ def discount(rank: Column) -> Column:
     return F.lit(1.0) / F.log2(rank + 1)
 
 
-def rank_bucket(rank: Column) -> Column:
-    edges = ((1, "1"), (3, "2-3"), (5, "4-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100"))
-    return reduce(lambda c, e: c.when(rank <= e[0], e[1]), edges[1:], F.when(rank <= edges[0][0], edges[0][1])).otherwise(">100")
+#: Last ranks of the buckets that reports use.
+RANK_EDGES, FAILURE_EDGES = (1, 3, 5, 10, 20, 50, 100), (1, 5, 10, 20, 100)
+
+
+def rank_bucket(rank: Column, edges: tuple[int, ...] = RANK_EDGES) -> Column:
+    """1, 2-3, ... and >100."""
+    named = [(e, str(e) if e == low + 1 else f"{low + 1}-{e}") for low, e in zip((0, *edges), edges, strict=False)]
+    return reduce(lambda c, e: c.when(rank <= e[0], e[1]), named[1:], F.when(rank <= named[0][0], named[0][1])).otherwise(f">{edges[-1]}")
+
+
+def numbered(df: DataFrame, column: str, tie: str, name: str = "place", buckets: int = 64) -> DataFrame:
+    """Adds the rows' numbers from 1 in the order of the column and the tie, without gathering them in one task.
+
+    Approximate quantiles, a row of `buckets` numbers, cut the rows into buckets, which are numbered side by side; the counts of those before are added.
+    """
+    cuts = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(column))), F.lit(0))).drop("_cuts")
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    base = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(column, tie))
+    return placed.withColumn("_nth", within).join(F.broadcast(base), "_bucket").withColumn(name, F.col("_base") + F.col("_nth")).drop("_bucket", "_nth", "_base")

@@ -57,3 +57,13 @@ def plain_words(text: Column) -> Column:
 def text_fingerprint(text: Column) -> Column:
     """sha256 of the text with white space collapsed; for text that isn't code."""
     return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 256)
+
+
+def short_fingerprint(fingerprint: Column, digits: int = 12) -> Column:
+    """What a report shows of a fingerprint."""
+    return F.substring(fingerprint, 1, digits)
+
+
+def preview(text: Column, most: int = 500) -> Column:
+    """The first characters of a text, for people to read."""
+    return F.substring(text, 1, most)

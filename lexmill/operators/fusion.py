@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.scores import by_score, reciprocal_rank, standardize, weighted
+from lexmill.functions.scores import by_score, numbered, reciprocal_rank, standardize, weighted
 
 
 def fuse(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -44,21 +44,28 @@ def margins(scored: DataFrame, score: str = "score", by: str = "qid") -> DataFra
 
 
 def threshold(margin: DataFrame, share: float = 0.3) -> DataFrame:
-    """One row: the exact percentile of the margins, linearly interpolated."""
-    return margin.agg(F.percentile("margin", F.lit(share)).alias("threshold"))
+    """One row: the exact percentile of the margins, linearly interpolated between the two at its place."""
+    there = margin.where("margin IS NOT NULL")
+    total = there.agg(F.count("*").alias("_total"))
+    at = F.lit(share) * (F.col("_total") - 1)
+    ends = numbered(there, "margin", "qid").crossJoin(F.broadcast(total)).where(F.col("place").between(F.floor(at) + 1, F.ceil(at) + 1))
+    low, high = F.min("margin"), F.max("margin")
+    part = F.max(at - F.floor(at))
+    return ends.agg((low + (high - low) * part).alias("threshold"))
 
 
 def gate(margin: DataFrame, limit: float | None = None, share: float = 0.3) -> DataFrame:
     """Adds gated: whether a margin is at most the limit, or the percentile if none is given."""
     if limit is not None:
         return margin.withColumn("gated", F.col("margin") <= F.lit(limit))
-    return margin.join(F.broadcast(threshold(margin, share)), how="full").withColumn("gated", F.col("margin") <= F.col("threshold")).drop("threshold")
+    return margin.crossJoin(F.broadcast(threshold(margin, share))).withColumn("gated", F.col("margin") <= F.col("threshold")).drop("threshold")
 
 
 def lowest_share(margin: DataFrame, share: float = 0.3, by: str = "qid") -> DataFrame:
     """The int(n * share) queries with the smallest margins."""
-    count = int(margin.where("margin IS NOT NULL").count() * share)
-    return margin.where("margin IS NOT NULL").orderBy("margin", by).limit(count)
+    there = margin.where("margin IS NOT NULL")
+    total = there.agg(F.count("*").alias("_total"))
+    return numbered(there, "margin", by).crossJoin(F.broadcast(total)).where(F.col("place") <= F.floor(F.col("_total") * F.lit(share))).drop("place", "_total")
 
 
 def rerank(ranked: DataFrame, second: str, gated: DataFrame, depth: int = 20, blend: float = 0.2, tie: str = "doc_id", by: str = "qid") -> DataFrame:
@@ -80,9 +87,13 @@ def argmax(grid: DataFrame, what: str, *by: str) -> DataFrame:
 
 
 def features(ranked: DataFrame, margin: DataFrame, first: str, second: str, text: DataFrame | None = None) -> DataFrame:
-    """Features of a learned fusion: both standard scores, fused, their difference, its size, product, discount, query length, margins."""
+    """The eleven features of a learned fusion: both standard scores, fused, their difference, its size, product, discount, log1p of the query's words, three margins.
+
+    margin: qid, margin, and margin_<first>, margin_<second> where the models' own are wanted. A query without a text has no words.
+    """
     z1, z2 = F.col(f"z_{first}"), F.col(f"z_{second}")
     out = ranked.join(margin, "qid")
     if text is not None:
-        out = out.join(text, "qid", "left").withColumn("log_words", F.log1p(F.when(F.length("text") > 0, F.size(F.split(F.trim("text"), r"\s+"))).otherwise(0)))
+        words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+        out = out.join(text.select("qid", "text"), "qid", "left").withColumn("log_words", F.log1p(F.coalesce(F.when(F.col("text").isNotNull(), words), F.lit(0)).cast("double"))).drop("text")
     return out.withColumns({"difference": z1 - z2, "distance": F.abs(z1 - z2), "product": z1 * z2, "discount": F.lit(1.0) / F.log2(F.col("rank") + 1)})

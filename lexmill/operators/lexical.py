@@ -1,43 +1,162 @@
-"""BM25 over an inverted index that exists only as a plan."""
+"""BM25 for a stated query set, and the lexical score of lineages."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.functions.text import code_tokens, plain_words
+from lexmill.operators.dense import QUERY_BLOCK, best_of, top_k
+
+#: Documents whose counts of query tokens are one matrix.
+DOCS = 512
+
+
+def _counted(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of a batch; and of each document's distinct ones the document, the token and its count."""
+    lengths = column.value_lengths().fill_null(0).to_numpy()
+    words = column.flatten().dictionary_encode()
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    code = np.repeat(np.arange(len(lengths)), lengths) * max(len(words.dictionary), 1) + words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pair, count = np.unique(code, return_counts=True)
+    return words.dictionary, pair // max(len(words.dictionary), 1), pair % max(len(words.dictionary), 1), count
+
 
+def _statistics(tokens: DataFrame) -> DataFrame:
+    """token, n: documents of each token; under null the number of documents, and under the empty string that of all their tokens."""
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, query_id: str = "qid", doc_id: str = "doc_id") -> DataFrame:
-    """qid, doc_id, score of every pair that shares a token; a repeated query token counts again.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        n = length = 0
+        for batch in batches:
+            words, _, word, _ = _counted(batch.column(0))
+            seen = np.bincount(word, minlength=len(words))
+            df.update(dict(zip(words.to_pylist(), seen.tolist(), strict=True)))
+            n += batch.num_rows
+            length += len(batch.column(0).flatten())
+            if len(df) > 1_000_000:
+                yield pa.RecordBatch.from_pydict({"token": pa.array(list(df), pa.string()), "n": pa.array(list(df.values()), pa.int64())})
+                df.clear()
+        yield pa.RecordBatch.from_pydict({"token": pa.array([*df, None, ""], pa.string()), "n": pa.array([*df.values(), n, length], pa.int64())})
+
+    return tokens.select("tokens").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, depth: int = 100, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, query_id: str = "qid", doc_id: str = "doc_id", digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """qid, doc_id, score, rank of each query's `depth` best documents among those that share a token; a repeated query token counts again.
 
     A token's idf is ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over
-    all tokens. Documents' tokens are counted within each document before they move, and only
-    those that a query holds are scored. Tokens of N documents are never gathered by token.
+    all tokens. The queries are a stated set, in blocks. Two passes over the documents: the first counts each token's documents, combined within a task
+    before they move; the second has the block's tokens with their idf broadcast, scores a batch of documents by one matrix product and keeps its best,
+    so neither tokens nor pairs are rows of an exchange. Scores are rounded to `digits`, ties go by id.
     """
+    spark = docs.sparkSession
     tokens = docs.select(F.col(doc_id).alias("doc_id"), code_tokens(F.col("text")).alias("tokens"))
-    length = tokens.select("doc_id", F.size("tokens").alias("dl"))
-    total = length.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    each = tokens.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(total)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    wanted = queries.select(F.col(query_id).alias("qid"), F.explode(code_tokens(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
-    idf = idf.join(wanted.select("token").distinct(), "token", "left_semi").join(F.broadcast(mean))
-    idf = idf.select("token", "avgdl", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = each.join(idf, "token").join(length, "doc_id").select("doc_id", "token", (F.col("idf") * weight).alias("weight"))
-    return hits.join(wanted, "token").groupBy("qid", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
-
-
-def lexical_evolution(queries: DataFrame, lineages: DataFrame) -> DataFrame:
-    """qid, logical_id, score above 0: 3 a query word in the id, 1 a query word in the titles, 5 if the query holds the whole id.
-
-    lineages: logical_id, titles (an array). The queries are a stated set; each meets the lineages that share a word.
+    asked = queries.select(F.col(query_id).alias("qid"), code_tokens(F.col("text")).alias("tokens"))
+    kind = f"qid {dict(asked.dtypes)['qid']}, doc_id {dict(tokens.dtypes)['doc_id']}, score double"
+    id_type = to_arrow_type(asked.schema["qid"].dataType)
+    counts = _statistics(tokens).cache()
+    try:
+        n_docs = (counts.where("token IS NULL").first() or [None, 0])[1]
+        size = (counts.where("token = ''").first() or [None, 0])[1]
+        raw = F.log(F.lit(float(n_docs)) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+        idf = counts.where("token <> ''").select("token", raw.alias("raw"))
+        mean = idf.agg(F.avg("raw").alias("mean")).first().mean or 0.0
+        out = []
+        rows: list = []
+        for row in [*asked.toLocalIterator(), None]:
+            if row is not None:
+                rows.append(row)
+            if not rows or (row is not None and len(rows) < block):
+                continue
+            words = sorted({t for r in rows for t in r.tokens})
+            known = idf.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "token string")), "token") if words else None  # bounded by the block's texts
+            value = {r.token: r.raw if r.raw >= 0 else epsilon * mean for r in known.collect()} if known is not None else {}
+            place = {w: i for i, w in enumerate(sorted(value))}
+            times = np.zeros((len(place), len(rows)))
+            for k, r in enumerate(rows):
+                for t in r.tokens:
+                    if t in place:
+                        times[place[t], k] += 1
+            shared = spark.sparkContext.broadcast(([r.qid for r in rows], place, np.array([value[w] for w in place])[:, None] * times, (times > 0).astype(np.float32), size / max(n_docs, 1)))
+            rows = []
+            out.append(tokens.mapInArrow(_scorer(shared, depth, k1, b, digits, id_type), kind))
+    finally:
+        counts.unpersist()
+    if not out:
+        return spark.createDataFrame([], f"{kind}, rank int")
+    return top_k(reduce(DataFrame.unionByName, out), depth)
+
+
+def holders(queries: DataFrame, docs: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """qid, doc_id: the smallest id of a document that holds the whole text of a query (qid, text).
+
+    The queries are a stated set: their texts are broadcast in blocks, and each block's are looked for in every document, all at once.
+    """
+    spark = docs.sparkSession
+    kind = f"qid {dict(queries.dtypes)['qid']}, doc_id {dict(docs.dtypes)['doc_id']}"
+    id_type = to_arrow_type(queries.schema["qid"].dataType)
+    out, rows = [], []
+    for row in [*queries.select("qid", "text").where("text IS NOT NULL").toLocalIterator(), None]:
+        if row is not None:
+            rows.append(row)
+        if not rows or (row is not None and len(rows) < block):
+            continue
+        shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
+        rows = []
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, places = [], []
+                texts = batch.column(1).to_pylist()
+                for key, passage in shared.value:
+                    own = [i for i, t in enumerate(texts) if t is not None and passage in t]
+                    ids += [key] * len(own)
+                    places += own
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(ids, id_type), "doc_id": batch.column(0).take(pa.array(places, pa.int64()))})
+
+        out.append(docs.select("doc_id", "text").mapInArrow(run, kind))
+    if not out:
+        return spark.createDataFrame([], kind)
+    return reduce(DataFrame.unionByName, out).groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _scorer(shared, depth: int, k1: float, b: float, digits: int, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, place, weights, holds, average = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS):
+                part = batch.slice(at, DOCS)
+                words, doc, word, count = _counted(part.column(1))
+                known = np.array([place.get(w, -1) for w in words.to_pylist()] or [-1])
+                own = known[word] if len(word) else word
+                doc, own, count = doc[own >= 0], own[own >= 0], count[own >= 0]
+                length = part.column(1).value_lengths().fill_null(0).to_numpy()
+                tf = np.zeros((part.num_rows, len(place)))
+                tf[doc, own] = count * (k1 + 1) / (count + k1 * (1 - b + b * length[doc] / max(average, 1e-300)))
+                score = np.round(weights.T @ tf.T, digits) + 0.0
+                score[(holds.T @ (tf > 0).astype(np.float32).T) == 0] = -np.inf
+                i, j = best_of(score, depth)
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(ids, id_type).take(pa.array(i)), "doc_id": part.column(0).take(pa.array(j)), "score": score[i, j]})
+
+    return run
+
+
+def lexical_evolution(queries: DataFrame, lineages: DataFrame, name: str = "logical_id") -> DataFrame:
+    """qid, logical_id, score above 0: 3 a query word in the name, 1 a query word in the titles, 5 if the query holds the whole name.
+
+    lineages: logical_id, its name, titles (an array). The queries are a stated set; each meets the lineages that share a word.
     """
     words = lambda c: F.filter(F.array_distinct(F.split(plain_words(c), " ")), lambda w: w != "")
-    q = queries.select("qid", F.concat(F.lit(" "), plain_words(F.col("text")), F.lit(" ")).alias("plain"), words(F.col("text")).alias("q_words"))
-    entry = lineages.select("logical_id", plain_words(F.col("logical_id")).alias("name"), words(F.col("logical_id")).alias("id_words"), words(F.concat_ws(" ", "titles")).alias("title_words"))
+    q = queries.select("qid", plain_words(F.col("text")).alias("plain"), words(F.col("text")).alias("q_words"))
+    entry = lineages.select("logical_id", plain_words(F.col(name)).alias("name"), words(F.col(name)).alias("id_words"), words(F.concat_ws(" ", "titles")).alias("title_words"))
     by_word = lambda d, key, c: d.select(key, F.explode(c).alias("word"))
     pairs = by_word(q, "qid", "q_words").join(by_word(entry, "logical_id", F.array_union("id_words", "title_words")), "word").select("qid", "logical_id").distinct()
     both = pairs.join(q, "qid").join(entry, "logical_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CATEGORIES = ("functions", "classes", "imports", "calls")
@@ -16,15 +16,25 @@ class Unsupported(ValueError):
     """The query asks for a structure that can't be searched."""
 
 
+#: Identifiers stand behind the categories.
+IDENTIFIER = 9
+
+
 def symbols(records: DataFrame) -> DataFrame:
-    """id, category, pos, name, line, function, class of every symbol; built once an index."""
-    out = []
+    """id, category_order, category, pos, name, line, function, class of every symbol and identifier; built once an index, in one pass."""
+    kind = "array<struct<category_order:int,category:string,pos:int,name:string,line:int,function:string,class:string>>"
+    parts = []
     for order, category in enumerate(CATEGORIES):
-        rows = records.select("id", F.posexplode(category).alias("pos", "s"))
         has = {f.name for f in records.schema[category].dataType.elementType.fields}
-        field = lambda c, has=has: F.col(f"s.{c}") if c in has else F.lit(None).cast("string")
-        out.append(rows.select("id", F.lit(order).alias("category_order"), F.lit(category).alias("category"), "pos", F.col("s.name").alias("name"), F.col("s.line").alias("line"), field("function").alias("function"), field("class").alias("class")))
-    return reduce(DataFrame.unionByName, out)
+        parts.append(F.transform(category, _symbol(order, category, has)).cast(kind))
+    none = F.lit(None).cast("string")
+    parts.append(F.transform("identifiers", lambda n, i: F.struct(F.lit(IDENTIFIER).alias("category_order"), F.lit("identifiers").alias("category"), i.alias("pos"), n.alias("name"), F.lit(None).cast("int").alias("line"), none.alias("function"), none.alias("class"))).cast(kind))
+    return records.select("id", F.inline(F.concat(*(F.coalesce(p, F.array().cast(kind)) for p in parts))))
+
+
+def _symbol(order: int, category: str, has: set[str]):
+    text = lambda s, c: s[c] if c in has else F.lit(None).cast("string")
+    return lambda s, i: F.struct(F.lit(order).alias("category_order"), F.lit(category).alias("category"), i.alias("pos"), s["name"].alias("name"), s["line"].alias("line"), text(s, "function").alias("function"), text(s, "class").alias("class"))
 
 
 def matches(name: Column, term: str) -> Column:
@@ -32,10 +42,6 @@ def matches(name: Column, term: str) -> Column:
     return F.coalesce((name == term) | name.endswith("." + term), F.lit(False))
 
 
-def _matcher(term: str):
-    return lambda name: matches(name, term)
-
-
 def symbol_matches(name: Column, category: Column, term: str) -> Column:
     return matches(name, term) | ((category == "imports") & name.startswith(term + "."))
 
@@ -52,49 +58,54 @@ def _term_rows(table: DataFrame, terms: list[str]) -> DataFrame:
     return table.withColumn("term", F.explode(F.array_compact(F.array(*hits))))
 
 
-def exact_usage(records: DataFrame, terms: list[str], k: int = 20, categories: list[str] | None = None, require_function: bool = False) -> DataFrame:
+def exact_usage(table: DataFrame, terms: list[str], k: int = 20, categories: list[str] | None = None, require_function: bool = False) -> DataFrame:
     """id, score, evidence of the k records with the largest share of terms, equal shares by id as text.
 
-    With categories every term must match; without, any may, and a term that no symbol matches can
-    match one of the identifiers instead.
+    table: structural records, or the stored symbols() of them, which need no parsing and filter while they are read. With categories every
+    term must match; without, any may, and a term that no symbol matches can match one of the identifiers instead.
     """
+    table = table if "category_order" in table.columns else symbols(table)
+    none = F.lit(None).cast("string")
     if not terms:
-        return symbols(records).select("id", F.lit(0.0).alias("score"), F.array().cast("array<struct<type:string,name:string,line:int,function:string,class:string>>").alias("evidence")).limit(0)
-    table = symbols(records)
+        return table.select("id", F.lit(0.0).alias("score"), F.array().cast("array<struct<type:string,name:string,line:int,function:string,class:string>>").alias("evidence")).limit(0)
+    wanted = F.col("category") != "identifiers" if categories is not None else F.lit(True)
     if categories is not None:
-        table = table.where(F.col("category").isin(categories))
-    found = _term_rows(table, terms)
+        wanted = F.col("category").isin(categories)
     if require_function:
-        found = found.where("function IS NOT NULL")
-    kind = F.expr("substring(category, 1, length(category) - 1)")
-    evidence = lambda t: F.struct(t.alias("type"), "name", "line", "function", "class")
-    rows = found.select("id", "term", F.struct("term", "category_order", "pos", evidence(kind).alias("e")).alias("item"))
-    if categories is None:
-        words = [F.when(F.exists("identifiers", _matcher(t)), F.lit(i)) for i, t in enumerate(terms)]
-        named = records.select("id", F.explode(F.array_compact(F.array(*words))).alias("term")).join(rows.select("id", "term").distinct(), ["id", "term"], "left_anti")
-        name = F.element_at(F.array(*(F.lit(t) for t in terms)), F.col("term") + 1)
-        none = F.lit(None).cast("string")
-        e = F.struct(F.lit("identifier").alias("type"), name.alias("name"), F.lit(None).cast("int").alias("line"), none.alias("function"), none.alias("class"))
-        rows = rows.unionByName(named.select("id", "term", F.struct("term", F.lit(9).alias("category_order"), F.lit(0).alias("pos"), e.alias("e")).alias("item")))
-    order = Window.partitionBy("id").orderBy("item.term", "item.category_order", "item.pos")
-    ranked = rows.withColumn("n", F.row_number().over(order))
-    out = ranked.groupBy("id").agg(F.count_distinct("term").alias("matched"), F.array_sort(F.collect_list(F.when(F.col("n") <= MOST_EVIDENCE, F.struct("n", "item.e")))).alias("items"))
+        wanted = wanted & (F.col("function").isNotNull() | (F.col("category") == "identifiers"))
+    found = _term_rows(table.where(wanted), terms)
+    named = F.element_at(F.array(*(F.lit(t) for t in terms)), F.col("term") + 1)
+    is_word = F.col("category") == "identifiers"
+    e = F.struct(F.expr("substring(category, 1, length(category) - 1)").alias("type"), F.when(is_word, named).otherwise(F.col("name")).alias("name"), "line", F.when(is_word, none).otherwise(F.col("function")).alias("function"), F.when(is_word, none).otherwise(F.col("class")).alias("class"))
+    items = F.array_sort(F.collect_list(F.struct("term", "category_order", F.when(is_word, F.lit(0)).otherwise(F.col("pos")).alias("pos"), e.alias("e"))))
+    # a record's matches are a part of its symbols; identifiers only count for terms that no symbol has
+    hits = found.groupBy("id").agg(items.alias("items"), F.collect_set(F.when(~is_word, F.col("term"))).alias("seen"))
+    kept = F.array_distinct(F.filter("items", lambda x: (x["category_order"] != IDENTIFIER) | ~F.array_contains("seen", x["term"])))
+    out = hits.select("id", kept.alias("items"))
+    matched = F.size(F.array_distinct(F.transform("items", lambda x: x["term"])))
     if categories is not None:
-        out = out.where(F.col("matched") == len(terms))
-    return out.select("id", (F.col("matched") / F.lit(float(len(terms)))).alias("score"), F.transform("items", lambda x: x["e"]).alias("evidence")).orderBy(F.desc("score"), F.col("id").cast("string")).limit(k)
+        out = out.where(matched == len(terms))
+    evidence = F.transform(F.slice("items", 1, MOST_EVIDENCE), lambda x: x["e"])
+    return out.select("id", (matched / F.lit(float(len(terms)))).alias("score"), evidence.alias("evidence")).orderBy(F.desc("score"), F.col("id").cast("string")).limit(k)
 
 
 def ordered_pairs(events: DataFrame, first: Column, second: Column, scope: list[str], line: str, order: str, by: str = "id") -> DataFrame:
     """The first pair of each `by`: rows a and b of one scope (nulls alike) with a's line below b's.
 
-    First means by a's place in `order`, then b's.
+    First means by a's place in `order`, then b's. No pairs are made to find it: the greatest line of the b in a scope tells which a have a
+    partner, the least such a is taken, and then its least b. Each step is an aggregate with one row a key and task, or a join with one row a key.
     """
-    a = events.where(first).select(by, *(F.col(c).alias(f"a_{c}") for c in dict.fromkeys([*scope, line, order])))
-    b = events.where(second).select(by, *(F.col(c).alias(f"b_{c}") for c in dict.fromkeys([*scope, line, order])))
-    condition = reduce(lambda x, y: x & y, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in scope], F.lit(True))
-    pairs = a.join(b, by).where(condition & (F.col(f"a_{line}") < F.col(f"b_{line}")))
-    best = F.min(F.struct(f"a_{order}", f"b_{order}", *(c for c in pairs.columns if c not in (by, f"a_{order}", f"b_{order}")))).alias("pair")
-    return pairs.groupBy(by).agg(best).select(by, "pair.*")  # a minimum needs one row a key and task
+    columns = list(dict.fromkeys([*scope, line, order]))
+    both = events.where(first | second).select(by, *columns, F.coalesce(first, F.lit(False)).alias("_a"), F.coalesce(second, F.lit(False)).alias("_b"))
+    last = both.where("_b").groupBy(by, *scope).agg(F.max(line).alias("_last"))
+    last = last.select(F.col(by).alias("_by"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(scope)), "_last")
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(scope)]
+    a = both.where("_a").join(last, reduce(lambda x, y: x & y, same, F.col(by) == F.col("_by"))).where(F.col(line) < F.col("_last"))
+    least = a.groupBy(by).agg(F.min(F.struct(order, *(c for c in columns if c != order))).alias("a")).select(F.col(by).alias("_by"), "a")
+    partner = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"a.{c}")) for c in scope], F.col(by) == F.col("_by"))
+    b = both.where("_b").join(least, partner).where(F.col(line) > F.col(f"a.{line}"))
+    best = b.groupBy(by).agg(F.first("a").alias("a"), F.min(F.struct(order, *(c for c in columns if c != order))).alias("b"))
+    return best.select(by, *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in columns))
 
 
 def call_order(records: DataFrame, first: str, second: str, k: int = 20, require_function: bool = False) -> DataFrame:

@@ -21,6 +21,26 @@ def duplicates(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def same_ids(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two tables of ids have the same set of them, how many only one has, and how many repeat."""
+    left = a.groupBy(*a.columns).agg(F.count("*").alias("n_a"))
+    both = left.join(b.groupBy(*b.columns).agg(F.count("*").alias("n_b")), a.columns, "full")
+    only_a, only_b = F.count_if(F.col("n_b").isNull()), F.count_if(F.col("n_a").isNull())
+    return both.agg(((only_a == 0) & (only_b == 0)).alias("same"), only_a.alias("only_a"), only_b.alias("only_b"), F.count_if((F.col("n_a") > 1) | (F.col("n_b") > 1)).alias("repeated"))
+
+
+def in_partition(df: DataFrame, name: str, column: str = "partition") -> DataFrame:
+    """The rows of one partition, train or test; the filter reaches the scan."""
+    if name not in ("train", "test"):
+        raise ValueError(f"unknown partition {name}")
+    return df.where(F.col(column) == name)
+
+
+def only_keys(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The rows whose key is listed; repeated keys in the list don't repeat rows."""
+    return df.join(keys.select(*on), list(on), "left_semi")
+
+
 def selection_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: sizes of both, of what they share and of what only one has."""
     both = a.distinct().withColumn("in_a", F.lit(1)).join(b.distinct().withColumn("in_b", F.lit(1)), a.columns, "full")

@@ -3,8 +3,8 @@
 Vectors: `embeddings`, dimensions 1-40 as model a, 41-64 as model b, 1-16 as a third score c;
 queries are the vectors whose id is divisible by 100, against all vectors. Relevant is what has
 the query's label. Texts: `benchmark` items as queries against `documents`. Versions:
-`conversations`, a conversation's turns as versions. Code: a few fixed sources, whose
-expected rows are worked out by hand, since SQL can't parse Python.
+`conversations`, a conversation's turns as versions. Code and questions: one a row of
+`part`, made from its number, so that SQL can say what the parser must find.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import code as code_functions
-from lexmill.functions.scores import by_score, discount, reciprocal_rank, standardize
-from lexmill.functions.text import STOPWORDS, code_tokens, identifier_words, jaccard, query_terms, text_fingerprint, token_set
+from lexmill.operators import code_reports
+from lexmill.functions.scores import FAILURE_EDGES, discount, reciprocal_rank, standardize
+from lexmill.functions.text import code_tokens, identifier_words, jaccard, preview, query_terms, short_fingerprint, text_fingerprint, token_set
 from lexmill.operators import dense, fusion, lexical, metrics, router, symbolic, validation, versions
 
 PARTS = {"a": (0, 40), "b": (40, 64), "c": (0, 16)}
@@ -66,8 +67,14 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(scored(spark, sf_dir), WEIGHTS).withColumn("score", r6("score"))
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir).withColumn("rank", F.row_number().over(by_score("score", "doc_id")))
+def head(spark: SparkSession, sf_dir: str, depth: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """The first `depth` documents of each query, with all scores; the rest are never rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return dense.fused_head(e.where("id % 100 = 0"), e, PARTS, weights or WEIGHTS, depth, "id", "id")
+
+
+def best(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
+    return head(spark, sf_dir, depth).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +109,7 @@ def dense_scores(spark, sf_dir):
 
 @register(f"WITH {S}, t AS (SELECT qid, doc_id, round(a, 6) score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM t) SELECT qid, doc_id, score, rank::BIGINT rank FROM r WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
-    return dense.top_k(scored(spark, sf_dir).select("qid", "doc_id", r6("a").alias("score")), 10).withColumn("rank", F.col("rank").cast("long"))
+    return head(spark, sf_dir, 10, {"a": 1.0}).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register("SELECT p.vec_id a, n.vec_id b, round(list_dot_product(p.embedding::DOUBLE[], n.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(n.embedding::DOUBLE[], n.embedding::DOUBLE[]))), 6) cosine FROM embeddings p JOIN embeddings n ON n.vec_id = p.vec_id + 1")
@@ -120,13 +127,13 @@ def zscores(spark, sf_dir):
 
 @register(f"WITH {S}, t AS (SELECT qid, doc_id, a, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, doc_id) rank FROM s), h AS (SELECT * FROM t WHERE rank <= 20) SELECT qid, doc_id, round(CASE WHEN stddev_pop(a) OVER w < 1e-8 THEN 0 ELSE (a - avg(a) OVER w) / stddev_pop(a) OVER w END, 6) z FROM h WINDOW w AS (PARTITION BY qid)")
 def zscore_guarded(spark, sf_dir):
-    head = dense.top_k(scored(spark, sf_dir).withColumn("score", r6("a")), 20).select("qid", "doc_id", "a")
-    return standardize(head, ["a"], guarded=True).select("qid", "doc_id", r6("z_a").alias("z"))
+    first = head(spark, sf_dir, 20, {"a": 1.0}).select("qid", "doc_id", "a")
+    return standardize(first, ["a"], guarded=True).select("qid", "doc_id", r6("z_a").alias("z"))
 
 
 @register(f"WITH {R} SELECT qid, doc_id, score, rank::BIGINT rank FROM r WHERE rank <= 10")
 def zscore_fusion_topk(spark, sf_dir):
-    return dense.top_k(fused(spark, sf_dir).select("qid", "doc_id", "score"), 10).withColumn("rank", F.col("rank").cast("long"))
+    return best(spark, sf_dir, 10)
 
 
 GRID = [0.0, 0.25, 0.5, 0.65, 0.75, 1.0]
@@ -183,7 +190,7 @@ def structural_weight_fusion(spark, sf_dir):
 
 
 def _margins(spark, sf_dir):
-    return fusion.margins(fused(spark, sf_dir)).withColumn("margin", r6("margin"))
+    return fusion.margins(head(spark, sf_dir, 2)).withColumn("margin", r6("margin"))
 
 
 @register(f"WITH {MARGIN} SELECT qid, margin FROM m")
@@ -208,15 +215,24 @@ def fraction_gate(spark, sf_dir):
 
 @register(f"WITH {MARGIN}, g AS (SELECT qid FROM m WHERE margin <= (SELECT quantile_cont(margin, 0.5) FROM m)), h AS (SELECT r.* FROM r JOIN g USING (qid) WHERE rank <= 20), b AS (SELECT qid, doc_id, rank, 0.8 * (score - avg(score) OVER w) / stddev_pop(score) OVER w + 0.2 * (c - avg(c) OVER w) / stddev_pop(c) OVER w x FROM h WINDOW w AS (PARTITION BY qid)), n AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, rank) new_rank FROM b) SELECT r.qid, r.doc_id, r.score, r.rank::BIGINT rank, coalesce(n.new_rank, r.rank)::BIGINT new_rank FROM r LEFT JOIN n USING (qid, doc_id) WHERE r.rank <= 100")
 def gated_rerank_blend(spark, sf_dir):
-    gated = fusion.gate(_margins(spark, sf_dir), share=0.5)
-    out = fusion.rerank(ranked(spark, sf_dir).where("rank <= 100"), "c", gated)
+    first = head(spark, sf_dir, 100)
+    margin = first.where("rank <= 2").groupBy("qid").agg(r6(F.when(F.count("*") == 2, F.max("score") - F.min("score"))).alias("margin"))
+    out = fusion.rerank(first, "c", fusion.gate(margin, share=0.5))
     return out.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
-@register(f"WITH {MARGIN} SELECT qid, doc_id, round(za, 6) z_a, round(zb, 6) z_b, score, round(za - zb, 6) difference, round(abs(za - zb), 6) distance, round(za * zb, 6) product, round(1 / log2(rank + 1), 6) discount, margin FROM r JOIN m USING (qid) WHERE rank <= 20")
+_OWN = ", ".join(f"o{c} AS (SELECT qid, round(max(x) - min(x), 6) margin_{c} FROM (SELECT qid, round(z{c}, 6) x, row_number() OVER (PARTITION BY qid ORDER BY round(z{c}, 6) DESC, doc_id) n FROM z) WHERE n <= 2 GROUP BY 1)" for c in "ab")
+_WORDS = "t AS (SELECT doc_id qid, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) words FROM documents)"
+
+
+@register(f"WITH {MARGIN}, {_OWN}, {_WORDS} SELECT qid, doc_id, round(za, 6) z_a, round(zb, 6) z_b, score, round(za - zb, 6) difference, round(abs(za - zb), 6) distance, round(za * zb, 6) product, round(1 / log2(rank + 1), 6) discount, round(ln(1 + coalesce(words, 0)), 6) log_words, margin, margin_a, margin_b FROM r JOIN m USING (qid) JOIN oa USING (qid) JOIN ob USING (qid) LEFT JOIN t USING (qid) WHERE rank <= 20")
 def fusion_features(spark, sf_dir):
-    f = fusion.features(ranked(spark, sf_dir).where("rank <= 20"), _margins(spark, sf_dir), "a", "b")
-    return f.select("qid", "doc_id", *(r6(c).alias(c) for c in ("z_a", "z_b", "score", "difference", "distance", "product", "discount", "margin")))
+    """All eleven; a query's text is the document of its number."""
+    own = [fusion.margins(head(spark, sf_dir, 2, {"a": a, "b": 1 - a})).select("qid", r6("margin").alias(f"margin_{c}")) for c, a in (("a", 1.0), ("b", 0.0))]
+    margin = _margins(spark, sf_dir).join(own[0], "qid").join(own[1], "qid")
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text")
+    f = fusion.features(head(spark, sf_dir, 20), margin, "a", "b", text)
+    return f.select("qid", "doc_id", *(r6(c).alias(c) for c in ("z_a", "z_b", "score", "difference", "distance", "product", "discount", "log_words", "margin", "margin_a", "margin_b")))
 
 
 # ---------------------------------------------------------------- ranking quality
@@ -236,6 +252,19 @@ def rank_buckets(spark, sf_dir):
     return metrics.buckets(_strict(spark, sf_dir))
 
 
+@register(f"WITH {STRICT} SELECT CASE WHEN rank <= 1 THEN '1' WHEN rank <= 5 THEN '2-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 20 THEN '11-20' WHEN rank <= 100 THEN '21-100' ELSE '>100' END bucket, count(*) n FROM sr GROUP BY 1")
+def failure_buckets(spark, sf_dir):
+    return metrics.buckets(_strict(spark, sf_dir), FAILURE_EDGES)
+
+
+@register(f"WITH {STRICT}, a AS (SELECT vec_id qid FROM embeddings WHERE vec_id % 100 = 0), g AS (SELECT qid, CASE WHEN rank <= 100 THEN rank ELSE 101 END rank FROM a LEFT JOIN sr USING (qid)) SELECT round(avg((rank = 1)::INT), 6) rank1, round(avg(CASE WHEN rank <= 100 THEN 1.0 / rank ELSE 0 END), 6) mrr_at_100, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) ndcg, round(avg(rank), 6) mean_rank, count(*) FILTER (rank = 101) missing FROM g")
+def missing_as_101(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"))
+    g = metrics.with_missing(_strict(spark, sf_dir), e)
+    m = metrics.single_relevant(g, 10).select("ndcg", "rank1").crossJoin(g.agg(F.avg(F.when(F.col("rank") <= 100, F.lit(1.0) / F.col("rank")).otherwise(0.0)).alias("mrr_at_100"), F.avg("rank").alias("mean_rank"), F.count_if(F.col("rank") == 101).alias("missing")))
+    return m.select(r6("rank1").alias("rank1"), r6("mrr_at_100").alias("mrr_at_100"), r6("ndcg").alias("ndcg"), r6("mean_rank").alias("mean_rank"), "missing")
+
+
 @register(f"WITH {STRICT} SELECT d.depth, round(avg((rank <= d.depth)::INT), 6) recall FROM sr, (SELECT unnest([5, 10, 15, 20, 30, 50, 100])::INT depth) d GROUP BY 1")
 def recall_by_depth(spark, sf_dir):
     return metrics.recall_by_depth(_strict(spark, sf_dir)).select("depth", r6("recall").alias("recall"))
@@ -260,8 +289,25 @@ p AS (SELECT qid, sum((pow(2, rel) - 1) / log2(rank + 1)) dcg, count(*) found, m
 
 
 def _graded(spark, sf_dir):
-    run = ranked(spark, sf_dir).where("doc_id <> qid").select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).alias("rank"))
-    return metrics.graded(run, qrels(spark, sf_dir))
+    return metrics.graded(_others(spark, sf_dir, 10), qrels(spark, sf_dir))
+
+
+def _others(spark, sf_dir, depth):
+    """The first documents besides the query itself."""
+    return best(spark, sf_dir, depth + 1).where("doc_id <> qid").select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).alias("rank")).where(F.col("rank") <= depth)
+
+
+_FAMILY = f"""WITH {R}, {QRELS}, rr AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) rank FROM r WHERE doc_id <> qid), ks AS (SELECT unnest([1, 3, 5, 10, 20, 100])::INT k),
+i AS (SELECT qid, k, sum(CASE WHEN p <= k THEN (pow(2, rel) - 1) / log2(p + 1) ELSE 0 END) ideal, count(*) relevant FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) p FROM qr), ks GROUP BY 1, 2),
+h AS (SELECT rr.qid, rr.rank, qr.rel, row_number() OVER (PARTITION BY rr.qid ORDER BY rr.rank) nth FROM rr JOIN qr USING (qid, doc_id)),
+p AS (SELECT qid, k, sum((pow(2, rel) - 1) / log2(rank + 1)) dcg, count(*) found, min(rank) first, sum(nth / rank) precisions FROM h, ks WHERE rank <= k GROUP BY 1, 2)
+SELECT k, round(avg(coalesce(dcg / ideal, 0)), 6) ndcg, round(avg(coalesce(precisions / relevant, 0)), 6) AS "map", round(avg(coalesce(found / relevant, 0)), 6) recall, round(avg(coalesce(found / k, 0)), 6) AS "precision", round(avg(coalesce(1.0 / first, 0)), 6) mrr, round(avg(CASE WHEN found > 0 THEN 1.0 ELSE 0 END), 6) hit_rate FROM i LEFT JOIN p USING (qid, k) GROUP BY 1"""
+
+
+@register(_FAMILY)
+def metric_family(spark, sf_dir):
+    m = metrics.family(_others(spark, sf_dir, 100), qrels(spark, sf_dir))
+    return m.select("k", *(r6(c).alias(c) for c in ("ndcg", "map", "recall", "precision", "mrr", "hit_rate")))
 
 
 @register(_GRADED + " SELECT i.qid, round(coalesce(dcg / ideal, 0), 6) ndcg, round(coalesce(1.0 / first, 0), 6) mrr FROM i LEFT JOIN p USING (qid)")
@@ -282,7 +328,7 @@ def gating_capture(spark, sf_dir):
 @register(f"WITH {STRICT} SELECT sr.qid, sr.doc_id, sr.rank::BIGINT rank, list(r.doc_id ORDER BY r.rank) top3 FROM (SELECT * FROM sr ORDER BY rank DESC, qid LIMIT 5) sr JOIN r ON r.qid = sr.qid AND r.rank <= 3 GROUP BY 1, 2, 3")
 def worst_failures(spark, sf_dir):
     worst = _strict(spark, sf_dir).orderBy(F.desc("rank"), "qid").limit(5)
-    top = ranked(spark, sf_dir).where("rank <= 3").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("top3"))
+    top = best(spark, sf_dir, 3).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("top3"))
     return worst.join(top, "qid")
 
 
@@ -290,16 +336,18 @@ def worst_failures(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     """Of the fused against the first model's reciprocal ranks; random, so without SQL."""
     rel = relevant(spark, sf_dir)
-    both = _both_ranks(spark, sf_dir).join(rel, ["qid", "doc_id"]).select("qid", (F.lit(1.0) / F.col("rank_a")).alias("before"))
-    after = _strict(spark, sf_dir).select("qid", (F.lit(1.0) / F.col("rank")).alias("after"))
-    return metrics.bootstrap(both.join(after, "qid").select("qid", (F.col("after") - F.col("before")).alias("delta")))
+    before = metrics.strict_rank(scored(spark, sf_dir).select("qid", "doc_id", r6("a").alias("score")), rel)
+    after = _strict(spark, sf_dir)
+    gain = lambda d, name: d.select("qid", (F.lit(1.0) / F.col("rank")).alias(name))
+    deltas = gain(before, "x").join(gain(after, "y"), "qid").select("qid", (F.col("y") - F.col("x")).alias("delta"))
+    return metrics.accepted(metrics.bootstrap(deltas), before, after)
 
 
 @register(f"WITH {R} SELECT qid, list(doc_id ORDER BY rank) docs FROM r WHERE rank <= 100 GROUP BY qid")
 def ranking_export(spark, sf_dir):
     from lexmill.sources.io import export_rankings
 
-    return export_rankings(ranked(spark, sf_dir)).select("qid", "docs")
+    return export_rankings(head(spark, sf_dir, 100)).select("qid", "docs")
 
 
 # ---------------------------------------------------------------- texts
@@ -323,52 +371,71 @@ b AS (SELECT qid, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM b)"""
 
 
-def _bm25(spark, sf_dir):
+def _bm25(spark, sf_dir, depth):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return lexical.bm25(q, table(spark, sf_dir, "documents")).withColumn("score", r6("score"))
+    return lexical.bm25(q, table(spark, sf_dir, "documents"), depth).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register(_BM25 + " SELECT qid, doc_id, score, rank::BIGINT rank FROM k WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return dense.top_k(_bm25(spark, sf_dir), 10).withColumn("rank", F.col("rank").cast("long"))
+    return _bm25(spark, sf_dir, 10)
 
 
 @register(_BM25 + ", rel AS (SELECT item_id qid, min(doc_id) doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT count(*) relevant, count(*) FILTER (k.rank <= 100) within_100, count(*) FILTER (k.rank <= 500) within_500, count(*) FILTER (k.rank IS NULL OR k.rank > 100) missed FROM rel LEFT JOIN k USING (qid, doc_id)")
 def bm25_rescues(spark, sf_dir):
-    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    # a stated query set of bounded size against all texts
-    rel = d.join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).groupBy(F.col("item_id").alias("qid")).agg(F.min("doc_id").alias("doc_id"))
-    k = _bm25(spark, sf_dir).withColumn("rank", F.row_number().over(by_score("score", "doc_id")))
-    joined = rel.join(k, ["qid", "doc_id"], "left")
+    """Where BM25 finds the document that holds a whole item; ranks beyond 500 count as missed."""
+    rel = lexical.holders(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), table(spark, sf_dir, "documents"))
+    joined = rel.join(_bm25(spark, sf_dir, 500), ["qid", "doc_id"], "left")
     return joined.agg(F.count("*").alias("relevant"), F.count_if(F.col("rank") <= 100).alias("within_100"), F.count_if(F.col("rank") <= 500).alias("within_500"), F.count_if(F.col("rank").isNull() | (F.col("rank") > 100)).alias("missed"))
 
 
+# Questions, their routes and terms, written out by hand; {} is the number of a part.
 ASKED = [
-    (1, "check whether a tic tac toe board state is valid"), (2, "find code that performs binary search"), (3, "which functions call parse_config before save_config?"),
-    (4, "find usages of torch.nn.Linear"), (5, "which files import requests?"), (6, "find recursive functions that traverse a tree"),
-    (7, "show how this implementation changed between versions"), (8, "find the older implementation of authentication"), (9, "which classes contain nested loops?"),
-    (10, "code that sorts a string according to a custom ordering"), (11, "which files import math?"), (12, "which functions call range before print?"), (13, "show binary search version history"), (14, "use a heap"),
-]
+    ("check whether a tic tac toe board state is valid", "semantic", ["check", "whether", "tic", "tac", "toe", "board", "state", "valid"]),
+    ("find code that performs binary search{}", "semantic", ["performs", "binary", "search{}"]),
+    ("which functions call parse_config{} before save_config{}?", "structural", ["parse_config{}", "save_config{}"]),
+    ("find usages of torch.nn.Linear{}", "exact_usage", ["torch.nn.Linear{}"]),
+    ("which files import requests{}?", "exact_usage", ["requests{}"]),
+    ("find recursive functions that traverse a tree", "structural", ["traverse", "tree"]),
+    ("show how this implementation changed between versions", "evolution", []),
+    ("find the older implementation of authentication{}", "evolution", ["authentication{}"]),
+    ("which classes contain nested loops?", "structural", ["nested", "loops"]),
+    ("code that sorts a string according to a custom ordering", "semantic", ["sorts", "string", "according", "custom", "ordering"]),
+    ("which files import math?", "exact_usage", ["math"]),
+    ("which functions call range before print?", "structural", ["range", "print"]),
+    ("show binary search version history", "evolution", ["binary", "search"]),
+    ("use a heap{}", "exact_usage", ["heap{}"]),
+]
+
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, text: a question a part."""
+    p = F.col("p_partkey")
+    text = F.element_at(F.array(*(F.lit(t) for t, *_ in ASKED)), (p % len(ASKED) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(p.alias("qid"), F.replace(text, F.lit("{}"), p.cast("string")).alias("text"))
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASKED, "qid int, text string")
 
+def _by_hand(values: list[str]) -> str:
+    return "CASE p_partkey % 14 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
-_ASKED_SQL = "q(qid, text) AS (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in ASKED) + ")"
-_ROUTES = " ".join("WHEN regexp_matches(text, '{}', 'i') THEN '{}'".format("|".join(f"(?:{p})" for p in ps).replace("'", "''"), name) for name, ps in router.PATTERNS.items())
-_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
-_FOUND = f"list_filter(regexp_extract_all(text, '\\b[A-Za-z_][A-Za-z0-9_.]*\\b'), lambda w: NOT list_contains({_STOP}, lower(w)))"
 
+_TERMS = _by_hand(["[" + ", ".join(f"replace('{t}', '{{}}', p_partkey::VARCHAR)" for t in terms) + "]::VARCHAR[]" for _, _, terms in ASKED])
 
-@register(f"WITH {_ASKED_SQL} SELECT qid, CASE {_ROUTES} ELSE 'semantic' END route FROM q")
+
+@register("SELECT p_partkey qid, " + _by_hand([f"'{r}'" for _, r, _ in ASKED]) + " route FROM part")
 def route_query(spark, sf_dir):
-    return asked(spark).select("qid", router.route(F.col("text")).alias("route"))
+    return asked(spark, sf_dir).select("qid", router.route(F.col("text")).alias("route"))
 
 
-@register(f"WITH {_ASKED_SQL}, f AS (SELECT qid, {_FOUND} found FROM q) SELECT qid, list_filter(found, lambda w, i: list_position(found, w) = i)[1:12] terms FROM f")
+@register(f"SELECT p_partkey qid, {_TERMS} terms FROM part")
 def query_term_lists(spark, sf_dir):
-    return asked(spark).select("qid", query_terms(F.col("text")).alias("terms"))
+    return asked(spark, sf_dir).select("qid", query_terms(F.col("text")).alias("terms"))
+
+
+@register("SELECT p_partkey qid, " + _by_hand([f"'{r}'" for _, r, _ in ASKED]) + " route, " + _by_hand(["0.95" if r == "evolution" else "0.9" for _, r, _ in ASKED]) + f"::DOUBLE confidence, len({_TERMS}) n_terms FROM part")
+def query_plans(spark, sf_dir):
+    plan = asked(spark, sf_dir).select("qid", router.plan_column(F.col("text")).alias("p"))
+    return plan.select("qid", "p.route", "p.confidence", F.size("p.terms").cast("long").alias("n_terms"))
 
 
 _ITEMS_SQL = "q AS (SELECT item_id qid, text FROM benchmark)"
@@ -378,7 +445,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-@register(f"WITH {_ITEMS_SQL} SELECT qid, CASE {_ROUTES} ELSE 'semantic' END route FROM q")
+@register(f"WITH {_ITEMS_SQL} SELECT qid, CASE WHEN regexp_matches(text, '\\b(version|versions|history|changed|change between|changes between|changed between|evolved|previous implementation|older implementation|when was)\\b', 'i') THEN 'evolution' WHEN regexp_matches(text, '\\b(before|after|recursive|recursion|nested loop|nested loops|call graph|dependency graph|sequence of calls)\\b', 'i') OR regexp_matches(text, '\\b(class|classes|function|functions)\\b.*\\bwith\\b', 'i') OR regexp_matches(text, '\\bcontains?\\b.*\\bloop\\b', 'i') THEN 'structural' WHEN regexp_matches(text, '\\b(uses?|calls?|calling|imports?|importing) .?[A-Za-z_]', 'i') OR regexp_matches(text, '\\bwhere is\\b.*\\bused\\b', 'i') THEN 'exact_usage' ELSE 'semantic' END route FROM q")
 def route_benchmark(spark, sf_dir):
     return items(spark, sf_dir).select("qid", router.route(F.col("text")).alias("route"))
 
@@ -389,12 +456,15 @@ def benchmark_term_lists(spark, sf_dir):
     return items(spark, sf_dir).select("qid", query_terms(F.col("text")).alias("terms"))
 
 
-_NAMES = ["parseConfigFile", "HTTPServer", "snake_case_name", "x1Y2", "__init__", "already lower", "aB_cD"]
+# Names, and their words by hand; {} is the number of a part.
+NAMES = [("parseConfigFile{}", "parse config file{}"), ("HTTPServer{}", "httpserver{}"), ("snake_case_{}", "snake case {}"), ("x{}Y", "x{} y"), ("__init{}__", "init{}"), ("already  lower{}", "already lower{}"), ("aB{}_cD", "a b{} c d")]
 
 
-@register("WITH n(name) AS (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") SELECT name, lower(trim(regexp_replace(replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '\\s+', ' ', 'g'))) words FROM n")
+@register("SELECT p_partkey id, replace(CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{w}'" for i, (_, w) in enumerate(NAMES)) + " END, '{}', p_partkey::VARCHAR) words FROM part")
 def split_identifiers(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", identifier_words(F.col("name")).alias("words"))
+    p = F.col("p_partkey")
+    name = F.replace(F.element_at(F.array(*(F.lit(n) for n, _ in NAMES)), (p % len(NAMES) + 1).cast("int")), F.lit("{}"), p.cast("string"))
+    return table(spark, sf_dir, "part").select(p.alias("id"), identifier_words(name).alias("words"))
 
 
 # ---------------------------------------------------------------- versions
@@ -515,16 +585,17 @@ def pending_anti_join(spark, sf_dir):
     return versions.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-_LINEAGES = [("binary_search", ["Binary Search", "search v2"]), ("factorial", []), ("quick_sort", ["sort quickly"]), ("auth", ["authentication login"])]
 _PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 _SPLIT = "list_filter(list_distinct(string_split({}, ' ')), lambda w: w <> '')"
-_LIN_SQL = "g(logical_id, titles) AS (VALUES " + ", ".join(f"('{n}', {str(t)}::VARCHAR[])" for n, t in _LINEAGES) + ")"
 
 
-@register(f"WITH {_ASKED_SQL}, {_LIN_SQL}, p AS (SELECT qid, {_PLAIN.format('text')} plain FROM q), n AS (SELECT logical_id, {_PLAIN.format('logical_id')} name, {_PLAIN.format(chr(39).join(['array_to_string(titles, ', ' ', ')']))} title FROM g), x AS (SELECT qid, logical_id, (3.0 * len(list_intersect({_SPLIT.format('plain')}, {_SPLIT.format('name')})) + len(list_intersect({_SPLIT.format('plain')}, {_SPLIT.format('title')})) + CASE WHEN contains(plain, name) THEN 5.0 ELSE 0 END)::DOUBLE score FROM p, n) SELECT qid, logical_id, score FROM x WHERE score > 0")
+@register(f"WITH p AS (SELECT p_partkey qid, {_PLAIN.format(chr(39) + 'How has the ' + chr(39) + ' || p_name || ' + chr(39) + ' changed, Brand ' + chr(39) + ' || p_size')} plain FROM part WHERE p_partkey % 100 = 0), n AS (SELECT p_partkey logical_id, {_PLAIN.format('p_name')} name, {_PLAIN.format(chr(39) + 'brand ' + chr(39) + ' || p_type')} title FROM part), x AS (SELECT qid, logical_id, (3.0 * len(list_intersect({_SPLIT.format('plain')}, {_SPLIT.format('name')})) + len(list_intersect({_SPLIT.format('plain')}, {_SPLIT.format('title')})) + CASE WHEN contains(plain, name) THEN 5.0 ELSE 0 END)::DOUBLE score FROM p, n) SELECT qid, logical_id, score FROM x WHERE score > 1")
 def evolution_lexical_score(spark, sf_dir):
-    lineages = spark.createDataFrame(_LINEAGES, "logical_id string, titles array<string>")
-    return lexical.lexical_evolution(asked(spark), lineages)
+    """Parts as lineages, named by their names; every hundredth part's name is asked for."""
+    part = table(spark, sf_dir, "part")
+    asks = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.concat(F.lit("How has the "), "p_name", F.lit(" changed, Brand "), F.col("p_size").cast("string")).alias("text"))
+    lineages = part.select(F.col("p_partkey").alias("logical_id"), F.col("p_name").alias("name"), F.array(F.lit("brand"), "p_type").alias("titles"))
+    return lexical.lexical_evolution(asks, lineages, "name").where("score > 1")
 
 
 # ---------------------------------------------------------------- symbols and code
@@ -537,91 +608,171 @@ def ordered_pair_same_scope(spark, sf_dir):
     return p.select("user_id", F.col("a_event_id").alias("first_id"), F.col("b_event_id").alias("second_id"))
 
 
-SOURCES = [
-    ("s1", "import os.path\ndef f(n):\n    return f(n - 1)"),
-    ("s2", "class A:\n    def g(self):\n        for i in range(3):\n            for j in range(3):\n                print(i)"),
-    ("s3", "print(range(3))"),
-    ("s4", "def broken(:"),
-]
+#: Lines of the source of each part p, by numbers that follow from p: a class with a method that calls two functions in either order, a nest of
+#: p % 4 loops, and a recursive call if p % 3 is 0. Every 50th source is broken.
+CODE = """'import lib' || p % 7 || '.io' || chr(10) || 'class C' || p % 5 || ':' || chr(10) || '    def f' || p % 11 || '(self, x):' || chr(10)
+ || CASE WHEN p % 2 = 0 THEN '        print(x)' || chr(10) || '        range(x)' ELSE '        range(x)' || chr(10) || '        print(x)' END || chr(10)
+ || CASE WHEN p % 4 >= 1 THEN '        for i0 in x:' || chr(10) ELSE '' END || CASE WHEN p % 4 >= 2 THEN '            for i1 in x:' || chr(10) ELSE '' END || CASE WHEN p % 4 >= 3 THEN '                for i2 in x:' || chr(10) ELSE '' END
+ || CASE WHEN p % 4 >= 1 THEN repeat('    ', 2 + p % 4) || 'pass' || chr(10) ELSE '' END || CASE WHEN p % 3 = 0 THEN '        return self.f' || p % 11 || '(x)' ELSE '        return x' END"""
+_SRC = f"s AS (SELECT p_partkey p, p_partkey % 50 <> 0 ok, p_partkey % 3 = 0 AND p_partkey % 50 <> 0 rec, p_partkey % 4 d, 'f' || p_partkey % 11 f, 'C' || p_partkey % 5 c, 'lib' || p_partkey % 7 || '.io' lib, CASE WHEN p_partkey % 2 = 0 THEN ['print', 'range'] ELSE ['range', 'print'] END two, 6 + p_partkey % 4 + (p_partkey % 4 > 0)::INT tail FROM part)"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    return p.select(F.col("p").alias("id"), F.when(F.col("p") % 50 == 0, F.lit("def broken(:")).otherwise(F.expr(CODE)).alias("code"))
 
 
-def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "id string, code string")
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources(spark, sf_dir).select("id", code_functions.metadata("code").alias("m")).select("id", "m.*")
 
 
-def records(spark: SparkSession) -> DataFrame:
-    return sources(spark).select("id", code_functions.metadata("code").alias("m")).select("id", "m.*")
+_AT = "'@' || tail || ':' || f || ':' || c"
 
 
-@register("SELECT * FROM (VALUES ('s1', true, 0, 0, ['f'], ['f@3:f:-'], ['os.path']), ('s2', true, 2, 2, []::VARCHAR[], ['range@3:g:A', 'range@4:g:A', 'print@5:g:A'], []::VARCHAR[]), ('s3', true, 0, 0, []::VARCHAR[], ['print@1:-:-', 'range@1:-:-'], []::VARCHAR[]), ('s4', false, 0, 0, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[])) t(id, parsed, loop_count, max_loop_depth, recursive_functions, calls, imports)")
+@register(f"""WITH {_SRC} SELECT p id, ok parsed, CASE WHEN ok THEN d ELSE 0 END::INT loop_count, CASE WHEN ok THEN d ELSE 0 END::INT max_loop_depth, CASE WHEN rec THEN [f] ELSE []::VARCHAR[] END recursive_functions,
+ CASE WHEN ok THEN list_concat([two[1] || '@4:' || f || ':' || c, two[2] || '@5:' || f || ':' || c], CASE WHEN rec THEN ['self.' || f || {_AT}] ELSE []::VARCHAR[] END) ELSE []::VARCHAR[] END calls, CASE WHEN ok THEN [lib] ELSE []::VARCHAR[] END imports,
+ CASE WHEN ok THEN [f || '@3:' || c] ELSE []::VARCHAR[] END functions, CASE WHEN ok THEN [c || '@2'] ELSE []::VARCHAR[] END classes, CASE WHEN ok THEN list_transform(range(0, d), lambda i: 'for@' || (6 + i) || ':' || (i + 1) || ':' || f || ':' || c) ELSE []::VARCHAR[] END loops,
+ CASE WHEN ok THEN list_sort(list_concat(list_concat(['print', 'range', 'x'], list_transform(range(0, d), lambda i: 'i' || i)), CASE WHEN rec THEN ['self', 'self.' || f] ELSE []::VARCHAR[] END)) ELSE ['broken', 'def'] END identifiers,
+ CASE WHEN ok AND d > 0 THEN c || '=' || d ELSE '' END class_depth, CASE WHEN ok AND d > 0 THEN f || '=' || d ELSE '' END function_depth FROM s""")
 def ast_metadata(spark, sf_dir):
+    """All twelve fields of the record."""
     dash = lambda c: F.coalesce(c, F.lit("-"))
-    call = lambda c: F.concat(c["name"], F.lit("@"), c["line"].cast("string"), F.lit(":"), dash(c["function"]), F.lit(":"), dash(c["class"]))
-    return records(spark).select("id", "parsed", "loop_count", "max_loop_depth", "recursive_functions", F.transform("calls", call).alias("calls"), F.transform("imports", lambda i: i["name"]).alias("imports"))
+    text = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    call = lambda c: text(c["name"], "@", c["line"].cast("string"), ":", dash(c["function"]), ":", dash(c["class"]))
+    loop = lambda x: text(x["type"], "@", x["line"].cast("string"), ":", x["depth"].cast("string"), ":", dash(x["function"]), ":", dash(x["class"]))
+    depth = lambda m: F.concat_ws(",", F.transform(F.map_entries(m), lambda e: text(e["key"], "=", e["value"].cast("string"))))
+    return records(spark, sf_dir).select(
+        "id", "parsed", "loop_count", "max_loop_depth", "recursive_functions", F.transform("calls", call).alias("calls"), F.transform("imports", lambda i: i["name"]).alias("imports"),
+        F.transform("functions", lambda x: text(x["name"], "@", x["line"].cast("string"), ":", dash(x["class"]))).alias("functions"), F.transform("classes", lambda x: text(x["name"], "@", x["line"].cast("string"))).alias("classes"),
+        F.transform("loops", loop).alias("loops"), "identifiers", depth("class_loop_depths").alias("class_depth"), depth("function_loop_depths").alias("function_depth"),
+    )
+
+
+@register(f"""WITH {_SRC} SELECT p id, CASE WHEN NOT ok THEN 'unparsed python code' ELSE 'classes: ' || lower(c) || ' | functions: ' || f || ' | parameters: self, x | imports: ' || lib || ' | calls: ' || two[1] || ', ' || two[2] || CASE WHEN rec THEN ', ' || f ELSE '' END || CASE WHEN rec THEN ' | attributes: ' || f ELSE '' END
+ || ' | identifiers: ' || two[1] || ', x, ' || two[2] || CASE WHEN d > 0 THEN ', ' || array_to_string(list_transform(range(0, d), lambda i: 'i' || i), ', ') ELSE '' END || CASE WHEN rec THEN ', self' ELSE '' END
+ || ' | structure: class x1, function x1' || CASE WHEN d > 0 THEN ', for loop x' || d ELSE '' END || CASE WHEN rec THEN ' | recursive functions: ' || f ELSE '' END END signature FROM s""")
+def code_signatures(spark, sf_dir):
+    return sources(spark, sf_dir).select("id", code_functions.code_signature("code").alias("signature"))
 
 
-@register("SELECT * FROM (VALUES ('s1', 'functions: f | parameters: n | imports: os.path | calls: f | identifiers: f, n | structure: function x1 | operators: sub x1 | recursive functions: f'), ('s2', 'classes: a | functions: g | parameters: self | calls: range, print | identifiers: i, range, j, print | structure: class x1, function x1, for loop x2'), ('s3', 'calls: print, range | identifiers: print, range'), ('s4', 'unparsed python code')) t(id, signature)")
-def code_signatures(spark, sf_dir):
-    return sources(spark).select("id", code_functions.code_signature("code").alias("signature"))
+_LONG = "CASE p % 4 WHEN 0 THEN 'x = [' || array_to_string(range(0, 40 + p % 30), ',') || ']  # gone' WHEN 1 THEN 'y = \"' || repeat('a', 900 + p % 300) || '\"' WHEN 2 THEN 'def broken(:' || p ELSE 'z=(1,' || p || ')' END"
+
 
+def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source a part: lists of 40 to 69 numbers, strings of 900 to 1199 characters, broken ones and short ones."""
+    p = F.col("p_partkey")
+    numbers = F.concat(F.lit("x = ["), F.array_join(F.sequence(F.lit(0), (39 + p % 30).cast("int")), ","), F.lit("]  # gone"))
+    text = F.concat(F.lit('y = "'), F.repeat(F.lit("a"), (900 + p % 300).cast("int")), F.lit('"'))
+    code = F.when(p % 4 == 0, numbers).when(p % 4 == 1, text).when(p % 4 == 2, F.concat(F.lit("def broken(:"), p.cast("string"))).otherwise(F.concat(F.lit("z=(1,"), p.cast("string"), F.lit(")")))
+    return table(spark, sf_dir, "part").select(p.alias("id"), code.alias("code"))
 
-@register("SELECT * FROM (VALUES ('long', 'x = [0, 1, 2, 3, 4, 5, 6, 7, ''<LONG_LIST:51_ITEMS>'']'), ('kept', 'x = [' || array_to_string(range(50), ', ') || ']'), ('text', 'y = ''' || repeat('a', 120) || '...<LONG_STRING:1001_CHARS>'''), ('broken', 'def broken(:')) t(id, code)")
+
+_COMPACT = f"""l AS (SELECT p_partkey p, p_partkey % 30 + 40 n, p_partkey % 300 + 900 m FROM part), k AS (SELECT p id, CASE p % 4 WHEN 0 THEN 'x = [' || array_to_string(range(0, CASE WHEN n > 50 THEN 8 ELSE n END), ', ') || CASE WHEN n > 50 THEN ', ''<LONG_LIST:' || n || '_ITEMS>''' ELSE '' END || ']'
+ WHEN 1 THEN 'y = ''' || repeat('a', CASE WHEN m > 1000 THEN 120 ELSE m END) || CASE WHEN m > 1000 THEN '...<LONG_STRING:' || m || '_CHARS>' ELSE '' END || '''' WHEN 2 THEN 'def broken(:' || p ELSE 'z = (1, ' || p || ')' END code, {_LONG} original FROM l)"""
+
+
+@register(f"WITH {_COMPACT} SELECT id, code FROM k")
 def compacted_literals(spark, sf_dir):
-    rows = [("long", f"x = {list(range(51))}  # gone"), ("kept", f"x = {list(range(50))}"), ("text", f"y = '{'a' * 1001}'"), ("broken", "def broken(:")]
-    return spark.createDataFrame(rows, "id string, code string").select("id", code_functions.compact_literals("code").alias("code"))
+    return literals(spark, sf_dir).select("id", code_functions.compact_literals("code").alias("code"))
+
+
+@register(f"WITH {_COMPACT} SELECT count(*) documents, count(*) FILTER (code <> original) changed, max(len({TOKENS.replace('text', 'original')}))::BIGINT longest_before, max(len({TOKENS.replace('text', 'code')}))::BIGINT longest_after, count(*) FILTER (len({TOKENS.replace('text', 'original')}) > 50) over_before, count(*) FILTER (len({TOKENS.replace('text', 'code')}) > 50) over_after, sum(length(original))::BIGINT chars_before, sum(length(code))::BIGINT chars_after FROM k")
+def compaction_effect(spark, sf_dir):
+    return code_reports.compaction_effect(literals(spark, sf_dir), limits=(50,)).select("documents", "changed", "longest_before", "longest_after", F.col("over_50_before").alias("over_before"), F.col("over_50_after").alias("over_after"), "chars_before", "chars_after")
+
+
+@register(f"WITH {_COMPACT}, c AS (SELECT id, len({TOKENS.replace('text', 'original')})::BIGINT before, len({TOKENS.replace('text', 'code')})::BIGINT AS after FROM k) SELECT id, before, after, before - after saved FROM c ORDER BY saved DESC, id LIMIT 10")
+def compaction_savings(spark, sf_dir):
+    return code_reports.compaction_savings(literals(spark, sf_dir), 10)
 
 
-@register("SELECT * FROM (VALUES ('a', 1), ('b', 1), ('c', 2), ('d', 3)) t(id, class)")
+@register(f"WITH {_SRC} SELECT count(*) documents, count(*) FILTER (ok) parsed, count(*) FILTER (NOT ok) unparsed, count(*) FILTER (rec) recursive, count(*) FILTER (ok AND d >= 2) nested FROM s")
+def index_counts(spark, sf_dir):
+    return code_reports.index_counts(records(spark, sf_dir))
+
+
+@register("SELECT p_partkey id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey - p_partkey % 4 ELSE p_partkey END same_as FROM part")
 def code_fingerprints(spark, sf_dir):
-    """a and b differ in layout and comments only."""
-    rows = [("a", "x=1"), ("b", "x = 1  # note"), ("c", "x = 2"), ("d", "x = ")]
-    prints = spark.createDataFrame(rows, "id string, code string").select("id", code_functions.code_fingerprint(F.col("code")).alias("p"))
-    first = prints.groupBy("p").agg(F.min("id").alias("first"))
-    order = first.select("p", F.dense_rank().over(Window.orderBy("first")).alias("class"))  # four rows
-    return prints.join(order, "p").select("id", "class")
+    """Sources of even parts differ within a pair only in layout and comments; each names the first source with its fingerprint."""
+    p = F.col("p_partkey")
+    pair = (p - p % 4).cast("string")
+    code = F.when(p % 4 == 0, F.concat(F.lit("x="), pair)).when(p % 2 == 0, F.concat(F.lit("x = "), pair, F.lit("  # note"))).when(p % 3 == 0, F.concat(F.lit("x = "), p.cast("string"), F.lit("."))).otherwise(F.concat(F.lit("x ="), p.cast("string"), F.lit(" = ")))
+    prints = table(spark, sf_dir, "part").select(p.alias("id"), code_functions.code_fingerprint(code).alias("p"))
+    first = prints.groupBy("p").agg(F.min("id").alias("same_as"))
+    return prints.join(first, "p").select("id", "same_as")
+
+
+@register("SELECT p_partkey id, substr(sha256('x ' || p_partkey), 1, 12) short, repeat('y', least(p_partkey, 500)::INT) preview FROM part")
+def short_fingerprints(spark, sf_dir):
+    """The first 12 digits of a fingerprint, and previews of at most 500 characters."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    rows = p.select("id", text_fingerprint(F.concat(F.lit("x  "), F.col("id").cast("string"))).alias("f"), F.repeat(F.lit("y"), F.col("id").cast("int")).alias("code"))
+    return rows.select("id", short_fingerprint(F.col("f")).alias("short"), preview(F.col("code"), 500).alias("preview"))
 
 
 def _usage(hits: DataFrame) -> DataFrame:
     return hits.select("id", r6("score").alias("score"), F.transform("evidence", lambda e: F.concat_ws("@", e["type"], e["name"], e["line"].cast("string"))).alias("evidence"))
 
 
-@register("SELECT * FROM (VALUES ('s1', 1.0::DOUBLE, ['import@os.path@1', 'identifier@n']), ('s2', 0.0::DOUBLE, []::VARCHAR[])) t(id, score, evidence) WHERE score > 0")
+_TOP20 = "ORDER BY score DESC, id::VARCHAR LIMIT 20"
+
+
+@register(f"WITH {_SRC}, h AS (SELECT p id, (((lib = 'lib3.io')::INT + (rec OR (ok AND d >= 2))::INT) / 2)::DOUBLE score, list_concat(CASE WHEN lib = 'lib3.io' AND ok THEN ['import@lib3.io@1'] ELSE []::VARCHAR[] END, CASE WHEN ok AND d >= 2 THEN ['identifier@i1'] ELSE []::VARCHAR[] END) evidence FROM (SELECT * REPLACE (false AS rec) FROM s WHERE ok)) SELECT id, score, evidence FROM h WHERE score > 0 {_TOP20}")
 def exact_usage_any(spark, sf_dir):
-    return _usage(symbolic.exact_usage(records(spark), ["os", "n"]))
+    return _usage(symbolic.exact_usage(records(spark, sf_dir), ["lib3", "i1"]))
 
 
-@register("SELECT * FROM (VALUES ('s2', 1.0::DOUBLE, ['call@range@3', 'call@range@4', 'call@print@5']), ('s3', 1.0::DOUBLE, ['call@range@1', 'call@print@1'])) t(id, score, evidence)")
+@register(f"WITH {_SRC}, h AS (SELECT p id, 1.0::DOUBLE score, CASE WHEN two[1] = 'range' THEN ['call@range@4', 'call@print@5'] ELSE ['call@range@5', 'call@print@4'] END evidence FROM s WHERE ok) SELECT * FROM h {_TOP20}")
 def exact_usage_all(spark, sf_dir):
-    return _usage(symbolic.exact_usage(records(spark), ["range", "print"], categories=["calls"]))
+    return _usage(symbolic.exact_usage(records(spark, sf_dir), ["range", "print"], categories=["calls"]))
 
 
-@register("SELECT * FROM (VALUES ('s2', 1.0::DOUBLE, ['call@range@3', 'call@range@4'])) t(id, score, evidence)")
+@register(f"WITH {_SRC}, h AS (SELECT p id, 1.0::DOUBLE score, ['call@self.f4@' || tail] evidence FROM s WHERE rec AND f = 'f4') SELECT * FROM h {_TOP20}")
 def exact_usage_in_functions(spark, sf_dir):
-    return _usage(symbolic.exact_usage(records(spark), ["range"], categories=["calls"], require_function=True))
+    return _usage(symbolic.exact_usage(records(spark, sf_dir), ["f4"], categories=["calls"], require_function=True))
 
 
-@register("SELECT * FROM (VALUES ('s1', 1.0::DOUBLE, ['import@os.path@1', 'import@os.path@1'])) t(id, score, evidence)")
+@register(f"WITH {_SRC}, h AS (SELECT p id, 1.0::DOUBLE score, ['import@' || lib || '@1', 'import@' || lib || '@1'] evidence FROM s WHERE ok AND lib = 'lib5.io') SELECT * FROM h {_TOP20}")
 def import_prefix_match(spark, sf_dir):
-    return _usage(symbolic.exact_usage(records(spark), ["os", "path"], categories=["imports"]))
+    return _usage(symbolic.exact_usage(records(spark, sf_dir), ["lib5", "io"], categories=["imports"]))
 
 
-@register("SELECT * FROM (VALUES ('s2', 1.0::DOUBLE, 'g', 'A', 3, 5)) t(id, score, function, class, first_line, second_line)")
+@register(f"WITH {_SRC} SELECT p id, 1.0::DOUBLE score, f AS function, c AS class, 4 first_line, 5 second_line FROM s WHERE ok AND two[1] = 'range' ORDER BY p LIMIT 20")
 def call_order(spark, sf_dir):
-    return symbolic.structural(records(spark), "which functions call range before print?", ["range", "print"])
+    return symbolic.structural(records(spark, sf_dir), "which functions call range before print?", ["range", "print"])
 
 
-@register("SELECT * FROM (VALUES ('s1', 2.25::DOUBLE, ['recursive_function@f@2', 'function@f@2', 'call@f@3'])) t(id, score, evidence)")
+@register(f"WITH {_SRC} SELECT p id, 1.0::DOUBLE score, f AS function, c AS class, 4 first_line, 5 second_line FROM s WHERE ok AND two[1] = 'range' ORDER BY 1000000 - p LIMIT 20")
+def call_order_by_place(spark, sf_dir):
+    """The first of the corpus in its own order, here from the greatest id down."""
+    placed = records(spark, sf_dir).withColumn("pos", F.lit(1_000_000) - F.col("id"))
+    return symbolic.structural(placed, "which functions call print after range?", ["print", "range"])
+
+
+@register(f"WITH {_SRC}, h AS (SELECT p id, CASE WHEN f = 'f2' THEN 2.25 ELSE 2.0 END::DOUBLE score, list_concat(['recursive_function@' || f || '@3'], CASE WHEN f = 'f2' THEN ['function@f2@3', 'call@self.f2@' || tail] ELSE []::VARCHAR[] END) evidence FROM s WHERE rec) SELECT * FROM h {_TOP20}")
 def recursion_docs(spark, sf_dir):
-    return _usage(symbolic.structural(records(spark), "find recursive functions f", ["f"]))
+    return _usage(symbolic.structural(records(spark, sf_dir), "find recursive functions f2", ["f2"]))
+
 
+@register(f"WITH {_SRC}, h AS (SELECT p id, (2 + d)::DOUBLE score, ['recursive_function@' || f || '@3', 'loop_structure@nested loops'] evidence FROM s WHERE rec AND d >= 2) SELECT * FROM h {_TOP20}")
+def recursion_and_nested_loops(spark, sf_dir):
+    return _usage(symbolic.structural(records(spark, sf_dir), "recursive code with nested loops", []))
 
-@register("SELECT * FROM (VALUES ('class', 's2', 2.0::DOUBLE, 'A'), ('function', 's2', 2.0::DOUBLE, 'g'), ('any', 's2', 2.0::DOUBLE, 'nested loops')) t(scope, id, score, name)")
+
+@register(f"WITH {_SRC}, n AS (SELECT unnest([{{'scope': 'class', 'name': c}}, {{'scope': 'function', 'name': f}}, {{'scope': 'any', 'name': 'nested loops'}}]) u, p id, d::DOUBLE score FROM s WHERE ok AND d >= 2), r AS (SELECT u.scope, id, score, u.name, row_number() OVER (PARTITION BY u.scope ORDER BY score DESC, id::VARCHAR) k FROM n) SELECT scope, id, score, name FROM r WHERE k <= 20")
 def nested_loops_by_scope(spark, sf_dir):
     asks = {"class": "which classes have nested loops", "function": "functions having nested loops", "any": "nested loops"}
-    out = [symbolic.structural(records(spark), q, []).select(F.lit(k).alias("scope"), "id", "score", F.col("evidence")[0]["name"].alias("name")) for k, q in asks.items()]
+    out = [symbolic.structural(records(spark, sf_dir), q, []).select(F.lit(k).alias("scope"), "id", "score", F.col("evidence")[0]["name"].alias("name")) for k, q in asks.items()]
     return reduce(DataFrame.unionByName, out)
 
 
+@register(f"WITH {_SRC} SELECT 'functions' category, count(*) n FROM s WHERE ok AND f = 'f3' UNION ALL SELECT 'calls', count(*) FROM s WHERE rec AND f = 'f3'")
+def symbol_categories(spark, sf_dir):
+    """How often a name is defined and called, from the symbol table."""
+    found = symbolic.symbols(records(spark, sf_dir)).where(symbolic.symbol_matches(F.col("name"), F.col("category"), "f3") & F.col("category").isin("functions", "calls"))
+    return found.groupBy("category").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- checks, joins and reports
 
 
@@ -651,13 +802,30 @@ def label_alignment(spark, sf_dir):
 
 @register(f"WITH {R}, run AS (SELECT qid, CASE WHEN qid % 200 = 0 AND rank = 2 THEN -1 ELSE doc_id END doc_id FROM r WHERE rank <= CASE WHEN qid = 100 THEN 7 ELSE 10 END), o AS (SELECT qid, count(*) n, count(DISTINCT doc_id) d FROM run GROUP BY 1) SELECT qid, 'wrong length' problem FROM o WHERE n <> 10 UNION ALL SELECT qid, 'repeated document' FROM o WHERE n > d UNION ALL SELECT DISTINCT qid, 'unknown document' FROM run WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT -5, 'missing query'")
 def validate_rankings(spark, sf_dir):
-    r = ranked(spark, sf_dir).where(F.col("rank") <= F.when(F.col("qid") == 100, 7).otherwise(10))
+    r = best(spark, sf_dir, 10).where(F.col("rank") <= F.when(F.col("qid") == 100, 7).otherwise(10))
     run = r.select("qid", F.when((F.col("qid") % 200 == 0) & (F.col("rank") == 2), F.lit(-1)).otherwise(F.col("doc_id")).alias("doc_id"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     asked_for = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid")).unionByName(spark.range(1).select(F.lit(-5).cast("long").alias("qid")))
     return validation.ranking_problems(run, asked_for, e, 10)
 
 
+@register("WITH a AS (SELECT DISTINCT doc_id FROM labels), d AS (SELECT DISTINCT doc_id FROM documents) SELECT (SELECT count(*) FROM (FROM a ANTI JOIN d USING (doc_id))) + (SELECT count(*) FROM (FROM d ANTI JOIN a USING (doc_id))) = 0 same, (SELECT count(*) FROM (FROM d ANTI JOIN a USING (doc_id))) only_a, (SELECT count(*) FROM (FROM a ANTI JOIN d USING (doc_id))) only_b, (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1 UNION SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) repeated")
+def id_set_equality(spark, sf_dir):
+    return validation.same_ids(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@register("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def key_list_filter(spark, sf_dir):
+    return validation.only_keys(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS partition, source FROM documents WHERE doc_id % 5 <> 0")
+def partition_filter(spark, sf_dir):
+    """The documents of one partition."""
+    d = table(spark, sf_dir, "documents").withColumn("partition", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train"))
+    return validation.in_partition(d, "train").select("doc_id", "partition", "source")
+
+
 @register("SELECT text, count(*) n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     return validation.duplicates(table(spark, sf_dir, "documents"), "text")
