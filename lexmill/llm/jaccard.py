@@ -4,7 +4,8 @@ The global order of shingles, by their hash, is cut into fragments. Each fragmen
 for every set, how many of its shingles another set has too; the counts are summed per
 set, and a set that has too few shared shingles can't link. What is left is small: there,
 rare shingles come first, sets that share a shingle of their prefixes are candidates, and
-the overlap of each candidate pair is counted per fragment and summed per pair.
+each fragment counts the overlaps of the candidate pairs within itself; these partial
+overlaps are summed per pair.
 
 Documents with equal sets are one class from the start, so copies are never paired.
 Sets that a group's most central member already links are not paired with each other.
@@ -17,10 +18,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BYTE_WORD, LOWER, checkpoint, cut, flat, free_name, groups, mix, prefix_hash, small_batches, span_hash, text_salt, tidy, word_spans
+from .blocks import BLOCKS, home, receive, send
+from .blocks import read_block as read_pairs
+from .common import BYTE_WORD, LOWER, Scratch, checkpoint, cut, flat, free_name, groups, materialize, mix, prefix_hash, small_batches, span_hash, stored_bytes, text_salt, tidy, word_spans
 from .graph import components
 
 #: Bits of a shingle's identity; two different shingles of two linked sets collide once in 2^48 / n^2.
@@ -29,10 +34,14 @@ _ODD = 0x94D049BB133111EB
 _LOWER = np.frombuffer(LOWER, np.uint8)
 #: Shingles that a task gathers before it writes a block for each fragment.
 BLOCK_ROWS = 1_500_000
-#: Fragments in which the overlaps of candidate pairs are counted.
-PAIR_FRAGMENTS = 2
+#: Bytes of kept sets in each fragment that counts the overlaps of candidate pairs.
+FRAGMENT_BYTES = 8 << 20
+#: Shingles of candidate pairs that a fragment looks up at once.
+LOOKUPS = 2_000_000
+#: Words of 64 bits in a set's bitmap, a power of two.
+WORDS = 8
 #: Rounds of stars before the remaining pairs, and members at a star's centre after the first round.
-STARS, CENTERS = 4, 16
+STARS, CENTERS = 2, 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +98,7 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(steps.astype(np.uint64)) + np.uint64(base), sets[which], extra
 
 
-#: A row is a set's size with one of its documents (or none), a block on its way, or a kept set.
+#: A row is a document with its set's size and hash, a set's size (weight 0), a block on its way, or a kept set.
 _ROWS = "part int, doc_id {}, n long, key long, block binary, shingles array<long>, weight double"
 
 
@@ -139,8 +148,12 @@ def _kept_sets(sets: DataFrame, doc_kind: str, parts: int, homes: int) -> DataFr
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, blocks = _split(batches)
         for batch in rows:
-            key = batch.column("key").to_numpy().view(np.uint64)
-            yield batch.set_column(0, "part", pa.array((key % np.uint64(homes)).astype(np.int32)))
+            is_size = batch.column("weight").is_valid()
+            yield batch.filter(pc.invert(is_size))  # a document's row goes anywhere
+            sizes = batch.filter(is_size)
+            _, first = np.unique(sizes.column("key").to_numpy(), return_index=True)
+            key = sizes.column("key").to_numpy()[first].view(np.uint64)
+            yield _rows(batch.schema.field("doc_id").type, (key % np.uint64(homes)).astype(np.int32), n=sizes.column("n").take(first), key=key.view(np.int64), weight=np.zeros(len(key)))
         if not blocks:
             return
         doc_type = rows[0].schema.field("doc_id").type
@@ -167,8 +180,10 @@ def _kept_sets(sets: DataFrame, doc_kind: str, parts: int, homes: int) -> DataFr
         rows, blocks = _split(batches)
         sizes: dict[int, int] = {}
         for batch in rows:
-            sizes.update(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True))
-            yield batch
+            is_size = batch.column("weight").is_valid()
+            own = batch.filter(is_size)
+            sizes.update(zip(own.column("key").to_pylist(), own.column("n").to_pylist(), strict=True))
+            yield batch.filter(pc.invert(is_size))
         if not blocks:
             return
         doc_type = rows[0].schema.field("doc_id").type
@@ -186,7 +201,22 @@ def _kept_sets(sets: DataFrame, doc_kind: str, parts: int, homes: int) -> DataFr
         yield _rows(doc_type, np.zeros(int(enough.sum()), np.int32), n=n[enough], key=key[first][enough], shingles=lists, weight=weight)
 
     schema = _ROWS.format(doc_kind)
-    return sets.repartition(parts, "part").mapInArrow(tidy(share), schema).repartition(homes, "part").mapInArrow(tidy(gather), schema)
+    return sets.repartitionById(parts, "part").mapInArrow(tidy(share), schema).repartitionById(homes, "part").mapInArrow(tidy(gather), schema)
+
+
+def _with_bits(kept: DataFrame) -> DataFrame:
+    """Adds b0, b1, ...: a bitmap of the shingles' lowest bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            shingle = lists.flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            words = np.zeros((batch.num_rows, WORDS), np.uint64)
+            np.bitwise_or.at(words, (of, (shingle >> np.uint64(6) & np.uint64(WORDS - 1)).astype(np.int64)), np.uint64(1) << (shingle & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(words[:, k].view(np.int64)) for k in range(WORDS))], names=[*batch.schema.names, *_BITS])
+
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in _BITS)]))
 
 
 def _least(n: Column) -> Column:
@@ -195,29 +225,100 @@ def _least(n: Column) -> Column:
 
 
 def _measure(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b): overlaps counted per fragment and summed per pair."""
-    n = PAIR_FRAGMENTS
-    cut_at = [(k << BITS) // n for k in range(n + 1)]
-    between = lambda lo, hi: F.filter("shingles", lambda s: (s >= lo) & (s < hi))
-    segments = kept.select("key", F.array(*(between(lo, hi) for lo, hi in zip(cut_at, cut_at[1:], strict=False))).alias("segments"))
-    a = segments.select(F.col("key").alias("a"), F.col("segments").alias("left"))
-    b = segments.select(F.col("key").alias("b"), F.col("segments").alias("right"))
-    partial = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))  # a number a fragment
-    total = F.aggregate(partial, F.lit(0), lambda s, x: s + x)
-    overlap = pairs.join(a, "a").join(b, "b").select("a", "b", total.alias("common"))
-    size = kept.select("key", "n")
-    sized = overlap.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where("100 * common >= 75 * (na + nb - common)").select("a", "b")
+    """Links (a, b) among distinct candidate pairs (a, b, need): fragments count their overlaps, which are summed per pair.
+
+    `need` is the overlap of a link. A pair travels with its first set, to the fragments in which that set has shingles.
+    """
+    parts = max(2, -(-stored_bytes(kept) // FRAGMENT_BYTES))
+    homes = -(-parts // 4)
+    partners = pairs.groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct("b", "need")).alias("partners"))
+    ends = partners.unionByName(pairs.select(F.col("b").alias("key")), allowMissingColumns=True).groupBy("key").agg(F.first("partners", ignorenulls=True).alias("partners"))
+    sets = kept.select("key", "shingles").join(ends.hint("shuffle_hash"), "key")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, lists, partners = batch.column("key").to_numpy(), batch.column("shingles"), batch.column("partners")
+            shingle = lists.flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy())
+            part = _fragment(shingle, parts).astype(np.int32)
+            yield from send(2 * part, [shingle], key[of], np.zeros(len(of), np.int64))
+            # each pair once for every fragment that its first set is in
+            at = np.unique(of * parts + part)
+            inside, fragment = at // parts, at % parts
+            n = np.nan_to_num(pc.list_value_length(partners).to_numpy(zero_copy_only=False)).astype(np.int64)
+            first = np.cumsum(n) - n
+            size = n[inside]
+            row = np.repeat(first[inside] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            other = partners.flatten()
+            b, need = (pc.struct_field(other, k).to_numpy()[row] for k in ("b", "need"))
+            yield from send((2 * np.repeat(fragment, size) + 1).astype(np.int32), [b.view(np.uint64), need], np.repeat(key[inside], size), np.zeros(len(row), np.int64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, wanted = [], []
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part % 2:
+                    (b, need), a, _ = read_pairs(data, 2)
+                    wanted.append((a, b.view(np.int64), need.astype(np.int64)))
+                else:
+                    (shingle,), key, _ = read_pairs(data, 1)
+                    members.append((shingle, key))
+        if not members or not wanted:
+            return
+        shingle, key = (np.concatenate([x[k] for x in members]) for k in range(2))
+        a, b, need = (np.concatenate([x[k] for x in wanted]) for k in range(3))
+        members.clear()
+        wanted.clear()
+        kinds, shingle = np.unique(shingle, return_inverse=True)
+        sets, key = np.unique(key, return_inverse=True)
+        code = np.unique(key * len(kinds) + shingle)
+        edge = np.searchsorted(code, np.arange(len(sets) + 1) * len(kinds))
+        x, y = np.searchsorted(sets, a), np.minimum(np.searchsorted(sets, b), len(sets) - 1)
+        there = sets[y] == b
+        a, b, need, x, y = a[there], b[there], need[there], x[there], y[there]
+        size = (edge[x + 1] - edge[x]).astype(np.int64)
+        ends = np.cumsum(size)
+        partial = np.zeros(len(a), np.int64)
+        at = 0
+        while at < len(a):
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + LOOKUPS, "right")))
+            own = np.repeat(np.arange(at, stop), size[at:stop])
+            place = np.arange(len(own)) + base - (ends - size)[own] + edge[x[own]]
+            sought = code[place] + (y[own] - x[own]) * len(kinds)
+            found = np.minimum(np.searchsorted(code, sought), len(code) - 1)
+            partial[at:stop] = np.bincount(own - at, code[found] == sought, stop - at)
+            at = stop
+        some = partial > 0
+        yield from send(home(a[some], homes), [b[some].view(np.uint64), partial[some], need[some]], a[some], np.zeros(int(some.sum()), np.int64))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = receive(batches, 3)
+        if got is None:
+            return
+        (b, partial, need), a, _ = got
+        order = np.lexsort((b, a))
+        a, b, partial, need = a[order], b[order], partial[order].astype(np.int64), need[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        linked = first[np.add.reduceat(partial, first) >= need[first]]
+        yield pa.RecordBatch.from_pydict({"a": a[linked], "b": b[linked].view(np.int64)})
 
+    counted = sets.mapInArrow(tidy(spread), BLOCKS).repartitionById(parts, (F.col("part") / 2).cast("int")).mapInArrow(tidy(count), BLOCKS)
+    return counted.repartitionById(homes, "part").mapInArrow(tidy(total), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
+
+_BITS = [f"b{k}" for k in range(WORDS)]
+#: Shingles of one set that the bitmap of the other lacks; neither has them in common.
+_LACKS = " + ".join("bit_count({0}.b%d & ~{1}.b%d)" % (k, k) for k in range(WORDS))
+_ALIKE = f"7 * least(x.m - ({_LACKS.format('x', 'y')}), y.m - ({_LACKS.format('y', 'x')})) >= 3 * (x.n + y.n)"
 #: Of two sets that share a prefix shingle: their overlap is at most what either set shares at all ...
 _FITS = "7 * least(x.m, y.m) >= 3 * (x.n + y.n)"
 #: ... and, from their first common shingle on, at most what is left of either set; later ones leave less.
 _ROOM = "7 * least(x.m - x.at, y.m - y.at) >= 3 * (x.n + y.n)"
 
 
-def _candidates(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with the size and hash of their sets, sets that may link, and prefix shingles that sets have in common."""
+def _candidates(df: DataFrame, id_col: str, text_col: str, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with the size and hash of their sets, sets that may link, and prefix shingles that sets have in common, each with its most central set."""
     kind = dict(df.dtypes)[id_col]
     spark = small_batches(df.sparkSession)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -225,16 +326,27 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, sent = 0, set()
         for batch in batches:
             for part in cut(batch):
                 data, offsets = flat(part.column(1))
                 keys, of = shingles(data, offsets, width)
                 size, own = class_keys(keys, of, part.num_rows)
                 doc_type = part.column(0).type
-                yield _rows(doc_type, (own % np.uint64(parts)).astype(np.int32), doc_id=part.column(0), n=size, key=own.view(np.int64))
-                held.append((keys >> np.uint64(64 - BITS), own[of]))
-                if sum(len(x) for x, _ in held) > BLOCK_ROWS:
+                yield _rows(doc_type, (mix(own + np.arange(part.num_rows, dtype=np.uint64)) % np.uint64(parts)).astype(np.int32), doc_id=part.column(0), n=size, key=own.view(np.int64))
+                # of the copies that a task has, one sends the set
+                new = np.zeros(part.num_rows, bool)
+                for i, x in enumerate(own.tolist()):
+                    if size[i] and x not in sent:
+                        sent.add(x)
+                        new[i] = True
+                yield _rows(doc_type, (own[new] % np.uint64(parts)).astype(np.int32), n=size[new], key=own[new].view(np.int64), weight=np.zeros(int(new.sum())))
+                mine = new[of]
+                held.append((keys[mine] >> np.uint64(64 - BITS), own[of[mine]]))
+                rows += int(mine.sum())
+                if rows > BLOCK_ROWS:
                     yield from _flush(doc_type, held, parts)
+                    rows = 0
         if held:
             yield from _flush(doc_type, held, parts)
 
@@ -244,25 +356,47 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
             shingle = lists.flatten().to_numpy().view(np.uint64)
             keys = key.to_numpy().view(np.uint64)
             doc_type = batch.column("doc_id").type
-            yield _rows(doc_type, (keys % np.uint64(parts)).astype(np.int32), n=batch.column("n"), key=key)
+            yield _rows(doc_type, (keys % np.uint64(parts)).astype(np.int32), n=batch.column("n"), key=key, weight=np.zeros(len(key)))
             own = np.repeat(keys, lists.value_lengths().to_numpy())
             yield from _blocks(doc_type, _fragment(shingle, parts), shingle, own, np.zeros(len(own), np.uint8))
 
     schema = _ROWS.format(kind)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = checkpoint(_kept_sets(rows.mapInArrow(tidy(spread), schema), kind, parts, homes))
-    docs = first.where("shingles IS NULL").select("doc_id", "n", "key")
+    first = scratch.table(_kept_sets(rows.mapInArrow(tidy(spread), schema), kind, parts, homes))
+    docs = materialize(first.where("shingles IS NULL").select("doc_id", "n", "key"))
     # once more among those that are left: shared shingles of sets that dropped out don't count
     second = _kept_sets(first.where("shingles IS NOT NULL").mapInArrow(tidy(respread), schema), kind, parts, homes)
-    kept = checkpoint(second.where("shingles IS NOT NULL").select("key", "n", "shingles", "weight"))
+    kept = scratch.table(_with_bits(second.where("shingles IS NOT NULL").select("key", F.col("n").cast("int").alias("n"), "shingles", F.col("weight").cast("float").alias("weight"))))
 
     length = (F.size("shingles") - _least(F.col("n")) + 1).cast("int")
     prefix = kept.select("key", "n", F.size("shingles").alias("m"), "weight", F.posexplode(F.slice("shingles", 1, length)).alias("at", "s"))
-    several = prefix.groupBy("s").agg(F.count("*").alias("sets")).where("sets > 1").select("s")
-    shared = checkpoint(prefix.join(several, "s"))
+    central = prefix.groupBy("s").agg(F.max(F.struct("weight", "key", "n", "m")).alias("y"), F.count("*").alias("sets")).where("sets > 1").select("s", "y")
+    shared = scratch.table(prefix.join(central.hint("shuffle_hash"), "s"))
     return docs, kept, shared
 
 
+def _pair(x: str, y: str) -> list[Column]:
+    """a, b and need, the overlap that makes them a link: from 100 common >= 75 (n + n' - common)."""
+    need = F.ceil(F.lit(3) * (F.col(f"{x}.n") + F.col(f"{y}.n")) / F.lit(7)).cast("int").alias("need")
+    return [F.col(f"{x}.key").alias("a"), F.col(f"{y}.key").alias("b"), need]
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, condition: Column | None = None) -> DataFrame:
+    """Pairs of sets x of one table and y of the other that share a prefix shingle and can link; either goes first, by a hash, so none leads all of its pairs."""
+    both = (F.col("s") == F.col("s2")) & (F.col("x.key") < F.col("y.key")) & F.expr(_FITS) & F.expr(_ROOM)
+    met = left.join(right, both if condition is None else both & condition)
+    ahead = F.xxhash64("x.key", "y.key") % 2 == 0
+    x, y = F.when(ahead, F.col("x")).otherwise(F.col("y")), F.when(ahead, F.col("y")).otherwise(F.col("x"))
+    return met.select(x.alias("x"), y.alias("y")).select(*_pair("x", "y")).distinct()
+
+
+def _undecided(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """s, x and x's component, of prefix shingles whose sets are in two components or more."""
+    named = shared.join(label.select(F.col("node"), "label").hint("shuffle_hash"), F.col("x.key") == F.col("node"), "left").select("s", "x", F.coalesce("label", "x.key").alias("label"))
+    mixed = named.groupBy("s").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("s")
+    return named.join(mixed.hint("shuffle_hash"), "s")
+
+
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row: near-duplicate components at a Jaccard similarity of 0.75.
 
@@ -274,38 +408,36 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are never the smallest; a component of null ids only has a null id. Other columns are
     not read. An empty table gives no rows.
     """
-    docs, kept, shared = _candidates(df, id_col, text_col, width)
-    fits = F.expr(_FITS)
+    scratch = Scratch(df.sparkSession)
+    docs, kept, shared = _candidates(df, id_col, text_col, width, scratch)
     one = F.struct("key", "n", "m", "at")
-    ends = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
-
-    def labelled(label: DataFrame | None) -> DataFrame:
-        if label is None:
-            return shared.withColumn("label", F.col("key"))
-        return shared.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-
-    # stars: each set with a few members of each group that it shares a prefix shingle with, first with the most central one
-    tried, links, label = None, None, None
-    for turn in range(STARS):
-        rows = labelled(label)
-        order = F.col("weight") if not turn else F.xxhash64(F.lit(turn), "key")
-        seat = F.lit(0) if not turn else F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(CENTERS))
-        centers = rows.groupBy("s", seat.alias("seat")).agg(F.max(F.struct(order.alias("order"), "key", "n", "m", "at", "label")).alias("y"))
-        star = rows.join(centers, "s").where("label <> y.label").select(one.alias("x"), "y").where(fits).select(*ends).distinct()
-        star = checkpoint(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+    # stars: each set with the most central one that it shares a prefix shingle with
+    met = shared.select(one.alias("x"), "y").where(f"x.key <> y.key AND {_FITS}")
+    star = met.groupBy("x.key").agg(F.max_by(F.struct("x", "y"), F.struct("y.weight", "y.key")).alias("p")).select(*_pair("p.x", "p.y"))
+    links = checkpoint(_measure(star, kept))
+    label = components(links)
+    bits = kept.select(F.col("key").alias("own"), *_BITS)
+    left = _undecided(shared.select("s", one.alias("x")), label).join(bits.hint("shuffle_hash"), F.col("x.key") == F.col("own"))
+    shared = scratch.table(left.select("s", F.struct("x.*", *_BITS).alias("x"), "label"))
+    # then with members of groups that are still in several components, one of each component for a set
+    for turn in range(1, STARS):
+        if shared.isEmpty():
+            break
+        seat = F.pmod(F.xxhash64("x.key", F.lit(turn)), F.lit(CENTERS))
+        centers = shared.groupBy("s", seat.alias("seat")).agg(F.max(F.struct(F.xxhash64(F.lit(turn), "x.key").alias("order"), "x", "label")).alias("y")).select("s", F.col("y.x").alias("y"), F.col("y.label").alias("other"), F.col("y.order").alias("order"))
+        met = shared.join(centers, "s").where(f"label <> other AND {_FITS} AND {_ROOM} AND {_ALIKE}")
+        star = met.groupBy("x.key", "other").agg(F.max_by(F.struct("x", "y"), F.struct("order", "y.key")).alias("p")).select(*_pair("p.x", "p.y")).distinct()
         found = checkpoint(_measure(star, kept))
-        tried, links = (star, found) if tried is None else (tried.unionByName(star), links.unionByName(found))
+        links = links.unionByName(found)
         label = components(links)
+        shared = scratch.table(_undecided(shared.select("s", "x"), label))
 
     # then all pairs that share a prefix shingle and that no star has brought together
-    named = labelled(label)
-    mixed = named.groupBy("s").agg(F.min("label").alias("lowest"), F.max("label").alias("highest")).where("lowest < highest").select("s")
-    left = named.join(mixed, "s").select("s", "label", one.alias("x"))
-    right = left.select(F.col("s").alias("s2"), F.col("label").alias("label2"), F.col("x").alias("y"))
-    room = F.expr(_ROOM)
-    cross = left.join(right, (F.col("s") == F.col("s2")) & (F.col("x.key") < F.col("y.key")) & (F.col("label") != F.col("label2")) & fits & room)
-    rest = cross.select(*ends).distinct()
-    label = components(links.unionByName(_measure(rest.join(tried, ["a", "b"], "left_anti"), kept)))
+    if not shared.isEmpty():
+        right = shared.select(F.col("s").alias("s2"), F.col("label").alias("label2"), F.col("x").alias("y"))
+        rest = _all_pairs(shared, right, (F.col("label") != F.col("label2")) & F.expr(_ALIKE))
+        label = components(links.unionByName(_measure(rest, kept)))
+    scratch.drop()
 
     own = docs.groupBy("key").agg(F.min("doc_id").alias("smallest")).where("key IS NOT NULL")
     joined = own.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -316,16 +448,19 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _class_links(kept: DataFrame, shared: DataFrame) -> DataFrame:
-    one = F.struct("key", "n", "m", "at")
-    left, right = shared.select("s", one.alias("x")), shared.select(F.col("s").alias("s2"), one.alias("y"))
-    pairs = left.join(right, (F.col("s") == F.col("s2")) & (F.col("x.key") < F.col("y.key")) & F.expr(_FITS) & F.expr(_ROOM))
-    return _measure(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), kept)
+    one = F.struct("key", "n", "m", "at", *_BITS)
+    bits = kept.select("key", *_BITS).hint("shuffle_hash")
+    left = shared.select("s", "key", "n", "m", "at").join(bits, "key").select("s", one.alias("x"))
+    return _measure(_all_pairs(left, left.select(F.col("s").alias("s2"), F.col("x").alias("y")), F.expr(_ALIKE)), kept)
 
 
 def class_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """a, b of every two classes (see jaccard_classes) with a similarity of 0.75 or more, a < b; none is left out inside a component."""
-    _, kept, shared = _candidates(df, id_col, text_col, width)
-    return _class_links(kept, shared)
+    scratch = Scratch(df.sparkSession)
+    _, kept, shared = _candidates(df, id_col, text_col, width, scratch)
+    links = checkpoint(_class_links(kept, shared))
+    scratch.drop()
+    return links
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -333,8 +468,10 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Copies are in one class and not counted. An empty set has no class and no links.
     """
-    docs, kept, shared = _candidates(df, id_col, text_col, width)
+    scratch = Scratch(df.sparkSession)
+    docs, kept, shared = _candidates(df, id_col, text_col, width, scratch)
     links = checkpoint(_class_links(kept, shared))
+    scratch.drop()
     counts = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     own = docs.withColumn("key", F.when(F.col("n") > 0, F.col("key")))
     return own.join(counts, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
