@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import query_terms
+from lexmill.functions.text import STOPWORDS, query_terms
 
 # The patterns of each route, routes in order of precedence.
 PATTERNS = {
@@ -48,9 +49,11 @@ def plan_column(text: Column) -> Column:
     return F.struct(route(text).alias("route"), by_route(CONFIDENCE).alias("confidence"), by_route(REASON).alias("reason"), query_terms(text).alias("terms"))
 
 
-def plan_query(spark: SparkSession, query: str, scope: str | None = None) -> Plan:
-    """The plan of one query; an explicit version scope decides for evolution."""
+def plan_query(query: str, scope: str | None = None) -> Plan:
+    """The plan of one query, as plan_column() has it but without a job; an explicit version scope decides for evolution."""
     if scope is not None:
         return Plan("evolution", 1.0, "a version scope was given", ())
-    row = spark.createDataFrame([(query,)], "text string").select(plan_column(F.col("text")).alias("p")).first().p
-    return Plan(row.route, row.confidence, row.reason, tuple(row.terms))
+    text = query.strip()
+    name = next((k for k, patterns in PATTERNS.items() if any(re.search(p, text, re.I) for p in patterns)), "semantic")
+    words = dict.fromkeys(w for w in re.findall(r"\b[A-Za-z_][A-Za-z0-9_.]*\b", text) if w.lower() not in STOPWORDS)
+    return Plan(name, CONFIDENCE[name], REASON[name], tuple(words)[:12])

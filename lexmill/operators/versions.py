@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def carry_forward(events: DataFrame, commits: DataFrame) -> DataFrame:
     """
     window = Window.partitionBy("path").orderBy("commit_ord")
     last = commits.agg(F.max("commit_ord").alias("last"))  # one row
-    spans = events.withColumn("until", F.lead("commit_ord").over(window)).where("version IS NOT NULL").join(F.broadcast(last), how="full").where("version IS NOT NULL")
+    spans = events.withColumn("until", F.lead("commit_ord").over(window)).where("version IS NOT NULL").crossJoin(F.broadcast(last))
     ends = F.coalesce(F.col("until") - 1, F.col("last"))
     return spans.where(F.col("commit_ord") <= ends).select(F.explode(F.sequence("commit_ord", ends)).alias("commit_ord"), "path", "version")
 
@@ -93,27 +95,78 @@ def in_scope(records: DataFrame, scope: str, order: str, snapshots: DataFrame |
     return records.join(chosen, ["logical_id", "version"], "left_semi").where(live)
 
 
-def append(stored: DataFrame, incoming: DataFrame, order: str = "append_seq", threshold: float = APPEND_THRESHOLD, strict: bool = False) -> DataFrame:
-    """The new rows to add: versions not stored yet, numbered after the stored ones and classified against them.
+#: What a version's record holds; incoming ones may lack all but the first three, and `vec`.
+RECORD = "logical_id string, version string, code string, title string, language string, metadata map<string,string>"
+
 
-    incoming: logical_id, version, code, arrival, and deleted. Versions already stored are skipped, or an error
+def append(
+    stored: DataFrame,
+    incoming: DataFrame,
+    order: str = "append_seq",
+    threshold: float = APPEND_THRESHOLD,
+    strict: bool = False,
+    fingerprint: Callable[[Column], Column] | None = None,
+    encode: Callable[[Column], Column] | None = None,
+    dims: int = 0,
+) -> DataFrame:
+    """The new rows to add: versions not stored yet, numbered after the stored ones and classified against them, with all their columns.
+
+    incoming: logical_id, version, code, arrival, deleted, and whatever else a record holds. Versions already stored are skipped, or an error
     if strict; so are repeats within the batch, of which the first arrival counts. Only the last stored
     version of the lineages at hand is read beside the new rows.
+
+    fingerprint says when two codes are the same, functions.code.code_fingerprint for Python; by default texts are compared with white space
+    collapsed. With encode, a column function from code to a vector of `dims` numbers, rows get `vec`: only changed versions are encoded, an unchanged one
+    takes the vector of the version before, a deleted one has zeros. stored then has vec as well.
     """
     key = ["logical_id", "version"]
     if strict and not incoming.join(stored, key, "left_semi").isEmpty():
         raise InvalidHistory("a version is stored already")
+    others = [c for c in incoming.columns if c not in (*key, "code", "arrival", "deleted", "vec", "fingerprint", "previous_similarity", "change_type", order)]
     new = incoming.join(stored, key, "left_anti")
     first = Window.partitionBy(*key).orderBy("arrival")
     new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    last = stored.groupBy("logical_id").agg(F.max_by(F.struct("version", "code"), order).alias("last"), F.max(order).alias("seq")).join(new.select("logical_id").distinct(), "logical_id", "left_semi")
-    base = last.select("logical_id", "last.version", "last.code", F.lit(-1).cast("long").alias("arrival"), F.lit(False).alias("deleted"), F.lit(True).alias("_old"))
-    rows = base.unionByName(new.select("logical_id", "version", "code", F.col("arrival").cast("long").alias("arrival"), F.col("deleted"), F.lit(False).alias("_old")))
-    out = changes(rows, "arrival", threshold, deleted=F.col("deleted"))
+    held = [c for c in ("version", "code", *(["vec"] if encode is not None else []))]
+    last = stored.groupBy("logical_id").agg(F.max_by(F.struct(*held), order).alias("last"), F.max(order).alias("seq")).join(new.select("logical_id").distinct(), "logical_id", "left_semi")
+    base = last.select("logical_id", "last.*", F.lit(-1).cast("long").alias("arrival"), F.lit(False).alias("deleted"), F.lit(True).alias("_old"))
+    rows = new.select(*key, "code", F.col("arrival").cast("long").alias("arrival"), "deleted", *others, F.lit(False).alias("_old"))
+    rows = base.unionByName(rows, allowMissingColumns=True)
+    out = changes(rows, "arrival", threshold, None if fingerprint is None else fingerprint(F.col("code")), deleted=F.col("deleted"))
+    if encode is not None:
+        out = _with_vectors(out, encode, dims)
     start = last.select("logical_id", "seq")
     nth = F.row_number().over(Window.partitionBy("logical_id").orderBy("arrival"))
     fresh = out.where(~F.col("_old")).withColumn("_nth", nth).join(start, "logical_id", "left")
-    return fresh.select("logical_id", "version", "code", "fingerprint", "previous_similarity", "change_type", (F.coalesce("seq", F.lit(-1)) + F.col("_nth")).alias(order))
+    made = ["vec"] if encode is not None else []
+    return fresh.select(*key, "code", *others, "fingerprint", "previous_similarity", "change_type", *made, (F.coalesce("seq", F.lit(-1)) + F.col("_nth")).alias(order))
+
+
+def _with_vectors(out: DataFrame, encode: Callable[[Column], Column], dims: int) -> DataFrame:
+    wanted = ~F.col("_old") & ~F.col("change_type").isin("unchanged", "deleted")
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dims)
+    rest = out.where(~wanted).withColumn("vec", F.when(F.col("change_type") == "deleted", zeros).otherwise(F.col("vec")))
+    both = out.where(wanted).drop("vec").withColumn("vec", encode(F.col("code"))).unionByName(rest)
+    before = Window.partitionBy("logical_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("vec", F.last("vec", ignorenulls=True).over(before))
+
+
+def storage(log: DataFrame, vec: str = "vec") -> DataFrame:
+    """One row: lineages, versions, bytes of their vectors in all and of one."""
+    return log.agg(F.count_distinct("logical_id").alias("lineages"), F.count("*").alias("versions"), F.coalesce(F.sum(4 * F.size(vec)), F.lit(0)).alias("vector_bytes"), F.coalesce(F.max(4 * F.size(vec)), F.lit(0)).alias("bytes_per_version"))
+
+
+def commit_events(files: DataFrame, baseline: bool = False) -> DataFrame:
+    """commit_ord, commit, path, version, code, operation of every change: added, modified or deleted.
+
+    files: commit_ord, commit, path, version (null where a commit lacks the path), code; versions name contents. With baseline, what the first commit
+    holds was there before.
+    """
+    window = Window.partitionBy("path").orderBy("commit_ord")
+    rows = files.withColumns({"_before": F.lag("version").over(window), "_n": F.row_number().over(window)})
+    changed = rows.where(~F.col("version").eqNullSafe(F.col("_before")))
+    first = F.lit("baseline") if baseline else F.lit("added")
+    operation = F.when(F.col("version").isNull(), "deleted").when(F.col("_n") == 1, first).when(F.col("_before").isNull(), "added").otherwise("modified")
+    return changed.withColumn("operation", operation).drop("_before", "_n")
 
 
 def pending(wanted: DataFrame, cached: DataFrame, *key: str) -> DataFrame:

@@ -22,6 +22,22 @@ def check_path(path: str) -> str:
     return path
 
 
+def listed(repo: str, ref: str = "HEAD", most: int = 20) -> list[str]:
+    """The last commits of a reference along first parents, oldest first."""
+    if most < 1:
+        raise ValueError("at least one commit must be asked for")
+    tip = git(repo, "rev-parse", "--verify", "--end-of-options", f"{ref}^{{commit}}").decode().strip()
+    return git(repo, "rev-list", "--first-parent", "--reverse", f"--max-count={most}", tip).decode().split()
+
+
+def is_ancestor(repo: str, old: str, new: str) -> bool:
+    return subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, "merge-base", "--is-ancestor", old, new], capture_output=True).returncode == 0
+
+
+def has_parents(repo: str, sha: str) -> bool:
+    return len(git(repo, "rev-list", "--parents", "-n", "1", sha).split()) > 1
+
+
 class Commit(InputPartition):
     def __init__(self, order: int, sha: str):
         self.order, self.sha = order, sha
@@ -32,11 +48,10 @@ class Reader(DataSourceReader):
         self.repo, self.ref = options["path"], options.get("ref", "HEAD")
         self.most = int(options.get("max_commits", "20"))
         self.paths = [check_path(p) for p in options["files"].split(",")]
+        self.commits = options["commits"].split(",") if options.get("commits") else None
 
     def partitions(self) -> Sequence[InputPartition]:
-        tip = git(self.repo, "rev-parse", "--verify", f"{self.ref}^{{commit}}").decode().strip()
-        listed = git(self.repo, "rev-list", "--first-parent", f"--max-count={self.most}", tip).decode().split()
-        return [Commit(i, sha) for i, sha in enumerate(reversed(listed))]
+        return [Commit(i, sha) for i, sha in enumerate(self.commits if self.commits is not None else listed(self.repo, self.ref, self.most))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, Commit)
@@ -52,7 +67,7 @@ class Reader(DataSourceReader):
 
 
 class GitSource(DataSource):
-    """spark.dataSource.register(GitSource); format("lexmill_git") with options path, files, ref, max_commits.
+    """spark.dataSource.register(GitSource); format("lexmill_git") with options path, files, ref, max_commits, or commits.
 
     The repository must be at that path on every executor. A path that a commit doesn't have gives nulls.
     """

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import code as code_functions
-from lexmill.functions.scores import standardize
+from lexmill.functions.scores import numbered, standardize
 from lexmill.operators import dense, encode, fusion, learned, lexical, metrics, router, symbolic, validation, versions
 from lexmill.plans.search import Engine, InvalidRequest, Request, Unavailable, main, status
 from lexmill.sources import io
@@ -45,7 +45,10 @@ def test_routes(spark):
     assert [r.p.route for r in got] == [*want, "semantic"]
     terms = {r.qid: list(r.p.terms) for r in got}
     assert terms[3] == ["parse_config", "save_config"] and terms[4] == ["torch.nn.Linear"] and terms[7] == [] and terms[9] == ["nested", "loops"]
-    assert router.plan_query(spark, "anything", "latest").confidence == 1.0
+    assert router.plan_query("anything", "latest").confidence == 1.0
+    for (_, text), r in zip(ASKED, got, strict=False):
+        plan = router.plan_query(f" {text} ")
+        assert (plan.route, plan.confidence, plan.reason, list(plan.terms)) == (r.p.route, r.p.confidence, r.p.reason, list(r.p.terms))
 
 
 def test_fusion_is_invariant(spark):
@@ -68,9 +71,78 @@ def test_dense_blocks_and_nulls(spark):
 
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, None)], "doc_id int, text string")
-    got = {r.doc_id: r.score for r in lexical.bm25(spark.createDataFrame([(0, "b b")], "qid int, text string"), docs).collect()}
+    got = {r.doc_id: r.score for r in lexical.bm25(spark.createDataFrame([(0, "b b"), (1, None), (2, "unseen")], "qid int, text string"), docs).collect()}
     idf = math.log(3 - 1 + 0.5) - math.log(1.5)
-    assert got == {1: pytest.approx(2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / (5 / 3))))}
+    assert got == {1: pytest.approx(2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / (5 / 3))), abs=1e-6)}
+    many = spark.createDataFrame([(i, "a b") for i in range(1500)], "qid int, text string")
+    assert lexical.bm25(many, docs, depth=1).count() == 1500  # two blocks of queries, equal scores by id
+    assert lexical.bm25(many.limit(0), docs).count() == 0 and lexical.bm25(many, docs.limit(0)).count() == 0
+
+
+def test_heads_against_whole_rankings(spark):
+    rng = np.random.default_rng(5)
+    vec = lambda: [float(x) for x in rng.integers(-2, 3, 6)]
+    docs = spark.createDataFrame([*((i, vec()) for i in range(300)), (999, None)], "doc_id int, vec array<double>").repartition(7)
+    asks = spark.createDataFrame([(i, vec()) for i in range(40)], "qid int, vec array<double>")
+    parts, weights = {"a": (0, 4), "b": (4, 6)}, {"a": 0.6, "b": 0.4}
+    whole = fusion.fuse(dense.scores(asks, docs, parts), weights).withColumn("score", F.round("score", 6))
+    for depth in (1, 3, 20, 500):
+        want = {(r.qid, r.rank): (r.doc_id, r.score) for r in dense.top_k(whole, depth).collect()}
+        got = {(r.qid, r.rank): (r.doc_id, r.score) for r in dense.fused_head(asks, docs, parts, weights, depth, block=16).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
+    assert dense.fused_head(asks.limit(0), docs, parts, weights, 3).count() == 0
+
+
+def test_ordered_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 12)), i, rng.choice(["x", "y", "z"]).item(), int(rng.integers(0, 9)), [None, "f", "g"][rng.integers(0, 3)]) for i in range(400)]
+    got = symbolic.ordered_pairs(spark.createDataFrame(rows, "id int, n int, name string, line int, f string"), F.col("name") == "x", F.col("name") == "y", ["f"], "line", "n")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[2] == "x" and b[2] == "y" and a[4] == b[4] and a[3] < b[3]:
+                want[a[0]] = min(want.get(a[0], (1e9, 1e9)), (a[1], b[1]))
+    assert {r.id: (r.a_n, r.b_n) for r in got.collect()} == want
+
+
+def test_numbers_in_order(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(rng.integers(0, 40))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "qid int, margin double")
+    got = {r.qid: r.place for r in numbered(df, "margin", "qid").collect()}
+    assert got == {q: i + 1 for i, (q, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    for share in (0.0, 0.3, 0.517, 1.0):
+        assert fusion.threshold(df, share).first().threshold == pytest.approx(np.quantile([m for _, m in rows], share))
+        assert fusion.lowest_share(df, share).count() == int(1000 * share)
+    assert fusion.threshold(df.limit(0)).first().threshold is None
+
+
+def test_bootstrap_is_a_poisson_resample(spark):
+    rng = np.random.default_rng(8)
+    values = rng.normal(0.1, 1.0, 800)
+    r = metrics.bootstrap(spark.createDataFrame([(f"q{i}", float(v)) for i, v in enumerate(values)], "qid string, delta double")).first()
+    spread = 1.96 * values.std() / np.sqrt(800)
+    assert r.mean == pytest.approx(values.mean(), abs=0.01) and r.low == pytest.approx(values.mean() - spread, abs=0.03) and r.high == pytest.approx(values.mean() + spread, abs=0.03)
+    ranks = lambda *x: spark.createDataFrame([(v,) for v in x], "rank int")
+    assert metrics.accepted(spark.createDataFrame([(0.1,)], "low double"), ranks(2, 200), ranks(1, 300)).first().accepted
+    assert not metrics.accepted(spark.createDataFrame([(0.1,)], "low double"), ranks(1), ranks(2)).first().accepted
+    assert not metrics.accepted(spark.createDataFrame([(-0.1,)], "low double"), ranks(2), ranks(1)).first().accepted
+
+
+def test_checks_of_sets_and_partitions(spark):
+    ids = lambda *x: spark.createDataFrame([(v,) for v in x], "id string")
+    assert tuple(validation.same_ids(ids("a", "b"), ids("b", "a")).first()) == (True, 0, 0, 0)
+    assert tuple(validation.same_ids(ids("a", "b", "b"), ids("a", "c")).first()) == (False, 1, 1, 1)
+    assert sorted(r.id for r in validation.only_keys(ids("a", "b", "b"), ids("b", "b", "z"), "id").collect()) == ["b", "b"]
+    with pytest.raises(ValueError):
+        validation.in_partition(ids("a"), "valid", "id")
+    rows = spark.createDataFrame([(i,) for i in range(2000)], "k int")
+    assert validation.hash_sample(rows, 50, 1, "k").collect() == validation.hash_sample(rows.repartition(3), 50, 1, "k").collect()
+    shares = {r[0]: r[1] for r in rows.groupBy(validation.hash_split(F.col("k"), 0.8, 3).alias("part")).count().collect()}
+    assert shares.keys() == {"train", "validation"} and 1500 < shares["train"] < 1700
+    assert validation.parity({"a": 1.0, "b": 2.0}, {"a": 1.0, "b": 2.1, "c": 0.0}) == ["b: 2.0 is not 2.1", "c: None is not 0.0"]
+    scorer = encode.pair_scorer(lambda: lambda pairs: [float(len(a) - len(b)) for a, b in pairs])
+    assert [r.s for r in spark.createDataFrame([("abc", "a"), (None, "ab")], "a string, b string").select(scorer("a", "b").alias("s")).collect()] == [2.0, -2.0]
 
 
 def test_metrics_by_hand(spark):
@@ -220,7 +292,8 @@ def test_learned_fusion(spark):
 
 def test_requests():
     assert Request("  find code  ").query == "find code"
-    for bad in (("",), ("  ",), ("x", 0), ("x", 51), ("x" * 20_001,), ("x", 5, "yesterday")):
+    assert (Request("x", scope="commit:abc").scope, Request("x", scope="commit:abc").commit, Request("x", scope=None).scope) == ("commit", "abc", "auto")
+    for bad in (("",), ("  ",), ("x", 0), ("x", 51), ("x" * 20_001,), ("x", 5, "yesterday"), ("x", 5, "commit"), ("x", 5, "commit:")):
         with pytest.raises(InvalidRequest):
             Request(*bad)
     assert (status(InvalidRequest()), status(Unavailable()), status(KeyError())) == (422, 503, 500)
@@ -237,6 +310,18 @@ def test_search(spark):
     assert [r["id"] for r in engine.search(Request("which files import os?"))["results"]] == ["s1"]
     hits = engine.search(Request("anything", scope="all"))["results"]
     assert [r["version"] for r in hits] == ["r1", "r2"] and len(hits[0]["timeline"]) == 2
+    assert found["retrieval"]["reranker_triggered"] is False and found["retrieval"]["confidence_margin"] > 0 and [x["step"] for x in found["execution"]["steps"]] == ["plan", "semantic"]
+    engine.scorer, engine.threshold = encode.pair_scorer(lambda: lambda pairs: [float(len(code)) for _, code in pairs]), 100.0
+    again = engine.search(Request("sorts a string"))
+    assert again["retrieval"]["reranker_triggered"] and again["results"][0]["id"] == "s1" and {r["id"]: r["score"] for r in again["results"]} == pytest.approx({r["id"]: r["score"] for r in found["results"]})
+    engine.blend = 1.0
+    assert [r["id"] for r in engine.search(Request("sorts a string", 2))["results"]] == ["s2", "s1"]  # by length of code alone
+    engine.threshold = -1.0
+    assert engine.search(Request("sorts a string"))["retrieval"]["reranker_triggered"] is False
+    engine.corpus = corpus.where("id <> 's3'")
+    with pytest.raises(Exception, match="no document s3"):
+        engine.search(Request("sorts a string"))
+    engine.corpus = corpus
     assert Engine(spark, corpus).search(Request("version history"))["execution"]["available"] is False
     with pytest.raises(Unavailable):
         Engine(spark, corpus).search(Request("sorts a string"))
