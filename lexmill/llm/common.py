@@ -112,6 +112,39 @@ def keep_rows(df: DataFrame, mask: Callable[[pa.Array], np.ndarray], text_col: s
     return df.mapInArrow(tidy(run), df.schema)
 
 
+#: Characters from which a text is worked through in pieces.
+LONG = 1 << 20
+_BETWEEN = re.compile(r"(?<=\w) (?=\w)")
+
+
+def at_blanks(texts: list[str | None], most: int | None = None) -> tuple[list[str | None], np.ndarray]:
+    """Texts cut at the next blank between two words after every `most` characters, without that blank, and the first piece of each text (n+1 of them)."""
+    most = most or LONG
+    pieces: list[str | None] = []
+    first = [0]
+    for text in texts:
+        at = 0
+        while text is not None and len(text) - at > most and (m := _BETWEEN.search(text, at + most)):
+            pieces.append(text[at : m.start()])
+            at = m.end()
+        pieces.append(text[at:] if at else text)
+        first.append(len(pieces))
+    return pieces, np.array(first)
+
+
+def by_size(pieces: list[str | None], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of pieces with about `most` characters."""
+    most = most or LONG
+    at = size = 0
+    for i, x in enumerate(pieces):
+        size += len(x or "")
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(pieces):
+        yield at, len(pieces)
+
+
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values in each [offsets[i], offsets[i+1])."""
     total = np.zeros(len(values) + 1, np.int64)

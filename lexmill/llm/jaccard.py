@@ -13,6 +13,7 @@ Sets that a group's most central member already links are not paired with each o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .blocks import BLOCKS, home, receive, send
 from .blocks import read_block as read_pairs
-from .common import BYTE_WORD, LOWER, Scratch, checkpoint, cut, flat, free_name, groups, materialize, mix, prefix_hash, small_batches, span_hash, stored_bytes, text_salt, tidy, word_spans
+from .common import BYTE_WORD, LONG, LOWER, Scratch, at_blanks, checkpoint, cut, flat, free_name, groups, materialize, mix, prefix_hash, small_batches, span_hash, stored_bytes, text_salt, tidy, word_spans
 from .graph import components
 
 #: Bits of a shingle's identity; two different shingles of two linked sets collide once in 2^48 / n^2.
@@ -64,6 +65,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return keys[own], of[own]
 
 
+def long_shingles(text: str, width: int, most: int = LONG) -> np.ndarray:
+    """Distinct shingle hashes of one long text, piece by piece, each with the words that its last windows reach into."""
+    white, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+    reach, whole = re.compile(f"(?:{white}+{word}){{{width - 1}}}"), re.compile(f"{white}*{word}(?:{white}+{word}){{{width - 1}}}")
+    keys, at = np.zeros(0, np.uint64), 0
+    pieces, _ = at_blanks([text], most)
+    for i, piece in enumerate(pieces):
+        if i and not whole.match(text, at):
+            break  # the windows that start here would be too short
+        end = at + len(piece)
+        more = reach.match(text, end)
+        own, _ = shingles(*flat(pa.array([text[at : more.end() if more else len(text)]])), width)
+        keys = np.unique(np.concatenate([keys, own]))
+        at = end + 1
+    return keys
+
+
 def class_keys(keys: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Size of each text's set, and a hash of it."""
     size = np.bincount(of, minlength=n)
@@ -329,8 +347,11 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, width: int, scratch:
         rows, sent = 0, set()
         for batch in batches:
             for part in cut(batch):
-                data, offsets = flat(part.column(1))
-                keys, of = shingles(data, offsets, width)
+                if part.num_rows == 1 and len(text := part.column(1)[0].as_py() or "") > LONG:
+                    keys = long_shingles(text, width)
+                    of = np.zeros(len(keys), np.int64)
+                else:
+                    keys, of = shingles(*flat(part.column(1)), width)
                 size, own = class_keys(keys, of, part.num_rows)
                 doc_type = part.column(0).type
                 yield _rows(doc_type, (mix(own + np.arange(part.num_rows, dtype=np.uint64)) % np.uint64(parts)).astype(np.int32), doc_id=part.column(0), n=size, key=own.view(np.int64))

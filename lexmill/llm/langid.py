@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, cut, keep_rows, mix, per_row, small_batches, tidy
+from .common import at_blanks, by_size, checkpoint, cut, keep_rows, mix, per_row, small_batches, tidy
 
 #: Shares of a language's n-grams that an n-gram must have to belong to it; all belong to the last tier.
 TIERS = (2.0**-12, 2.0**-15, 0.0)
@@ -112,11 +112,19 @@ class Filter:
         return np.stack([per_row(found[:, k // width] >> found.dtype.type(k % width) & found.dtype.type(1), edges) for k in range(len(self.wrong))], 1)
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        keys, of, letters = ngrams(texts)
-        if not self.langs:
+        if not self.langs or not texts:
             return ["und"] * len(texts), np.zeros(len(texts))
-        total = np.maximum(np.bincount(of, minlength=len(texts)), 1)[:, None]
-        share = np.where(self.wrong < 1, (self.counts(keys, of, len(texts)) / total - self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0)
+        pieces, first = at_blanks(texts)
+        found, totals, lettered = [], [], []
+        for a, b in by_size(pieces):
+            keys, of, has = ngrams(pieces[a:b])
+            found.append(self.counts(keys, of, b - a))
+            totals.append(np.bincount(of, minlength=b - a))
+            lettered.append(has)
+        counts, total = np.add.reduceat(np.concatenate(found), first[:-1]), np.add.reduceat(np.concatenate(totals), first[:-1])
+        letters = np.logical_or.reduceat(np.concatenate(lettered), first[:-1])
+        total = np.maximum(total, 1)[:, None]
+        share = np.where(self.wrong < 1, (counts / total - self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0)
         share = share.reshape(len(texts), len(self.langs), self.tiers).mean(2)
         best = share.argmax(1)  # of equal ones, the language with most training n-grams
         score = np.where(letters, np.clip(share[np.arange(len(texts)), best], 0, 1), 0)
@@ -143,10 +151,13 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", tiers:
         for batch in batches:
             for part in cut(batch):
                 langs, which = np.unique(np.array(part.column(0).to_pylist(), object), return_inverse=True)
-                keys, of, _ = ngrams(part.column(1).to_pylist())
-                for k, lang in enumerate(langs):
-                    gram, n = np.unique(keys[which[of] == k], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": gram.view(np.int64), "n": n})
+                pieces, first = at_blanks(part.column(1).to_pylist())
+                which = np.repeat(which, np.diff(first))
+                for a, b in by_size(pieces):
+                    keys, of, _ = ngrams(pieces[a:b])
+                    for k, lang in enumerate(langs):
+                        gram, n = np.unique(keys[which[a:b][of] == k], return_counts=True)
+                        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": gram.view(np.int64), "n": n})
 
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -182,7 +193,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", tiers:
         for k, own in joined.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["chunk", "masks"])
 
-    chunks = counts.mapInArrow(tidy(fill), "chunk int, masks binary").repartition(CHUNKS, "chunk").mapInArrow(tidy(join), "chunk int, masks binary")
+    chunks = counts.mapInArrow(tidy(fill), "chunk int, masks binary").repartitionById(CHUNKS, "chunk").mapInArrow(tidy(join), "chunk int, masks binary")
     got = sorted(chunks.collect(), key=lambda r: r.chunk)  # CHUNKS rows, the whole filter
     return Filter.of(langs, len(tiers), np.frombuffer(b"".join(r.masks for r in got), kind).reshape(slots, words))
 

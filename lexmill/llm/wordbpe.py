@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import groups, map_texts, mix, prefix_hash, span_hash
+from .common import at_blanks, by_size, groups, map_texts, mix, prefix_hash, span_hash
 
 #: Pre-tokens and ids that a process keeps from earlier batches; at the limit it starts anew.
 CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
@@ -202,7 +202,15 @@ class WordBpe:
         return at[own], ends[own]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and the n+1 offsets of the texts."""
+        """Ids of all texts end to end, and the n+1 offsets of the texts. Long ones are cut at blanks, which no token holds."""
+        pieces, first = at_blanks(texts)
+        if len(pieces) == len(texts):
+            return self.encode_whole(texts)
+        made = [self.encode_whole(pieces[a:b]) for a, b in by_size(pieces)]
+        ends = np.append(0, np.cumsum(np.concatenate([np.diff(at) for _, at in made])))
+        return np.concatenate([ids for ids, _ in made]), ends[first]
+
+    def encode_whole(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         points, text_ends = self.points(texts)
         begin, end = self.spans(points)
         if not len(begin):

@@ -221,3 +221,30 @@ def test_media_round_trip_and_resync():
     t = media.scan(bytes(flipped))
     assert (~media.check_sums(np.frombuffer(bytes(flipped), np.uint8), t["sums"], [0] * len(t["sums"]))).sum() == 1
     assert media.scan(b"") ["offsets"] == [] and media.scan(b"\xff" * 500)["offsets"] == []
+
+
+@pytest.mark.parametrize("most", [7, 60, 1000])
+def test_long_texts_in_pieces(monkeypatch, most):
+    """Every kernel that cuts long texts gives what it gives for whole ones."""
+    import tokenizers
+
+    from lexmill.llm import jaccard, langid, lm
+
+    texts = [*odd_texts(), None, "", "x" * 300, "the quick brown fox " * 90, "Straße \u03a3\u03a3 naïve café 日本 語 " * 40, "a  b\tc\nd 1 2 3 " * 60, "it's don't <|endoftext|> we'll " * 30, "one two three", "é\u0301 \u0301e " * 50]
+    bpe, library = wordbpe.load(WORD_BPE), tokenizers.Tokenizer.from_file(WORD_BPE)
+    masks = langid.Filter.empty(2, 1, 1 << 12)
+    for k, t in enumerate(texts[:40]):
+        own, *_ = langid.ngrams([t])
+        langid.Filter.add(masks, own, np.full(len(own), k % 2))
+    model = langid.Filter.of(["a", "b"], 1, masks)
+    whole = model.decide(texts), [jaccard.shingles(*flat(pa.array([t or ""])), 5)[0] for t in texts]
+    monkeypatch.setattr(common, "LONG", most)
+    ids, offsets = bpe.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
+        assert sorted(jaccard.long_shingles(t or "", 5, most).tolist()) == sorted(whole[1][i].tolist()), t
+    again = model.decide(texts)
+    assert again[0] == whole[0][0] and again[1] == pytest.approx(whole[0][1])
+    pieces, first = common.at_blanks(texts)
+    n, _, _, count = lm._word_counts(*flat(pa.array(pieces, pa.string())))
+    assert count.sum() == n.sum() == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts)
