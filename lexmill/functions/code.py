@@ -230,5 +230,10 @@ def canonical_code(code: pd.Series) -> pd.Series:
     return pd.Series([canonical(x) for x in code])
 
 
+# Results only depend on the code; said to vary, these are evaluated once a row, and not again for each filter on what they return.
+metadata = metadata.asNondeterministic()
+canonical_code = canonical_code.asNondeterministic()
+
+
 def code_fingerprint(code: Column) -> Column:
     return F.sha2(canonical_code(code), 256)

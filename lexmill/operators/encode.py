@@ -53,3 +53,33 @@ def encode_missing(texts: DataFrame, cache: DataFrame, encode, sig: str, *key: s
     """Rows to append to a cache (key, sig, vec): encodings of texts that it doesn't hold under this signature."""
     left = pending(texts, cache.where(F.col("sig") == sig).select(*key), *key)
     return left.select(*key, F.lit(sig).alias("sig"), encode(F.col("text")).alias("vec"))
+
+
+def score_missing(pairs: DataFrame, cache: DataFrame, score, sig: str, *key: str) -> DataFrame:
+    """Rows to append to a cache of pair scores (key, sig, score): those of (key, query, code) that it doesn't hold under this signature."""
+    left = pending(pairs, cache.where(F.col("sig") == sig).select(*key), *key)
+    return left.select(*key, F.lit(sig).alias("sig"), score(F.col("query"), F.col("code")).alias("score"))
+
+
+def score_in_steps(pairs: DataFrame, path: str, score, sig: str, *key: str, steps: int = 8) -> int:
+    """Score what the cache at path lacks and append it, a share of the keys a step; the number of steps that had work.
+
+    A run that is cut short loses one step at most, and the next one goes on where it ended.
+    """
+    spark = pairs.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", sig string, score double"
+    done = 0
+    for step in range(steps):
+        share = pairs.where(F.pmod(F.xxhash64(*key), F.lit(steps)) == step)
+        try:
+            cache = spark.read.schema(schema).parquet(path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            cache = spark.createDataFrame([], schema)
+        new = score_missing(share, cache, score, sig, *key)
+        if not pending(share, cache.where(F.col("sig") == sig).select(*key), *key).isEmpty():
+            new.write.mode("append").parquet(path)
+            done += 1
+    return done

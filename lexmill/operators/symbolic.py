@@ -109,15 +109,18 @@ def ordered_pairs(events: DataFrame, first: Column, second: Column, scope: list[
 
 
 def call_order(records: DataFrame, first: str, second: str, k: int = 20, require_function: bool = False) -> DataFrame:
-    """id, function, class and lines of the first ordered pair of calls; the first k records by pos, or by id without one."""
-    calls = records.select("id", F.posexplode("calls").alias("n", "c")).select("id", "n", "c.*").where("line IS NOT NULL")
-    if require_function:
-        calls = calls.where("function IS NOT NULL")
-    pairs = ordered_pairs(calls, matches(F.col("name"), first), matches(F.col("name"), second), ["function", "class"], "line", "n")
-    out = pairs.select("id", F.lit(1.0).alias("score"), F.col("a_function").alias("function"), F.col("a_class").alias("class"), F.col("a_line").alias("first_line"), F.col("b_line").alias("second_line"))
-    if "pos" in records.columns:
-        return out.join(records.select("id", "pos"), "id").orderBy("pos").drop("pos").limit(k)
-    return out.orderBy("id").limit(k)
+    """id, function, class and lines of the first ordered pair of calls; the first k records by pos, or by id without one.
+
+    A record has all its calls in one array, so the pair is found where the record lies; see ordered_pairs() for events in rows.
+    """
+    usable = lambda c: c["line"].isNotNull() & (c["function"].isNotNull() if require_function else F.lit(True))
+    partner = lambda a: lambda b: matches(b["name"], second) & usable(b) & a["function"].eqNullSafe(b["function"]) & a["class"].eqNullSafe(b["class"]) & (a["line"] < b["line"])
+    leads = F.filter("calls", lambda a: matches(a["name"], first) & usable(a) & F.exists("calls", partner(a)))
+    place = ["pos"] if "pos" in records.columns else []
+    found = records.select("id", *place, F.get(leads, F.lit(0)).alias("a"), "calls").where("a IS NOT NULL")
+    found = found.withColumn("b", F.get(F.filter("calls", partner(F.col("a"))), F.lit(0)))
+    out = found.select("id", *place, F.lit(1.0).alias("score"), F.col("a.function").alias("function"), F.col("a.class").alias("class"), F.col("a.line").alias("first_line"), F.col("b.line").alias("second_line"))
+    return out.orderBy(*place or ["id"]).limit(k).drop(*place)
 
 
 def _keeper(category: str, term: str):

@@ -190,7 +190,7 @@ def structural_weight_fusion(spark, sf_dir):
 
 
 def _margins(spark, sf_dir):
-    return fusion.margins(head(spark, sf_dir, 2)).withColumn("margin", r6("margin"))
+    return fusion.margins(head(spark, sf_dir, 2)).withColumn("margin", r6("margin")).cache()  # a row a query, read several times
 
 
 @register(f"WITH {MARGIN} SELECT qid, margin FROM m")
@@ -215,7 +215,7 @@ def fraction_gate(spark, sf_dir):
 
 @register(f"WITH {MARGIN}, g AS (SELECT qid FROM m WHERE margin <= (SELECT quantile_cont(margin, 0.5) FROM m)), h AS (SELECT r.* FROM r JOIN g USING (qid) WHERE rank <= 20), b AS (SELECT qid, doc_id, rank, 0.8 * (score - avg(score) OVER w) / stddev_pop(score) OVER w + 0.2 * (c - avg(c) OVER w) / stddev_pop(c) OVER w x FROM h WINDOW w AS (PARTITION BY qid)), n AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, rank) new_rank FROM b) SELECT r.qid, r.doc_id, r.score, r.rank::BIGINT rank, coalesce(n.new_rank, r.rank)::BIGINT new_rank FROM r LEFT JOIN n USING (qid, doc_id) WHERE r.rank <= 100")
 def gated_rerank_blend(spark, sf_dir):
-    first = head(spark, sf_dir, 100)
+    first = head(spark, sf_dir, 100).cache()  # a hundred rows a query
     margin = first.where("rank <= 2").groupBy("qid").agg(r6(F.when(F.count("*") == 2, F.max("score") - F.min("score"))).alias("margin"))
     out = fusion.rerank(first, "c", fusion.gate(margin, share=0.5))
     return out.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"), F.col("new_rank").cast("long").alias("new_rank"))
@@ -322,7 +322,7 @@ def map_precision_hit(spark, sf_dir):
 
 @register(f"WITH {STRICT}, m AS (SELECT qid, round(max(score) - min(score), 6) margin FROM r WHERE rank <= 2 GROUP BY qid), p AS (SELECT sr.rank, row_number() OVER (ORDER BY margin, qid) place, count(*) OVER () n FROM sr JOIN m USING (qid)) SELECT s.share, count(*) FILTER (place <= floor(n * s.share)) gated, count(*) FILTER (place <= floor(n * s.share) AND rank > 1) not_first, count(*) FILTER (place <= floor(n * s.share) AND rank > 10) beyond_10, count(*) FILTER (place <= floor(n * s.share) AND rank BETWEEN 11 AND 20) from_11_to_20, round(count(*) FILTER (place <= floor(n * s.share)) * 20 / 8.16, 6) AS seconds FROM p, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5])::DOUBLE share) s GROUP BY 1")
 def gating_capture(spark, sf_dir):
-    return metrics.capture(_strict(spark, sf_dir), _margins(spark, sf_dir)).withColumn("seconds", r6("seconds"))
+    return metrics.capture(_strict(spark, sf_dir).cache(), _margins(spark, sf_dir)).withColumn("seconds", r6("seconds"))
 
 
 @register(f"WITH {STRICT} SELECT sr.qid, sr.doc_id, sr.rank::BIGINT rank, list(r.doc_id ORDER BY r.rank) top3 FROM (SELECT * FROM sr ORDER BY rank DESC, qid LIMIT 5) sr JOIN r ON r.qid = sr.qid AND r.rank <= 3 GROUP BY 1, 2, 3")
@@ -574,6 +574,25 @@ def append_idempotent(spark, sf_dir):
     return new.select("logical_id", "version", "append_seq")
 
 
+@register("SELECT p_partkey logical_id, '2' AS version, CASE p_partkey % 3 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'substantial_update' ELSE 'deleted' END change_type, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(5 / 7, 6) ELSE 0.0 END::DOUBLE previous_similarity, 1::BIGINT append_seq, 'part ' || p_partkey title FROM part UNION ALL SELECT p_partkey, '3', CASE p_partkey % 3 WHEN 1 THEN 'substantial_update' WHEN 2 THEN 'substantial_update' ELSE 'near_duplicate_update' END, CASE p_partkey % 3 WHEN 0 THEN 0.75 WHEN 1 THEN round(5 / 8, 6) ELSE 0.0 END, 2, 'part ' || p_partkey FROM part")
+def append_code_versions(spark, sf_dir):
+    """A function a part: its second version only has a comment more, adds another number or is deleted; the third adds a name."""
+    p = F.col("p_partkey")
+    line = lambda n, tail="": F.concat(F.lit("def f(a):\n    return a + "), n.cast("string"), F.lit(tail))
+    part = table(spark, sf_dir, "part")
+    stored = part.select(p.alias("logical_id"), F.lit("1").alias("version"), line(p).alias("code"), F.lit(0).cast("long").alias("append_seq"))
+    second = part.select(p.alias("logical_id"), F.lit("2").alias("version"), F.when(p % 3 == 0, line(p, "  # sum")).when(p % 3 == 1, line(p + 1_000_000)).otherwise(F.lit("")).alias("code"), F.lit(1).alias("arrival"), (p % 3 == 2).alias("deleted"), F.concat(F.lit("part "), p.cast("string")).alias("title"))
+    third = second.withColumns({"version": F.lit("3"), "arrival": F.lit(2), "deleted": F.lit(False), "code": line(F.col("logical_id"), " + extra")})
+    new = versions.append(stored, second.unionByName(third), fingerprint=code_functions.code_fingerprint)
+    return new.select("logical_id", "version", "change_type", r6("previous_similarity").alias("previous_similarity"), "append_seq", "title")
+
+
+@register("SELECT count(DISTINCT vec_id % 7) lineages, count(*) versions, sum(4 * len(embedding))::BIGINT vector_bytes, max(4 * len(embedding))::INT bytes_per_version FROM embeddings")
+def version_storage(spark, sf_dir):
+    log = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("logical_id"), F.col("embedding").alias("vec"))
+    return versions.storage(log)
+
+
 @register("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'x' ELSE role END AS role FROM conversations")
 def keyed_upsert(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")

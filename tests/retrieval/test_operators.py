@@ -290,6 +290,17 @@ def test_learned_fusion(spark):
     assert out.where("(learned > 0.5) <> (label = 1)").count() < 20 and "blended" in out.columns
 
 
+def test_scoring_goes_on_where_it_ended(spark, tmp_path):
+    pairs = spark.createDataFrame([(q, d, "ask", "x" * d) for q in range(4) for d in range(10)], "qid int, doc_id int, query string, code string")
+    scorer = encode.pair_scorer(lambda: lambda rows: [float(len(code)) for _, code in rows])
+    path = str(tmp_path / "cache")
+    run = lambda rows, sig: encode.score_in_steps(rows, path, scorer, sig, "qid", "doc_id", steps=3)
+    assert run(pairs.where("qid < 2"), "m1") == 3 and run(pairs.where("qid < 2"), "m1") == 0
+    assert run(pairs, "m1") == 3 and run(pairs, "m2") == 3
+    got = spark.read.parquet(path)
+    assert got.count() == 80 and got.where("score <> doc_id").count() == 0 and got.groupBy("qid", "doc_id", "sig").count().where("count > 1").count() == 0
+
+
 def test_requests():
     assert Request("  find code  ").query == "find code"
     assert (Request("x", scope="commit:abc").scope, Request("x", scope="commit:abc").commit, Request("x", scope=None).scope) == ("commit", "abc", "auto")
