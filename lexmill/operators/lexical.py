@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.functions.text import code_tokens, plain_words
-from lexmill.operators.dense import QUERY_BLOCK, best_of, top_k
+from lexmill.operators.dense import QUERY_BLOCK, Best, best_of, top_k
 
 #: Documents whose counts of query tokens are one matrix.
 DOCS = 512
@@ -54,7 +54,7 @@ def bm25(queries: DataFrame, docs: DataFrame, depth: int = 100, k1: float = 1.5,
 
     A token's idf is ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over
     all tokens. The queries are a stated set, in blocks. Two passes over the documents: the first counts each token's documents, combined within a task
-    before they move; the second has the block's tokens with their idf broadcast, scores a batch of documents by one matrix product and keeps its best,
+    before they move; the second has the block's tokens with their idf broadcast, scores a batch of documents by one matrix product and keeps each task's best,
     so neither tokens nor pairs are rows of an exchange. Scores are rounded to `digits`, ties go by id.
     """
     spark = docs.sparkSession
@@ -131,7 +131,9 @@ def holders(queries: DataFrame, docs: DataFrame, block: int = QUERY_BLOCK) -> Da
 def _scorer(shared, depth: int, k1: float, b: float, digits: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, place, weights, holds, average = shared.value
+        best, kind = Best(depth, len(ids)), None
         for batch in batches:
+            kind = batch.column(0).type
             for at in range(0, batch.num_rows, DOCS):
                 part = batch.slice(at, DOCS)
                 words, doc, word, count = _counted(part.column(1))
@@ -144,7 +146,9 @@ def _scorer(shared, depth: int, k1: float, b: float, digits: int, id_type: pa.Da
                 score = np.round(weights.T @ tf.T, digits) + 0.0
                 score[(holds.T @ (tf > 0).astype(np.float32).T) == 0] = -np.inf
                 i, j = best_of(score, depth)
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(ids, id_type).take(pa.array(i)), "doc_id": part.column(0).take(pa.array(j)), "score": score[i, j]})
+                best.add(i, part.column(0).take(pa.array(j)), score[i, j])
+        if got := best.kept():
+            yield pa.RecordBatch.from_pydict({"qid": pa.array(ids, id_type).take(pa.array(got["query"])), "doc_id": pa.array(got["doc"], kind), "score": got["score"]})
 
     return run
 

@@ -5,6 +5,7 @@ import math
 import subprocess
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,22 @@ def test_heads_against_whole_rankings(spark):
         got = {(r.qid, r.rank): (r.doc_id, r.score) for r in dense.fused_head(asks, docs, parts, weights, depth, block=16).collect()}
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
     assert dense.fused_head(asks.limit(0), docs, parts, weights, 3).count() == 0
+    named = docs.selectExpr("concat('d', lpad(doc_id, 4, '0')) AS doc_id", "vec")
+    got = {(r.qid, r.rank): r.doc_id for r in dense.fused_head(asks, named, parts, weights, 3).collect()}
+    assert got == {(r.qid, r.rank): f"d{r.doc_id:04d}" for r in dense.fused_head(asks, docs, parts, weights, 3).collect()}
+
+
+def test_best_of_a_task():
+    rng = np.random.default_rng(9)
+    best, rows = dense.Best(5, 3), []
+    best.most = 40
+    for _ in range(30):
+        q, d, x = rng.integers(0, 3, 12), rng.integers(0, 10**6, 12), rng.integers(0, 6, 12).astype(float)
+        best.add(q, pa.array(d), x, other=x * 2)
+        rows += zip(q.tolist(), d.tolist(), x.tolist(), strict=True)
+    got = best.kept()
+    want = [r for k in range(3) for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))[:5]]
+    assert list(zip(got["query"].tolist(), got["doc"].tolist(), got["score"].tolist(), strict=True)) == want and (got["other"] == 2 * got["score"]).all()
 
 
 def test_ordered_pairs_against_all_pairs(spark):
