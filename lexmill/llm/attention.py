@@ -98,23 +98,29 @@ def _masks() -> tuple[np.ndarray, np.ndarray]:
 _DISTANCE, _CAUSAL = _masks()
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product and not one a block."""
+    return (x.reshape(-1, x.shape[2]) @ w).reshape(*x.shape[:2], w.shape[1])
+
+
 def _attend(p: dict[str, np.ndarray], inputs: np.ndarray) -> tuple:
     x = p["embed"][np.maximum(inputs, 0)]
     own = x[:, BLOCK:]
-    q, k, v = own @ p["query"], x @ p["key"], x @ p["value"]
+    q, k, v = _times(own, p["query"]), _times(x, p["key"]), _times(x, p["value"])
     scale = x.dtype.type(1 / np.sqrt(x.shape[2]))
     s = (q * scale) @ k.transpose(0, 2, 1)
     s += p["near"][_DISTANCE] + _CAUSAL
     absent = np.flatnonzero((inputs < 0).any(1))
     s[absent] += np.where(inputs[absent] < 0, _OFF, np.float32(0))[:, None, :]
-    np.minimum(s, 40, out=s)  # instead of the maximum: no score comes near, and exp() stays finite
+    if s.max(initial=0) > 40:  # else exp() stays finite as it is
+        s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
     a = s @ v
     total = s @ np.ones(2 * BLOCK, s.dtype)
     # a place after the last token may see nothing but itself, which is absent
     total[total == 0] = 1
     a /= total[:, :, None]
-    return x, own, q, k, v, scale, s, total, a, own + a @ p["out"]
+    return x, own, q, k, v, scale, s, total, a, own + _times(a, p["out"])
 
 
 def log_prob(p: dict[str, np.ndarray], tree: Tree, inputs: np.ndarray, target: np.ndarray, batch: int = 256) -> np.ndarray:
@@ -128,21 +134,30 @@ def log_prob(p: dict[str, np.ndarray], tree: Tree, inputs: np.ndarray, target: n
         z = np.einsum("ij,ij->i", p["node"][node], np.repeat(own, length, 0))
         z += p["bias"][node]
         z *= side
-        np.maximum(z, -60, out=z)
-        np.exp(-z, out=z)
-        z += 1
-        # a path's probability is the product of its sides'; blocks are summed after the logarithm
-        token = np.log(np.multiply.reduceat(z, np.cumsum(length) - length, dtype=np.float64))
+        start = np.cumsum(length) - length
+        if z.min(initial=0) > -12:  # a path's probability is the product of its sides', which stays within a double
+            np.exp(-z, out=z)
+            z += 1
+            token = np.log(np.multiply.reduceat(z, start, dtype=np.float64))
+        else:
+            token = np.add.reduceat(np.logaddexp(0, -z.astype(np.float64)), start)
         out[i : i + batch] = -np.bincount(np.nonzero(there)[0], token, len(goal))
     return out
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct indices, their rows summed, and how many there were."""
+def _runs(index: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts indices below `size`, the distinct ones, where each starts in it, and how many there are."""
+    index = index.astype(np.uint16 if size <= 1 << 16 else np.uint32)  # 16 bits are sorted by counting
     order = np.argsort(index, kind="stable")
     index = index[order]
-    first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-    return index[first], np.add.reduceat(rows[order], first, 0), np.diff(np.append(first, len(index)))
+    first = np.flatnonzero(np.append(True, index[1:] != index[:-1])) if len(index) else np.zeros(0, np.int64)
+    return order, index[first], first, np.diff(np.append(first, len(index)))
+
+
+def _scatter(index: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct indices, their rows summed, and how many there were."""
+    order, index, first, count = _runs(index, size)
+    return index, np.add.reduceat(rows[order], first, 0) if len(first) else rows[:0], count
 
 
 class Trainer:
@@ -161,16 +176,28 @@ class Trainer:
         there = target >= 0
         n = max(int(there.sum()), 1)
         node, side, length = self.tree.paths(target[there])
-        rows = np.repeat(h[there], length, 0)
-        vectors = p["node"][node]
-        z = side * (np.einsum("ij,ij->i", vectors, rows) + p["bias"][node])
-        loss = float(np.log1p(np.exp(np.minimum(-z, 60))).sum())
-        dz = -side / (1 + np.exp(np.clip(z, -30, 30)))
-        start = np.cumsum(length) - length
+        # path entries in order of their nodes, so that each node's vector is read and its gradient summed in one run
+        order, node, first, count = _runs(node, len(p["node"]))
+        rows = h[there][np.repeat(np.arange(len(length)), length)[order]]
+        vectors = np.repeat(p["node"][node], count, 0)
+        side = side[order]
+        z = np.einsum("ij,ij->i", vectors, rows)
+        z += np.repeat(p["bias"][node], count)
+        z *= side
+        np.clip(z, -30, 30, out=z)
+        loss = -float(z.sum(dtype=np.float64))
+        np.exp(z, out=z)
+        z += 1
+        loss += float(np.log(z).sum(dtype=np.float64))
+        dz = -side / z
+        rows *= dz[:, None]
+        g: dict = {"node": (node, np.add.reduceat(rows, first, 0), count), "bias": (node, np.add.reduceat(dz, first)[:, None], count)}
+        vectors *= dz[:, None]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
         dh = np.zeros_like(h)
-        dh[there] = np.add.reduceat(dz[:, None] * vectors, start, 0)
-        g: dict = {"node": _scatter(node, dz[:, None] * rows), "bias": _scatter(node, dz[:, None])}
-        da = dh @ p["out"].T
+        dh[there] = np.add.reduceat(vectors[back], np.cumsum(length) - length, 0)
+        da = _times(dh, p["out"].T)
         g["out"] = np.tensordot(a, dh, ([0, 1], [0, 1]))
         ds = da @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ da
@@ -180,10 +207,10 @@ class Trainer:
         dk = ds.transpose(0, 2, 1) @ (q * scale)
         g["query"] = np.tensordot(own, dq, ([0, 1], [0, 1]))
         g["key"], g["value"] = np.tensordot(x, dk, ([0, 1], [0, 1])), np.tensordot(x, dv, ([0, 1], [0, 1]))
-        dx = dk @ p["key"].T + dv @ p["value"].T
-        dx[:, BLOCK:] += dq @ p["query"].T + dh
+        dx = _times(dk, p["key"].T) + _times(dv, p["value"].T)
+        dx[:, BLOCK:] += _times(dq, p["query"].T) + dh
         real = inputs >= 0
-        g["embed"] = _scatter(inputs[real], dx[real])
+        g["embed"] = _scatter(inputs[real], dx[real], len(p["embed"]))
         return loss / n, g
 
     def step(self, inputs: np.ndarray, target: np.ndarray) -> float:
@@ -204,7 +231,7 @@ class Trainer:
                 self.p[name] -= 0.25 * self.rate * grad / np.sqrt(self.sum[name])
         return loss
 
-    def learn(self, inputs: np.ndarray, target: np.ndarray, batch: int = 128) -> float:
+    def learn(self, inputs: np.ndarray, target: np.ndarray, batch: int = 64) -> float:
         """One pass over the blocks; the mean loss of its last quarter."""
         losses = [self.step(inputs[i : i + batch], target[i : i + batch]) for i in range(0, len(inputs), batch)]
         return float(np.mean(losses[-max(1, len(losses) // 4) :])) if losses else 0.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import hashlib
 import re
 import tempfile
@@ -243,6 +244,12 @@ class Scratch:
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver look for shuffles that nothing refers to any more, so that their files go now and not when its memory happens to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored_bytes(table: DataFrame) -> int:
     """Bytes of a table that is read from files, by their sizes; no job runs."""
     return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

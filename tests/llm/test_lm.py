@@ -109,23 +109,51 @@ def test_base_against_plain_python_and_edge_rows(spark):
     assert lm.lm_scores(docs.limit(0), WORD_BPE).count() == 0
 
 
+def keyed(spark, texts):
+    rows = [(i, t, i % 5 == 4, i % 5 != 4, i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, trains boolean, key long")
+
+
 def test_every_training_text_reaches_the_trainers(spark):
     texts = [f"word{i} {chr(97 + i % 26) * 3} {i * 37}" for i in range(60)] + ["a longer text " * 30, "", None]
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
-    params, tree = lm.train(rows, WORD_BPE)
+    params, tree = lm.train(lm.stored_texts(keyed(spark, texts).repartition(3), WORD_BPE), WORD_BPE)
     bpe = lm.load(WORD_BPE)
-    ids, _ = bpe.encode(texts)
-    last = tree.node[tree.start[np.unique(ids)]]  # the inner node above each token
-    assert (np.abs(params["node"][last]).sum(1) > 0).all()
+    above = lambda rows: tree.node[tree.start[np.unique(bpe.encode(rows)[0])]]  # the inner node above each token
+    trained = np.abs(params["node"]).sum(1) > 0
+    assert trained[above([t for i, t in enumerate(texts) if i % 5 != 4])].all()
+    assert not trained[above(["zebra crossing xylophone"])].all()
 
 
 def test_stored_texts_hold_all_tokens(spark):
-    texts = ["one", "two words here", "", None, "long " * 100]
-    got = lm.stored_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), WORD_BPE).collect()
+    texts = ["one", "two words here", "", None, "long " * 100, "last one"]
+    got = lm.stored_texts(keyed(spark, texts).coalesce(1), WORD_BPE).collect()
     bpe = lm.load(WORD_BPE)
     want, offsets = bpe.encode(texts)
-    pieces = [lm._restore(zlib.decompress(r.block), bpe.size) for r in got if r.part >= 0]
-    assert np.concatenate([ids for ids, _ in pieces]).tolist() == want.tolist()
-    assert np.concatenate([np.diff(at) for _, at in pieces]).tolist() == np.diff(offsets).tolist()
-    counts = np.concatenate([np.frombuffer(r.block, np.int64) for r in sorted((r for r in got if r.part < 0), key=lambda r: -r.part)])
-    assert counts.sum() == len(want) + len(texts)
+    pieces = [lm._restore(r.ids, bpe.size) for r in got if r.ids is not None]
+    assert np.concatenate([x[0] for x in pieces]).tolist() == want.tolist()
+    assert np.concatenate([np.diff(x[1]) for x in pieces]).tolist() == np.diff(offsets).tolist()
+    assert np.concatenate([x[2] for x in pieces]).tolist() == list(range(6)) and np.concatenate([x[3] for x in pieces]).tolist() == [True] * 4 + [False, True]
+    counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted((r for r in got if r.counts is not None), key=lambda r: -r.part)])
+    assert counts.sum() == len(want) - (offsets[5] - offsets[4]) + 5
+    assert [r.n_tokens for r in got if r.n_tokens is not None] == [2, 4, 1, 1, 101, 3]
+
+
+def test_frequent_words_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    base = lambda: {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.lm_scores(docs, WORD_BPE).collect()}
+    some = base()
+    monkeypatch.setattr(lm, "FREQUENT", 1.0)
+    assert base() == some
+    monkeypatch.setattr(lm, "FREQUENT", 0.0)
+    assert base() == some
+
+
+def test_probabilities_far_from_even(small):
+    """Without clamps: paths of any steepness and attention of any sharpness."""
+    p, tree = small
+    steep = {k: v * (60 if k in ("node", "query") else 1) for k, v in p.items()}
+    inputs = np.full((40, 2 * attention.BLOCK), -1)
+    inputs[:, attention.BLOCK] = 39
+    target = np.full((40, attention.BLOCK), -1)
+    target[:, 0] = np.arange(40)
+    assert np.exp(attention.log_prob(steep, tree, inputs, target)).sum() == pytest.approx(1)
