@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _SMALL = "part int, block binary"
+#: Trainers whose parameters one task adds up.
+FAN = 64
 _DENSE = ("query", "key", "value", "out", "near")
 
 
@@ -126,62 +129,76 @@ def _summed(rows: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.block, np.int64) for r in sorted(got, key=lambda r: -r.part)]) if got else np.zeros(0, np.int64)
 
 
-def _ranges(rows: int) -> np.ndarray:
-    return np.linspace(0, rows, CHUNKS + 1).astype(np.int64)
-
-
 def _pack(trainer: attention.Trainer) -> Iterator[tuple[int, bytes]]:
-    """Rows that the trainer has seen, in chunks by number: the number, the row and its weight; and the dense parameters."""
+    """The trainer's sums: of each row that it has seen, the number, the weight and the row times the weight, dealt over chunks; and the dense parameters."""
     p = trainer.p
-    both = {"embed": p["embed"], "node": np.concatenate([p["node"], p["bias"][:, None]], 1)}
-    for k, (name, table) in enumerate(both.items()):
-        edges, seen = _ranges(len(table)), trainer.seen[name]
-        for i in range(CHUNKS):
-            own = edges[i] + np.flatnonzero(seen[edges[i] : edges[i + 1]])
-            yield k * CHUNKS + i, b"".join([own.astype("<u4").tobytes(), seen[own].astype("<f4").tobytes(), table[own].astype("<f4").tobytes()])
-    dense = np.concatenate([p[k].ravel() for k in _DENSE])
-    yield 2 * CHUNKS, np.append(dense, trainer.tokens).astype("<f4").tobytes()
-
-
-def _averaged(rows: DataFrame, params: dict[str, np.ndarray], dim: int) -> dict[str, np.ndarray]:
-    """Each row's mean over the trainers that saw it, weighted by how often; a row that none saw stays."""
-    sizes = {"embed": (len(params["embed"]), dim), "node": (len(params["node"]), dim + 1)}
-
-    def place(part: int) -> tuple[int, int, int]:
-        size, width = sizes["embed" if part < CHUNKS else "node"]
-        edges = _ranges(size)
-        return int(edges[part % CHUNKS]), int(edges[part % CHUNKS + 1]), width
+    tables = [(p["embed"], trainer.seen["embed"]), (np.concatenate([p["node"], p["bias"][:, None]], 1), trainer.seen["node"])]
+    for k, (table, seen) in enumerate(tables):
+        there = np.flatnonzero(seen)
+        for i in range(CHUNKS):  # numbers rise with rarity, so ranges of them would be uneven
+            own = there[there % CHUNKS == i]
+            yield k * CHUNKS + i, _rows(own, seen[own], table[own] * seen[own][:, None])
+    dense = np.concatenate([p[k].ravel() for k in _DENSE]) * trainer.tokens
+    yield 2 * CHUNKS, _rows(np.zeros(1, np.int64), np.full(1, trainer.tokens), dense[None])
+
+
+def _rows(own: np.ndarray, weight: np.ndarray, table: np.ndarray) -> bytes:
+    return b"".join([np.array([len(own)], "<u4").tobytes(), own.astype("<u4").tobytes(), weight.astype("<f4").tobytes(), table.astype("<f4").tobytes()])
+
+
+def _added(blocks: Iterator[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, weights and sums of blocks' rows; numbers of a chunk are dealt, so `size` places hold them."""
+    total = None
+    for data in blocks:
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        own = np.frombuffer(data, "<u4", n, 4).astype(np.int64)
+        body = np.frombuffer(data, "<f4", offset=4 + 8 * n).reshape(n, -1) if n else None
+        if body is None:
+            continue
+        if total is None:
+            total = np.zeros((size, body.shape[1] + 1))
+            first = own[0] % CHUNKS
+        total[own // CHUNKS, :-1] += body
+        total[own // CHUNKS, -1] += np.frombuffer(data, "<f4", n, 4 + 4 * n)
+    if total is None:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1))
+    seen = np.flatnonzero(total[:, -1])
+    return seen * CHUNKS + first, total[seen, -1], total[seen, :-1]
+
+
+def _averaged(rows: DataFrame, params: dict[str, np.ndarray], trainers: int) -> dict[str, np.ndarray]:
+    """Each row's mean over the trainers that saw it, weighted by how often; a row that none saw stays.
+
+    rows: part, block of _pack(), where part is the chunk and, above it, the trainer. Sums of FAN trainers at a time are added, then of FAN such sums, and so on.
+    """
+    each, fan = 2 * CHUNKS + 1, FAN
+    size = -(-len(params["embed"]) // CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        parts: dict[int, list[bytes]] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part == 2 * CHUNKS:
-                    x = np.frombuffer(data, "<f4").astype(float)
-                    total[part] = total.get(part, 0) + np.append(x[:-1] * x[-1], x[-1])
-                    continue
-                low, high, width = place(part)
-                n = len(data) // (4 * (width + 2))
-                own, weight = np.frombuffer(data, "<u4", n).astype(np.int64) - low, np.frombuffer(data, "<f4", n, 4 * n).astype(float)
-                if part not in total:
-                    total[part] = np.zeros((high - low, width + 1))
-                total[part][own, :-1] += np.frombuffer(data, "<f4", offset=8 * n).reshape(n, width) * weight[:, None]
-                total[part][own, -1] += weight
-        for part, x in total.items():
-            yield _row(part, x.tobytes())
-
-    got = {r.part: np.frombuffer(r.block, float) for r in rows.repartitionById(2 * CHUNKS + 1, "part").mapInArrow(tidy(run), _SMALL).collect()}  # bounded by the vocabulary
+                chunk, trainer = part % each, part // each
+                parts.setdefault(trainer // fan * each + chunk, []).append(data)
+        for part, blocks in parts.items():
+            yield _row(part, _rows(*_added(iter(blocks), size)))
+
+    groups = trainers
+    while True:
+        groups = -(-groups // fan)
+        rows = rows.repartitionById(groups * each, (F.floor(F.col("part") / (each * fan)) * each + F.col("part") % each).cast("int")).mapInArrow(tidy(run), _SMALL)
+        if groups == 1:
+            break
+    got = {r.part: _added(iter([r.block]), size) for r in rows.collect()}  # bounded by the vocabulary
     if not got:
         return params
     tables = {"embed": params["embed"].copy(), "node": np.concatenate([params["node"], params["bias"][:, None]], 1)}
-    for part, x in got.items():
-        if part < 2 * CHUNKS:
-            low, _, width = place(part)
-            x = x.reshape(-1, width + 1)
-            seen = np.flatnonzero(x[:, -1] > 0)
-            tables["embed" if part < CHUNKS else "node"][low + seen] = x[seen, :-1] / x[seen, -1:]
+    for part, (own, weight, total) in got.items():
+        if part < 2 * CHUNKS and len(own):
+            tables["embed" if part < CHUNKS else "node"][own] = total / weight[:, None]
     out = {"embed": tables["embed"], "node": tables["node"][:, :-1].copy(), "bias": tables["node"][:, -1].copy()}
-    dense, at = got[2 * CHUNKS][:-1] / got[2 * CHUNKS][-1], 0
+    _, weight, total = got[2 * CHUNKS]
+    dense, at = total[0] / weight[0], 0
     for k in _DENSE:
         out[k] = dense[at : at + params[k].size].reshape(params[k].shape).astype(np.float32)
         at += params[k].size
@@ -214,11 +231,12 @@ def train(stored: DataFrame, path: str, dim: int = DIM) -> tuple[dict[str, np.nd
                 at = order.permutation(len(inputs))
                 trainer.learn(inputs[at], target[at])
             if parts:
+                number = TaskContext.get().partitionId()
                 for part, data in _pack(trainer):
-                    yield _row(part, data)
+                    yield _row(number * (2 * CHUNKS + 1) + part, data)
 
         share = stored.where(f"ids IS NOT NULL AND {condition}").select("part", F.col("ids").alias("block")).repartitionById(n, (F.floor(F.col("part") / 4) % n).cast("int"))
-        params = _averaged(share.mapInArrow(tidy(learn), _SMALL), params, dim)
+        params = _averaged(share.mapInArrow(tidy(learn), _SMALL), params, n)
         del share
         release(spark)
     return params, tree

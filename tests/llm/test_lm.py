@@ -157,3 +157,15 @@ def test_probabilities_far_from_even(small):
     target = np.full((40, attention.BLOCK), -1)
     target[:, 0] = np.arange(40)
     assert np.exp(attention.log_prob(steep, tree, inputs, target)).sum() == pytest.approx(1)
+
+
+def test_parameters_add_up_in_any_number_of_steps(spark, monkeypatch):
+    texts = [f"word{i} {chr(97 + i % 26) * 3} {i * 37} some more of the same" for i in range(300)]
+    stored = lm.stored_texts(keyed(spark, texts).repartition(5), WORD_BPE).cache()
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 150)
+    whole, _ = lm.train(stored, WORD_BPE)
+    monkeypatch.setattr(lm, "FAN", 2)
+    steps, _ = lm.train(stored, WORD_BPE)
+    assert all(np.abs(whole[k] - steps[k]).max() < 1e-4 for k in whole)
+    assert np.abs(whole["node"]).sum() > 1
+    stored.unpersist()
