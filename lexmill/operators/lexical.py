@@ -54,7 +54,7 @@ def bm25(queries: DataFrame, docs: DataFrame, depth: int = 100, k1: float = 1.5,
 
     A token's idf is ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over
     all tokens. The queries are a stated set, in blocks. Two passes over the documents: the first counts each token's documents, combined within a task
-    before they move; the second has the block's tokens with their idf broadcast, scores a batch of documents by one matrix product and keeps each task's best,
+    before they move; the second has the block's tokens with their idf broadcast, scores each document's few of them by a product and keeps a task's best,
     so neither tokens nor pairs are rows of an exchange. Scores are rounded to `digits`, ties go by id.
     """
     spark = docs.sparkSession
@@ -85,7 +85,7 @@ def bm25(queries: DataFrame, docs: DataFrame, depth: int = 100, k1: float = 1.5,
                 for t in r.tokens:
                     if t in place:
                         times[place[t], k] += 1
-            shared = spark.sparkContext.broadcast(([r.qid for r in rows], place, np.array([value[w] for w in place])[:, None] * times, (times > 0).astype(np.float32), size / max(n_docs, 1)))
+            shared = spark.sparkContext.broadcast(([r.qid for r in rows], place, np.array([value[w] for w in place])[:, None] * times, times > 0, size / max(n_docs, 1)))
             rows = []
             out.append(tokens.mapInArrow(_scorer(shared, depth, k1, b, digits, id_type), kind))
     finally:
@@ -141,10 +141,14 @@ def _scorer(shared, depth: int, k1: float, b: float, digits: int, id_type: pa.Da
                 own = known[word] if len(word) else word
                 doc, own, count = doc[own >= 0], own[own >= 0], count[own >= 0]
                 length = part.column(1).value_lengths().fill_null(0).to_numpy()
-                tf = np.zeros((part.num_rows, len(place)))
-                tf[doc, own] = count * (k1 + 1) / (count + k1 * (1 - b + b * length[doc] / max(average, 1e-300)))
-                score = np.round(weights.T @ tf.T, digits) + 0.0
-                score[(holds.T @ (tf > 0).astype(np.float32).T) == 0] = -np.inf
+                tf = count * (k1 + 1) / (count + k1 * (1 - b + b * length[doc] / max(average, 1e-300)))
+                score = np.full((len(ids), part.num_rows), -np.inf)
+                edges = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
+                for d, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    if x < y:  # a document holds few of the block's tokens
+                        own_tokens = own[x:y]
+                        total = np.round(tf[x:y] @ weights[own_tokens], digits) + 0.0
+                        score[:, d] = np.where(holds[own_tokens].any(0), total, -np.inf)
                 i, j = best_of(score, depth)
                 best.add(i, part.column(0).take(pa.array(j)), score[i, j])
         if got := best.kept():

@@ -216,7 +216,7 @@ def fraction_gate(spark, sf_dir):
 @register(f"WITH {MARGIN}, g AS (SELECT qid FROM m WHERE margin <= (SELECT quantile_cont(margin, 0.5) FROM m)), h AS (SELECT r.* FROM r JOIN g USING (qid) WHERE rank <= 20), b AS (SELECT qid, doc_id, rank, 0.8 * (score - avg(score) OVER w) / stddev_pop(score) OVER w + 0.2 * (c - avg(c) OVER w) / stddev_pop(c) OVER w x FROM h WINDOW w AS (PARTITION BY qid)), n AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, rank) new_rank FROM b) SELECT r.qid, r.doc_id, r.score, r.rank::BIGINT rank, coalesce(n.new_rank, r.rank)::BIGINT new_rank FROM r LEFT JOIN n USING (qid, doc_id) WHERE r.rank <= 100")
 def gated_rerank_blend(spark, sf_dir):
     first = head(spark, sf_dir, 100).cache()  # a hundred rows a query
-    margin = first.where("rank <= 2").groupBy("qid").agg(r6(F.when(F.count("*") == 2, F.max("score") - F.min("score"))).alias("margin"))
+    margin = first.where("rank <= 2").groupBy("qid").agg(r6(F.when(F.count("*") == 2, F.max("score") - F.min("score"))).alias("margin")).cache()
     out = fusion.rerank(first, "c", fusion.gate(margin, share=0.5))
     return out.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"), F.col("new_rank").cast("long").alias("new_rank"))
 
@@ -637,7 +637,8 @@ _SRC = f"s AS (SELECT p_partkey p, p_partkey % 50 <> 0 ok, p_partkey % 3 = 0 AND
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    # a table of few bytes is read by one task, but its sources take long to parse
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p")).repartition(spark.sparkContext.defaultParallelism, "p")
     return p.select(F.col("p").alias("id"), F.when(F.col("p") % 50 == 0, F.lit("def broken(:")).otherwise(F.expr(CODE)).alias("code"))
 
 
