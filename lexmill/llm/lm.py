@@ -365,7 +365,7 @@ def lm_scores(df: DataFrame, path: str, folds: int = 7, held: int = 2, id_col: s
             for data in batch.column(0).to_pylist():
                 ids, offsets, key, _ = _restore(data, size)
                 inputs, target, of, _ = attention.blocks_of(ids, offsets, size - 1)
-                ll = np.bincount(of, attention.log_prob(p, tree, inputs, target, 512), len(key)) / np.log(10)
+                ll = np.bincount(of, attention.log_prob(p, tree, inputs, target, 128), len(key)) / np.log(10)
                 yield from _results(key, np.zeros(len(key), np.uint64), np.zeros(len(key)), ll, parts)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,3 +169,30 @@ def test_parameters_add_up_in_any_number_of_steps(spark, monkeypatch):
     assert all(np.abs(whole[k] - steps[k]).max() < 1e-4 for k in whole)
     assert np.abs(whole["node"]).sum() > 1
     stored.unpersist()
+
+
+@pytest.mark.parametrize("dim", [8, 7])
+def test_steps_near_the_root_and_below(monkeypatch, dim):
+    """Products with all nodes near the root and with single nodes below give the same scores and gradients."""
+    rng = np.random.default_rng(3)
+    tree = attention.Tree.build(rng.integers(0, 1000, 300) ** 3)
+    p = {k: v.astype(np.float64) for k, v in attention.new_params(300, tree.bias, dim).items()}
+    p["node"] += rng.standard_normal(p["node"].shape) * 0.3
+    ids = rng.integers(0, 299, 200)
+    inputs, target, _, _ = attention.blocks_of(ids, np.array([0, 90, 90, 200]), 299)
+    want = plain_log_prob(p, tree, ids[:90].tolist(), 299) + plain_log_prob(p, tree, [], 299) + plain_log_prob(p, tree, ids[90:].tolist(), 299)
+    full = []
+    for top in (1, 20, 1000):
+        monkeypatch.setattr(attention, "TOP", top)
+        assert attention.log_prob(p, tree, inputs, target).sum() == pytest.approx(want)
+        _, g = attention.Trainer(p, tree).gradients(inputs, target)
+        each = {}
+        for name, grad in g.items():
+            if isinstance(grad, tuple):
+                assert len(np.unique(grad[0])) == len(grad[0])
+                each[name], each[name + " count"] = np.zeros(p[name].shape), np.zeros(len(p[name]))
+                each[name][grad[0]], each[name + " count"][grad[0]] = grad[1][:, 0] if name == "bias" else grad[1], grad[2]
+            else:
+                each[name] = grad
+        full.append(each)
+    assert all(one[k] == pytest.approx(full[0][k], rel=1e-9, abs=1e-12) for one in full for k in one)
