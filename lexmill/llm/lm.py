@@ -38,6 +38,8 @@ PIECES = 16
 DIM, CHUNKS = 16, 16
 #: Words that a task gathers before it writes a block for each fragment.
 BLOCK_ROWS = 1_200_000
+#: Texts whose sums a task gathers before it sends a block to each part: a block for every few texts costs more than its sums.
+TEXTS = 1 << 17
 #: Share of all words from which a word counts as frequent.
 FREQUENT = 2.0**-17
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -361,16 +363,23 @@ def lm_scores(df: DataFrame, path: str, folds: int = 7, held: int = 2, id_col: s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = load(path).size
         p, tree = model.value
+        sums = _Sums(parts)
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 ids, offsets, key, _ = _restore(data, size)
                 inputs, target, of, _ = attention.blocks_of(ids, offsets, size - 1)
                 ll = np.bincount(of, attention.log_prob(p, tree, inputs, target, 128), len(key)) / np.log(10)
-                yield from _results(key, np.zeros(len(key), np.uint64), np.zeros(len(key)), ll, parts)
+                yield from sums.add(key, np.zeros(len(key), np.uint64), np.zeros(len(key)), ll)
+        yield from sums.rest()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = frequent.value
         rare: list[tuple[np.ndarray, ...]] = []
+        sums = _Sums(parts)
+
+        def above(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks:
+                yield block.set_column(0, "part", pa.array(block.column(0).to_numpy() + parts, pa.int32()))
 
         def flush() -> Iterator[pa.RecordBatch]:
             word, count, key = (np.concatenate([x[k] for x in rare]) for k in range(3))
@@ -384,13 +393,13 @@ def lm_scores(df: DataFrame, path: str, folds: int = 7, held: int = 2, id_col: s
                 at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
                 common = words[at] == word if len(words) else np.zeros(len(word), bool)
                 own, known, base = _known_and_base(word[common], count[common].astype(np.int64), key[common], words, counts)
-                for sums in _results(own, known, base, np.zeros(len(own)), parts):
-                    yield sums.set_column(0, "part", pa.array(sums.column(0).to_numpy() + parts, pa.int32()))
+                yield from above(sums.add(own, known, base, np.zeros(len(own))))
                 rare.append((word[~common], count[~common], key[~common]))
                 if sum(len(x[0]) for x in rare) > BLOCK_ROWS:
                     yield from flush()
         if rare:
             yield from flush()
+        yield from above(sums.rest())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rare words meet their fragment's counts; a fragment's words are few, since frequent ones stayed."""
@@ -457,6 +466,24 @@ def _results(key: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.nda
     yield from send(home(key, parts), [known, base.view(np.uint64), score.view(np.uint64)], key, np.zeros(len(key), np.int64))
 
 
+class _Sums:
+    """Sums of texts, sent home once there are those of TEXTS."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.size = parts, [], 0
+
+    def add(self, *sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(sums)
+        self.size += len(sums[0])
+        if self.size >= TEXTS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield from _results(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.parts)
+        self.held, self.size = [], 0
+
+
 def _floats(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.float64)
 

@@ -196,3 +196,19 @@ def test_steps_near_the_root_and_below(monkeypatch, dim):
                 each[name] = grad
         full.append(each)
     assert all(one[k] == pytest.approx(full[0][k], rel=1e-9, abs=1e-12) for one in full for k in one)
+
+
+def test_sums_go_home_in_few_blocks(monkeypatch):
+    """A block a part and not one for every few texts; a text's sums may come in several pieces."""
+    rng = np.random.default_rng(4)
+    pieces = [(np.sort(rng.integers(0, 500, 30)), rng.integers(0, 9, 30).astype(np.uint64), rng.standard_normal(30), rng.standard_normal(30)) for _ in range(100)]
+    for most, blocks in ((1 << 17, 4), (1000, 12)):
+        monkeypatch.setattr(lm, "TEXTS", most)
+        sums = lm._Sums(4)
+        got = [b for p in pieces for b in sums.add(*p)] + list(sums.rest()) + list(sums.rest())
+        assert len(got) == blocks
+        columns, key, _ = zip(*(lm.read_block(x, 3) for b in got for x in b.column(1).to_pylist()), strict=True)
+        key = np.concatenate(key)
+        known, base, score = (np.concatenate([c[k] for c in columns]) for k in range(3))
+        for own, want in ((known, 1), (lm._floats(base), 2), (lm._floats(score), 3)):
+            assert np.bincount(key, own, 500) == pytest.approx(np.bincount(np.concatenate([p[0] for p in pieces]), np.concatenate([p[want] for p in pieces]), 500))
