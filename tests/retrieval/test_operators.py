@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 import subprocess
 
 import numpy as np
@@ -110,6 +111,26 @@ def test_best_of_a_task():
     assert list(zip(got["query"].tolist(), got["doc"].tolist(), got["score"].tolist(), strict=True)) == want and (got["other"] == 2 * got["score"]).all()
 
 
+def test_names_are_scored_where_they_lie(spark):
+    rng = np.random.default_rng(11)
+    words = ["red", "re", "Bolt", "gear-box", "ring", "x1"]
+    some = lambda most: " ".join(rng.choice(words, rng.integers(0, most)).tolist())
+    asks = [*((i, "how has " + some(5)) for i in range(40)), (40, None), (41, "")]
+    entries = [*((i, some(3), [some(3), None]) for i in range(60)), (60, None, None), (61, "nuts", ["a nut"]), (62, "has re", [])]
+    plain = lambda t: " ".join(re.sub("[^a-z0-9]+", " ", (t or "").lower()).split())
+    want = {}
+    for q, text in asks:
+        for k, name, titles in entries:
+            own, t = set(plain(text).split()), plain(" ".join(x for x in titles or [] if x))
+            score = 3.0 * len(own & set(plain(name).split())) + len(own & set(t.split())) + 5.0 * (plain(name) != "" and plain(name) in plain(text))
+            want[q, k] = score
+    found = lambda above, block: lexical.lexical_evolution(spark.createDataFrame(asks, "qid int, text string"), spark.createDataFrame(entries, "logical_id int, name string, titles array<string>"), "name", above, block)
+    for above in (0.0, 1.0, 4.0):
+        assert {(r.qid, r.logical_id): r.score for r in found(above, 7).collect()} == {k: v for k, v in want.items() if v > above}
+    plan = found(0.0, 1024)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_ordered_pairs_against_all_pairs(spark):
     rng = np.random.default_rng(6)
     rows = [(int(rng.integers(0, 12)), i, rng.choice(["x", "y", "z"]).item(), int(rng.integers(0, 9)), [None, "f", "g"][rng.integers(0, 3)]) for i in range(400)]
