@@ -37,6 +37,19 @@ def reciprocal_rank_fusion(ranked: DataFrame, weights: dict[str, float], constan
     return ranked.withColumn("score", weighted([reciprocal_rank(F.col(f"rank_{c}"), constant) for c in weights], list(weights.values())))
 
 
+def reach(weights: list[float], depth: int, constant: int = 60, digits: int = 9) -> int:
+    """How far down each ranking the `depth` best of a reciprocal rank fusion can lie: below that in all of them, a document scores less by more than rounding moves it.
+
+    The first `depth` of a ranking have at least its weight over constant + depth each; one beyond place r in all has less than all weights over constant + r.
+    """
+    if min(weights) < 0 or max(weights) <= 0:
+        raise ValueError("weights must be at least 0, and one above it")
+    least = max(weights) / (constant + depth) - 2 * 10.0**-digits
+    if least <= 0:
+        raise ValueError("scores this small are all equal once rounded")
+    return max(depth, int(sum(weights) / least) - constant + 1)
+
+
 def margins(scored: DataFrame, score: str = "score", by: str = "qid") -> DataFrame:
     """qid, margin: the best score less the second best; a query with one document has no margin."""
     best = scored.withColumn("rank", F.row_number().over(by_score(score, by=by))).where("rank <= 2")

@@ -57,20 +57,19 @@ def r6(c: Column | str) -> Column:
 # ---------------------------------------------------------------- dense scores and fusion
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and all documents."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return dense.scores(e.where("id % 100 = 0"), e, PARTS, "id", "id")
+    return e.where("id % 100 = 0"), e
 
 
-def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores are rounded before ranking, so both engines see the same ties."""
-    return fusion.fuse(scored(spark, sf_dir), WEIGHTS).withColumn("score", r6("score"))
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.scores(*vectors(spark, sf_dir), PARTS, "id", "id")
 
 
 def head(spark: SparkSession, sf_dir: str, depth: int, weights: dict[str, float] | None = None) -> DataFrame:
     """The first `depth` documents of each query, with all scores; the rest are never rows."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return dense.fused_head(e.where("id % 100 = 0"), e, PARTS, weights or WEIGHTS, depth, "id", "id")
+    return dense.fused_head(*vectors(spark, sf_dir), PARTS, weights or WEIGHTS, depth, "id", "id")
 
 
 def best(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
@@ -79,9 +78,9 @@ def best(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest id above each query's with its label: one relevant document a query."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
-    return q.join(e, "label").where("vec_id > qid").groupBy("qid").agg(F.min("vec_id").alias("doc_id"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label").where("vec_id IS NOT NULL AND label IS NOT NULL").distinct()
+    after = e.withColumn("doc_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")))
+    return after.where("vec_id % 100 = 0 AND doc_id IS NOT NULL").groupBy(F.col("vec_id").alias("qid")).agg(F.min("doc_id").alias("doc_id"))
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +121,8 @@ def cosine_neighbours(spark, sf_dir):
 
 @register(f"WITH {Z} SELECT qid, doc_id, round(za, 6) z_a, round(zb, 6) z_b FROM z")
 def zscores(spark, sf_dir):
-    return standardize(scored(spark, sf_dir), ["a", "b"]).select("qid", "doc_id", r6("z_a").alias("z_a"), r6("z_b").alias("z_b"))
+    z = dense.scores(*vectors(spark, sf_dir), {c: PARTS[c] for c in "ab"}, "id", "id", recipe=dense.standard(["a", "b"]), names=["z_a", "z_b"])
+    return z.select("qid", "doc_id", r6("z_a").alias("z_a"), r6("z_b").alias("z_b"))
 
 
 @register(f"WITH {S}, t AS (SELECT qid, doc_id, a, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, doc_id) rank FROM s), h AS (SELECT * FROM t WHERE rank <= 20) SELECT qid, doc_id, round(CASE WHEN stddev_pop(a) OVER w < 1e-8 THEN 0 ELSE (a - avg(a) OVER w) / stddev_pop(a) OVER w END, 6) z FROM h WINDOW w AS (PARTITION BY qid)")
@@ -141,9 +141,11 @@ _GRID_SQL = f"WITH {Z}, {REL}, g AS (SELECT qid, doc_id, w.weight, round(w.weigh
 
 
 def _grid(spark, sf_dir):
-    g = fusion.weight_grid(standardize(scored(spark, sf_dir), ["a", "b"]), "z_a", "z_b", GRID).withColumn("score", r6("score"))
-    r = g.withColumn("rank", F.row_number().over(Window.partitionBy("weight", "qid").orderBy(F.desc("score"), "doc_id")))
-    return r.join(relevant(spark, sf_dir), ["qid", "doc_id"]).groupBy("weight").agg(r6(F.avg(F.when(F.col("rank") <= 10, discount(F.col("rank"))).otherwise(0.0))).alias("ndcg"), r6(F.avg(F.lit(1.0) / F.col("rank"))).alias("mrr"))
+    """The relevant documents' ranks under every weight are counted; no score is a row."""
+    found = dense.places(*vectors(spark, sf_dir), {c: PARTS[c] for c in "ab"}, dense.grid("a", "b", GRID), [f"w{i}" for i in range(len(GRID))], relevant(spark, sf_dir), "id", "id")
+    rank = lambda i: F.col(f"above_w{i}") + F.col(f"before_w{i}") + 1
+    r = found.select(F.inline(F.array(*(F.struct(F.lit(w).alias("weight"), rank(i).alias("rank")) for i, w in enumerate(GRID)))))
+    return r.groupBy("weight").agg(r6(F.avg(F.when(F.col("rank") <= 10, discount(F.col("rank"))).otherwise(0.0))).alias("ndcg"), r6(F.avg(F.lit(1.0) / F.col("rank"))).alias("mrr"))
 
 
 @register(_GRID_SQL + " SELECT weight, ndcg, mrr FROM m")
@@ -159,14 +161,15 @@ def grid_argmax(spark, sf_dir):
 _RRF = f"WITH {S}, k AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(a, 6) DESC, doc_id) ra, row_number() OVER (PARTITION BY qid ORDER BY round(b, 6) DESC, doc_id) rb FROM s)"
 
 
-def _both_ranks(spark, sf_dir):
-    s = scored(spark, sf_dir).select("qid", "doc_id", r6("a").alias("a"), r6("b").alias("b"))
-    return fusion.ranks(s, ["a", "b"])
+def _both_ranks(spark, sf_dir, depth):
+    """Exact ranks of the documents among the first `depth` by either score."""
+    return dense.head_ranks(*vectors(spark, sf_dir), {c: PARTS[c] for c in "ab"}, depth, "id", "id")
 
 
 @register(_RRF + ", f AS (SELECT qid, doc_id, round(0.65 / (60 + ra) + 0.35 / (60 + rb), 9) score FROM k), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM f) SELECT qid, doc_id, score, rank::BIGINT rank FROM t WHERE rank <= 10")
 def rrf_fusion(spark, sf_dir):
-    f = fusion.reciprocal_rank_fusion(_both_ranks(spark, sf_dir), WEIGHTS).select("qid", "doc_id", F.round("score", 9).alias("score"))
+    ranked = _both_ranks(spark, sf_dir, fusion.reach(list(WEIGHTS.values()), 10))
+    f = fusion.reciprocal_rank_fusion(ranked, WEIGHTS).select("qid", "doc_id", F.round("score", 9).alias("score"))
     return dense.top_k(f, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -175,15 +178,15 @@ BETAS = [0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5]
 
 @register(_RRF + f", f AS (SELECT qid, doc_id, beta, round(1.0 / (60 + ra) + beta / (60 + rb), 9) score FROM k, (SELECT unnest([{', '.join(map(str, BETAS))}])::DOUBLE beta)) SELECT beta, qid, first(doc_id ORDER BY score DESC, doc_id) doc_id FROM f GROUP BY 1, 2")
 def rrf_weight_grid(spark, sf_dir):
-    g = _both_ranks(spark, sf_dir).withColumn("beta", F.explode(F.array(*map(F.lit, BETAS))))
+    g = _both_ranks(spark, sf_dir, max(fusion.reach([1.0, beta], 1) for beta in BETAS)).withColumn("beta", F.explode(F.array(*map(F.lit, BETAS))))
     g = g.withColumn("score", F.round(reciprocal_rank(F.col("rank_a")) + F.col("beta") * reciprocal_rank(F.col("rank_b")), 9))
     return g.groupBy("beta", "qid").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"))
 
 
 @register(f"WITH {Z}, g AS (SELECT qid, doc_id, c, 0.65 * za + 0.35 * zb x FROM z), h AS (SELECT qid, doc_id, round(0.8 * (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-8) + 0.2 * (c - avg(c) OVER w) / (stddev_pop(c) OVER w + 1e-8), 6) score FROM g WINDOW w AS (PARTITION BY qid)), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) rank FROM h) SELECT qid, doc_id, score, rank::BIGINT rank FROM t WHERE rank <= 10")
 def structural_weight_fusion(spark, sf_dir):
-    f = fusion.structural_fusion(scored(spark, sf_dir), WEIGHTS, "c", 0.2).select("qid", "doc_id", r6("score").alias("score"))
-    return dense.top_k(f, 10).withColumn("rank", F.col("rank").cast("long"))
+    f = dense.head(*vectors(spark, sf_dir), PARTS, dense.structural(WEIGHTS, "c", 0.2), 10, query_id="id", doc_id="id")
+    return f.select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # ---------------------------------------------------------------- confidence
@@ -239,7 +242,9 @@ def fusion_features(spark, sf_dir):
 
 
 def _strict(spark, sf_dir):
-    return metrics.strict_rank(fused(spark, sf_dir), relevant(spark, sf_dir))
+    """Documents that score strictly higher are counted where they lie."""
+    found = dense.places(*vectors(spark, sf_dir), {c: PARTS[c] for c in WEIGHTS}, dense.fused(WEIGHTS), ["score"], relevant(spark, sf_dir), "id", "id")
+    return found.select("qid", "doc_id", (F.col("above_score") + 1).alias("rank"))
 
 
 @register(f"WITH {STRICT} SELECT qid, doc_id, rank::BIGINT rank FROM sr")
@@ -335,9 +340,9 @@ def worst_failures(spark, sf_dir):
 @register()
 def paired_bootstrap(spark, sf_dir):
     """Of the fused against the first model's reciprocal ranks; random, so without SQL."""
-    rel = relevant(spark, sf_dir)
-    before = metrics.strict_rank(scored(spark, sf_dir).select("qid", "doc_id", r6("a").alias("score")), rel)
-    after = _strict(spark, sf_dir)
+    both = dense.together(dense.product("a", "before"), dense.fused(WEIGHTS, "after"))
+    found = dense.places(*vectors(spark, sf_dir), {c: PARTS[c] for c in WEIGHTS}, both, ["before", "after"], relevant(spark, sf_dir), "id", "id").cache()  # a row a query, read several times
+    before, after = (found.select("qid", (F.col(f"above_{c}") + 1).alias("rank")) for c in ("before", "after"))
     gain = lambda d, name: d.select("qid", (F.lit(1.0) / F.col("rank")).alias(name))
     deltas = gain(before, "x").join(gain(after, "y"), "qid").select("qid", (F.col("y") - F.col("x")).alias("delta"))
     return metrics.accepted(metrics.bootstrap(deltas), before, after)

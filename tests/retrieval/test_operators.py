@@ -98,6 +98,59 @@ def test_heads_against_whole_rankings(spark):
     assert got == {(r.qid, r.rank): f"d{r.doc_id:04d}" for r in dense.fused_head(asks, docs, parts, weights, 3).collect()}
 
 
+@pytest.mark.parametrize("named", [False, True])
+def test_counted_places_against_whole_rankings(spark, named):
+    rng = np.random.default_rng(12)
+    vec = lambda: [float(x) for x in rng.integers(-2, 3, 6)]
+    doc = (lambda i: f"d{i:04d}") if named else (lambda i: i)
+    kind = "doc_id string, vec array<double>" if named else "doc_id int, vec array<double>"
+    docs = spark.createDataFrame([*((doc(i), vec()) for i in range(300)), (doc(999), None)], kind).repartition(2)
+    asks = spark.createDataFrame([*((i, vec()) for i in range(40)), (77, None)], "qid int, vec array<double>")
+    parts, weights = {"a": (0, 4), "b": (4, 6), "c": (0, 2)}, {"a": 0.6, "b": 0.4}
+    whole = dense.scores(asks, docs, parts).cache()
+    one = spark.createDataFrame([*((i, doc(int(rng.integers(0, 300)))) for i in range(35)), (36, doc(999)), (37, doc(5000)), (77, doc(1))], docs.schema.fields[0].dataType.simpleString() == "string" and "qid int, doc_id string" or "qid int, doc_id int")
+    rounded = lambda d: d.withColumn("score", F.round("score", 6))
+    want = {(r.qid, r.doc_id): r["rank"] for r in metrics.strict_rank(rounded(fusion.fuse(whole, weights)), one).collect()}
+    got = dense.places(asks, docs, parts, dense.fused(weights), ["score"], one, block=32)
+    assert len(want) == 35 and {(r.qid, r.doc_id): r.above_score + 1 for r in got.collect()} == want
+
+    grid = rounded(fusion.weight_grid(standardize(whole, ["a", "b"]), "z_a", "z_b", [0.0, 0.3]))
+    placed = fusion.ranks(grid.withColumn("wq", F.struct("weight", "qid")), ["score"], by="wq")
+    several = one.unionByName(one.select("qid", F.lit(doc(3)).alias("doc_id"))).distinct()  # one goal a query, and two
+    for goals in (one, several):
+        want = {(r.weight, r.qid, r.doc_id): r.rank_score for r in placed.join(goals, ["qid", "doc_id"]).collect()}
+        got = dense.places(asks, docs, parts, dense.grid("a", "b", [0.0, 0.3]), ["w0", "w1"], goals, block=32).collect()
+        assert {(w, r.qid, r.doc_id): r[f"above_{c}"] + r[f"before_{c}"] + 1 for r in got for w, c in ((0.0, "w0"), (0.3, "w1"))} == want
+
+    ranks = fusion.ranks(whole, ["a", "b", "c"]).cache()
+    for depth in (5, 400):
+        want = {(r.qid, r.doc_id): (r.rank_a, r.rank_b, r.rank_c) for r in ranks.where(F.least("rank_a", "rank_b", "rank_c") <= depth).collect()}
+        assert {(r.qid, r.doc_id): (r.rank_a, r.rank_b, r.rank_c) for r in dense.head_ranks(asks, docs, parts, depth, block=32).collect()} == want
+    for w in ({"a": 0.65, "b": 0.35}, {"b": 1.0, "c": 0.0}):
+        best = lambda r: dense.top_k(fusion.reciprocal_rank_fusion(r, w).withColumn("score", F.round("score", 9)), 6).select("qid", "doc_id", "rank")  # noqa: B023, E731
+        depth = fusion.reach(list(w.values()), 6)
+        assert sorted(best(ranks).collect()) == sorted(best(dense.head_ranks(asks, docs, parts, depth, block=32)).collect()) and depth < 200
+
+    want = {(r.qid, r.rank): r.doc_id for r in dense.top_k(rounded(fusion.structural_fusion(whole, weights, "c", 0.2)), 8).collect()}
+    assert {(r.qid, r.rank): r.doc_id for r in dense.head(asks, docs, parts, dense.structural(weights, "c", 0.2), 8, block=32).collect()} == want
+    for q, d in ((asks.limit(0), docs), (asks, docs.limit(0)), (asks, docs.where("vec IS NULL"))):
+        assert dense.places(q, d, parts, dense.fused(weights), ["score"], one).count() == 0 == dense.head_ranks(q, d, parts, 3).count()
+        assert dense.head(q, d, parts, dense.structural(weights, "c", 0.2), 3).count() == 0
+
+
+def test_reach_wants_weights():
+    with pytest.raises(ValueError):
+        fusion.reach([-0.1, 1.0], 10)
+    with pytest.raises(ValueError):
+        fusion.reach([0.0, 0.0], 10)
+
+
+def test_deviations_of_scores_that_differ_little(spark):
+    docs = spark.createDataFrame([(i, [30000.0 + i % 3 * 1e-4, 1.0]) for i in range(90)], "doc_id int, vec array<double>")
+    got = dense.scores(spark.createDataFrame([(0, [1.0, 0.0])], "qid int, vec array<double>"), docs, {"a": (0, 2)}, recipe=dense.standard(["a"]), names=["z_a"]).collect()
+    assert {r.doc_id % 3: r.z_a for r in got} == pytest.approx({0: -math.sqrt(1.5), 1: 0.0, 2: math.sqrt(1.5)}, abs=1e-3)
+
+
 def test_best_of_a_task():
     rng = np.random.default_rng(9)
     best, rows = dense.Best(5, 3), []

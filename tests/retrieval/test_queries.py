@@ -41,6 +41,28 @@ def test_against_sql(spark, duck, name):
     assert rows(df.collect(), df.columns) == rows(answer.fetchall(), columns)
 
 
+COUNTED = "fusion_weight_grid grid_argmax rrf_fusion rrf_weight_grid structural_weight_fusion rank_strict_count rank_buckets failure_buckets missing_as_101 recall_by_depth rank_summary ndcg_mrr_recall gating_capture worst_failures paired_bootstrap".split()
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_scores_of_all_pairs_are_no_rows(spark, monkeypatch, name):
+    def rows(*_, **__):
+        raise AssertionError("scores of all pairs as rows")
+
+    monkeypatch.setattr(registry.dense, "scores", rows)
+    assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_standard_scores_are_not_shuffled(spark):
+    assert "Exchange" not in registry.queries()["zscores"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relevant_is_the_next_of_its_label(spark, tmp_path):
+    rows = [(0, 1), (0, 2), (5, None), (100, 1), (100, 1), (150, 2), (200, 1), (201, 1), (300, 3), (None, 3), (400, None)]
+    spark.createDataFrame(rows, "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, registry.relevant(spark, str(tmp_path)).collect())) == [(0, 100), (100, 200), (200, 201)]
+
+
 def test_bootstrap_interval(spark):
     r = registry.queries()["paired_bootstrap"](spark, SF).first()
     assert r.low <= r.mean <= r.high and math.isfinite(r.mean)
