@@ -729,9 +729,9 @@ def code_fingerprints(spark, sf_dir):
 
 @register("SELECT p_partkey id, substr(sha256('x ' || p_partkey), 1, 12) short, repeat('y', least(p_partkey, 500)::INT) preview FROM part")
 def short_fingerprints(spark, sf_dir):
-    """The first 12 digits of a fingerprint, and previews of at most 500 characters."""
+    """The first 12 digits of a fingerprint, and previews of at most 500 characters, of made texts of at most 1000, whatever the id."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    rows = p.select("id", text_fingerprint(F.concat(F.lit("x  "), F.col("id").cast("string"))).alias("f"), F.repeat(F.lit("y"), F.col("id").cast("int")).alias("code"))
+    rows = p.select("id", text_fingerprint(F.concat(F.lit("x  "), F.col("id").cast("string"))).alias("f"), F.repeat(F.lit("y"), F.least("id", F.lit(1000)).cast("int")).alias("code"))
     return rows.select("id", short_fingerprint(F.col("f")).alias("short"), preview(F.col("code"), 500).alias("preview"))
 
 

@@ -63,6 +63,13 @@ def test_relevant_is_the_next_of_its_label(spark, tmp_path):
     assert sorted(map(tuple, registry.relevant(spark, str(tmp_path)).collect())) == [(0, 100), (100, 200), (200, 201)]
 
 
+def test_previews_of_great_ids(spark, duck, tmp_path):
+    ids = [0, 1, 499, 500, 501, 1001, 7_200_000, 2**31 - 1, 2**31 + 5, 2**40]
+    spark.createDataFrame([(i,) for i in ids], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    want = duck.execute(registry.oracle_sql()["short_fingerprints"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, registry.queries()["short_fingerprints"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_bootstrap_interval(spark):
     r = registry.queries()["paired_bootstrap"](spark, SF).first()
     assert r.low <= r.mean <= r.high and math.isfinite(r.mean)
