@@ -31,6 +31,16 @@ def _counted(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
     return words.dictionary, pair // max(len(words.dictionary), 1), pair % max(len(words.dictionary), 1), count
 
 
+def _slices(column: pa.Array, most: int = 300_000) -> Iterator[pa.Array]:
+    """Runs of rows with at most so many tokens together; a row with more stands alone."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield column.slice(at, to - at)
+        at = to
+
+
 def _statistics(tokens: DataFrame) -> DataFrame:
     """token, n: documents of each token; under null the number of documents, and under the empty string that of all their tokens."""
 
@@ -38,9 +48,10 @@ def _statistics(tokens: DataFrame) -> DataFrame:
         df: Counter = Counter()
         n = length = 0
         for batch in batches:
-            words, _, word, _ = _counted(batch.column(0))
-            seen = np.bincount(word, minlength=len(words))
-            df.update(dict(zip(words.to_pylist(), seen.tolist(), strict=True)))
+            for part in _slices(batch.column(0)):
+                words, _, word, _ = _counted(part)
+                seen = np.bincount(word, minlength=len(words))
+                df.update(dict(zip(words.to_pylist(), seen.tolist(), strict=True)))
             n += batch.num_rows
             length += len(batch.column(0).flatten())
             if len(df) > 1_000_000:

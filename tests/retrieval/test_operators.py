@@ -81,6 +81,14 @@ def test_bm25_by_hand(spark):
     assert lexical.bm25(many.limit(0), docs).count() == 0 and lexical.bm25(many, docs.limit(0)).count() == 0
 
 
+def test_tokens_are_counted_in_slices():
+    rows = [["a"] * 3, [], None, ["b"] * 9, ["c"] * 2, ["d"] * 2, []]
+    got = [x.to_pylist() for x in lexical._slices(pa.array(rows, pa.list_(pa.string())), 5)]
+    assert [r for x in got for r in x] == rows and got == [rows[:3], rows[3:4], rows[4:]]
+    assert all(len(x.flatten()) <= 300_000 for x in lexical._slices(pa.array([["a", "b"] * 500] * 2000)))
+    assert list(lexical._slices(pa.array([], pa.list_(pa.string())))) == []
+
+
 def test_heads_against_whole_rankings(spark):
     rng = np.random.default_rng(5)
     vec = lambda: [float(x) for x in rng.integers(-2, 3, 6)]
