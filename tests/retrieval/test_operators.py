@@ -146,6 +146,14 @@ def test_counted_places_against_whole_rankings(spark, named):
         assert dense.head(q, d, parts, dense.structural(weights, "c", 0.2), 3).count() == 0
 
 
+def test_score_matrices_are_bounded(spark):
+    docs = spark.createDataFrame([(0, [0.0, 1.0])], "doc_id int, vec array<double>")
+    b = dense.Block(docs, {"a": (0, 2)}, list(range(1024)), np.ones((1024, 2)), "doc_id", "vec", None)
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(5000), "vec": pa.array(np.ones((5000, 2)).tolist())})
+    found = list(b.products()(iter([batch])))
+    assert sum(rows.num_rows for rows, _ in found) == 5000 and max(raw["a"].size for _, raw in found) <= 500_000
+
+
 def test_reach_wants_weights():
     with pytest.raises(ValueError):
         fusion.reach([-0.1, 1.0], 10)
